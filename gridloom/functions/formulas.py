@@ -36,7 +36,7 @@ def formula_references(formula: Column, sheet: Column) -> Column:
 def column_index(letters: Column) -> Column:
     """1-based column number of ``A``…``Z``, ``AA``… ."""
     return F.aggregate(
-        F.split(F.upper(letters), "(?!^)"),
+        F.filter(F.split(F.upper(letters), ""), lambda ch: ch != ""),
         F.lit(0),
         lambda acc, ch: acc * 26 + F.ascii(ch) - 64,
     )

@@ -16,6 +16,7 @@ from gridloom.functions.formulas import (
     formula_references,
 )
 from gridloom.operators.ordered import carry_last
+from gridloom.session import cut_lineage
 
 # Fixed value: ranges up to this many cells also name their empty cells.
 RANGE_EXPANSION = 1000
@@ -178,10 +179,15 @@ def label_cells(cells: DataFrame) -> DataFrame:
 
 
 def classified(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All roles of a cell table, and its edges."""
-    edges = edge_list(cells)
+    """All roles of a cell table, and its edges.
+
+    Later steps read each of these tables several times, so each is written once.
+    """
+    cells = cut_lineage(cells, "cells")
+    edges = cut_lineage(edge_list(cells), "edges")
     full = with_missing_cells(cells, edges)
-    return label_cells(structural_cells(cell_roles(full, edges))), edges
+    marked = cut_lineage(structural_cells(cell_roles(full, edges)), "roles")
+    return label_cells(marked), edges
 
 
 def input_types(cells: DataFrame) -> DataFrame:

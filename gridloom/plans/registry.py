@@ -7,9 +7,29 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.session import cut_lineage
 from gridloom.tables import table
 
-Loader = Callable[[str], DataFrame]
+_shared: dict[tuple[str, str, str], DataFrame] = {}
+
+
+class Loader:
+    """Gives input tables by name, and tables derived from them that several queries share."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
+        self.root = root.rstrip("/")
+
+    def __call__(self, name: str) -> DataFrame:
+        return table(self.spark, self.root, name)
+
+    def shared(self, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """Write a derived table once per application and input folder."""
+        key = (self.spark.sparkContext.applicationId, self.root, label)
+        if key not in _shared:
+            _shared[key] = cut_lineage(build(), label)
+        return _shared[key]
+
 
 
 @dataclass(frozen=True)
@@ -21,7 +41,7 @@ class Query:
     def __call__(self, spark: SparkSession, root: str) -> DataFrame:
         # Dates in the inputs carry no zone; UTC keeps casts to instants repeatable.
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return self.build(lambda name: table(spark, root, name))
+        return self.build(Loader(spark, root))
 
 
 REGISTRY: dict[str, Query] = {}
