@@ -7,24 +7,30 @@ from pyspark.sql import functions as F
 
 SERIAL_BASE = "1899-12-30"
 
-# Layouts tried in order when text is read as a timestamp.
-TIMESTAMP_LAYOUTS = (
-    "yyyy-MM-dd'T'HH:mm:ssXXX",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd",
-    "dd/MM/yyyy HH:mm:ss",
-    "dd/MM/yyyy",
-    "dd-MM-yyyy",
-    "yyyyMMdd",
-    "MMM d, yyyy",
-)
-
-
-def to_timestamp_coerce(text: Column, layouts: tuple[str, ...] = TIMESTAMP_LAYOUTS) -> Column:
-    """First layout that reads the text; NULL when none does."""
+# Layouts a timestamp may have, each with the shape of text it is tried on.
+TIMESTAMP_LAYOUTS = {
+    "yyyy-MM-dd'T'HH:mm:ssXXX": r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(Z|[+-]\d\d:\d\d)$",
+    "yyyy-MM-dd'T'HH:mm:ss": r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d$",
+    "yyyy-MM-dd HH:mm:ss": r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$",
+    "yyyy-MM-dd": r"^\d{4}-\d\d-\d\d$",
+    "dd/MM/yyyy HH:mm:ss": r"^\d\d/\d\d/\d{4} \d\d:\d\d:\d\d$",
+    "dd/MM/yyyy": r"^\d\d/\d\d/\d{4}$",
+    "dd-MM-yyyy": r"^\d\d-\d\d-\d{4}$",
+    "yyyyMMdd": r"^(19|20)\d{6}$",
+    "MMM d, yyyy": r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$",
+}
+
+
+def to_timestamp_coerce(text: Column, layouts: dict[str, str] = TIMESTAMP_LAYOUTS) -> Column:
+    """Text in a known layout as a timestamp; NULL for anything else.
+
+    The shape is tested first: a failed parse costs far more than a failed match.
+    """
     value = F.trim(text)
-    return F.coalesce(*[F.try_to_timestamp(value, F.lit(layout)) for layout in layouts])
+    parsed = F.when(value.isNull(), F.lit(None).cast("timestamp"))
+    for layout, shape in layouts.items():
+        parsed = parsed.when(value.rlike(shape), F.try_to_timestamp(value, F.lit(layout)))
+    return parsed
 
 
 def excel_serial(day: Column) -> Column:

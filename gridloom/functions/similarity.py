@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,29 +62,37 @@ def match_synonyms(threshold: float = FUZZY_THRESHOLD, synonyms: dict[str, list[
     for canonical, words in entries.items():
         for word in [canonical, *words]:
             exact.setdefault(word, canonical)
-    # A ratio of t percent needs a common part of t/200 of both lengths together, so the shorter
-    # name must be at least t/(200-t) of the longer one.
-    shortest = threshold / (200.0 - threshold)
-
-    def best(name: str) -> tuple[str | None, float | None, bool]:
+    pairs = [(canonical, word) for canonical, words in entries.items() for word in words]
+    letters = sorted({ch for _, word in pairs for ch in word})
+    word_counts = np.array([[word.count(ch) for ch in letters] for _, word in pairs], dtype=np.int16)
+    word_lengths = np.array([len(word) for _, word in pairs], dtype=np.int32)
+
+    def candidates(names: list[str]) -> np.ndarray:
+        """Which (name, word) pairs can reach the threshold: letters in common bound the ratio."""
+        common = np.zeros((len(names), len(pairs)), dtype=np.int16)
+        for i, ch in enumerate(letters):
+            have = np.array([name.count(ch) for name in names], dtype=np.int16)
+            common += np.minimum(have[:, None], word_counts[None, :, i])
+        lengths = np.array([len(name) for name in names], dtype=np.int32)
+        return 200.0 * common >= threshold * (lengths[:, None] + word_lengths[None, :])
+
+    def best(name: str, allowed: np.ndarray) -> tuple[str | None, float | None, bool]:
         if name in exact:
             return exact[name], 100.0, True
         found, top = None, 0.0
-        for canonical, words in entries.items():
-            for word in words:
-                small, large = sorted((len(name), len(word)))
-                if small < shortest * large:
-                    continue
-                score = indel_ratio(name, word)
-                if score >= threshold and score > top:
-                    found, top = canonical, score
+        for i in np.flatnonzero(allowed):
+            canonical, word = pairs[i]
+            score = indel_ratio(name, word)
+            if score >= threshold and score > top:
+                found, top = canonical, score
         return found, (top if found else None), False
 
     @F.pandas_udf(MATCH_TYPE)
     def udf(names: pd.Series) -> pd.DataFrame:
+        texts = ["" if n is None else n for n in names]
+        allowed = candidates(texts)
         return pd.DataFrame(
-            [best(n) if n is not None else (None, None, False) for n in names],
-            columns=["canonical", "score", "exact"],
+            [best(n, allowed[i]) for i, n in enumerate(texts)], columns=["canonical", "score", "exact"]
         )
 
     return udf

@@ -13,8 +13,7 @@ def concat_text(*parts: Column) -> Column:
 
 def null_if_blank(text: Column) -> Column:
     """Trimmed text, with blank text as NULL."""
-    trimmed = F.regexp_replace(text, r"^[\s ]+|[\s ]+$", "")
-    return F.when(trimmed != "", trimmed)
+    return F.nullif(F.btrim(text, F.lit(" \t\r\n\u00a0")), F.lit(""))
 
 
 def snake_name(raw: Column) -> Column:

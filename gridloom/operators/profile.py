@@ -104,29 +104,29 @@ def fk_candidates(columns: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def _conformance(column: str) -> dict[str, Column]:
-    text = null_if_blank(F.col(column))
-    return {
-        "filled": F.count(text),
-        "ints": F.count(to_bigint(text)),
-        "numbers": F.count(to_decimal(text)),
-        "moments": F.count(to_timestamp_coerce(text)),
-        "flags": F.count(to_boolean(text)),
-        "money": F.count_if(F.coalesce(text.rlike(r"^-?[$€£¥]\s?[0-9.,]+$|^-?[0-9.,]+\s?[$€£¥]$"), F.lit(False))),
-        "percents": F.count_if(F.coalesce(text.rlike(r"^-?[0-9.,]+\s?%$"), F.lit(False))),
-        "timed": F.count_if(F.coalesce(text.rlike(r"[0-9]:[0-9]{2}"), F.lit(False))),
-        "longest": F.max(F.length(text)),
-        "distincts": F.approx_count_distinct(text),
-        "total": F.count(F.lit(1)),
-    }
-
-
 def conformance(df: DataFrame, columns: list[str]) -> DataFrame:
-    """How many values of each text column read as each type: one pass, one row per column."""
-    structs = [
-        F.struct(F.lit(c).alias("column"), *[v.alias(k) for k, v in _conformance(c).items()]).alias(c) for c in columns
-    ]
-    return df.agg(*structs).select(F.explode(F.array(*columns)).alias("s")).select("s.*")
+    """How many values of each text column read as each type: one pass, one row per column.
+
+    Values are put in long form first, so that the tests compile once and not once per column.
+    """
+    pairs = [F.struct(F.lit(c).alias("column"), null_if_blank(F.col(c).cast("string")).alias("text")) for c in columns]
+    text = F.col("text")
+    number = r"[0-9.,]+"
+    return (
+        df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
+        .groupBy("column")
+        .agg(
+            F.count(text).alias("filled"),
+            F.count(to_bigint(text)).alias("ints"),
+            F.count(to_decimal(text)).alias("numbers"),
+            F.count(to_timestamp_coerce(text)).alias("moments"),
+            F.count(to_boolean(text)).alias("flags"),
+            F.count_if(text.rlike(rf"^-?[$€£¥]\s?{number}$|^-?{number}\s?[$€£¥]$")).alias("money"),
+            F.count_if(text.rlike(rf"^-?{number}\s?%$")).alias("percents"),
+            F.count_if(text.rlike(r"[0-9]:[0-9]{2}")).alias("timed"),
+            F.max(F.length(text)).alias("longest"),
+        )
+    )
 
 
 def storage_type() -> Column:
