@@ -38,12 +38,11 @@ def _(load):
 
 @query(
     "zscore_outliers",
-    """SELECT l_orderkey, l_linenumber, l_returnflag, l_extendedprice FROM (SELECT *, (l_extendedprice - avg(l_extendedprice) OVER (PARTITION BY l_returnflag))
-       / stddev_samp(l_extendedprice) OVER (PARTITION BY l_returnflag) AS z FROM lineitem) WHERE abs(z) > 2""",
+    """SELECT event_id, user_id, value FROM (SELECT *, (value - avg(value) OVER (PARTITION BY user_id)) / stddev_samp(value) OVER (PARTITION BY user_id) AS z FROM events)
+       WHERE abs(z) > 2""",
 )
 def _(load):
-    found = outlier_rows(load("lineitem"), ["l_returnflag"], "l_extendedprice")
-    return found.select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")
+    return outlier_rows(load("events"), ["user_id"], "value").select("event_id", "user_id", "value")
 
 
 _SUPPLIER_SQL = "s AS (SELECT l_returnflag, l_suppkey, sum(l_extendedprice::DECIMAL(19,4)) AS revenue FROM lineitem GROUP BY 1, 2)"
@@ -294,13 +293,12 @@ def _(load):
 
 @query(
     "report_lines",
-    f"""WITH {_INSIGHTS_SQL}, k AS (SELECT * FROM q WHERE place <= 10), r AS (SELECT DISTINCT report FROM k),
+    f"""WITH {_INSIGHTS_SQL}, k AS (SELECT * FROM q WHERE place <= 10), rep AS (SELECT DISTINCT report FROM k),
         parts AS (
-          SELECT report, 0 AS part, 0 AS place, n, line FROM r, (VALUES (0, 'Analysis Report'), (1, 'Domain: sales'), (2, ''), (3, repeat('=', 50)), (4, 'EXECUTIVE SUMMARY'), (5, repeat('=', 50)), (6, '')) t(n, line)
+          SELECT report, 0 AS part, 0 AS place, n, line FROM rep, (VALUES (0, 'Analysis Report'), (1, 'Domain: sales'), (2, ''), (3, repeat('=', 50)), (4, 'EXECUTIVE SUMMARY'), (5, repeat('=', 50)), (6, '')) t(n, line)
           UNION ALL SELECT report, 1, place, n, CASE n WHEN 0 THEN place || '. ' || headline WHEN 2 THEN '   Implication: ' || implication ELSE '' END FROM k, (VALUES (0), (2), (3)) t(n) WHERE place <= 5
-          UNION ALL SELECT report, 2, 0, n, line FROM r, (VALUES (0, repeat('=', 50)), (1, 'DETAILED INSIGHTS'), (2, repeat('=', 50)), (3, '')) t(n, line)
-          UNION ALL SELECT report, 3, place, n, CASE n WHEN 0 THEN '• ' || headline WHEN 4 THEN '  Implication: ' || implication ELSE '' END FROM k, (VALUES (0), (4), (5)) t(n)),
-        sized AS (SELECT report, count(*) FILTER (place <= 5) AS brief, count(*) AS n, count(delta_percent) AS changes FROM k GROUP BY 1)
+          UNION ALL SELECT report, 2, 0, n, line FROM rep, (VALUES (0, repeat('=', 50)), (1, 'DETAILED INSIGHTS'), (2, repeat('=', 50)), (3, '')) t(n, line)
+          UNION ALL SELECT report, 3, place, n, CASE n WHEN 0 THEN '• ' || headline WHEN 4 THEN '  Implication: ' || implication ELSE '' END FROM k, (VALUES (0), (4), (5)) t(n))
         SELECT report, line, count(*) AS copies FROM parts GROUP BY 1, 2""",
 )
 def _(load):
