@@ -122,7 +122,7 @@ def _(load):
     return documents.read_docx_paragraphs(document_blobs(load))
 
 
-def _mixed_files(load) -> str:
+def mixed_files(load) -> str:
     path = scratch_path(load.spark, "arrivals")
     load("customer").write.option("header", True).csv(f"{path}/customers")
     load("documents").select("text").write.text(f"{path}/notes")
@@ -135,7 +135,7 @@ _REGISTRY_SQL = "(VALUES ('customers', 'csv', 'tabular'), ('notes', 'plain_text'
 
 @query("file_registry", f"SELECT folder, file_type, file_type IS NOT NULL AS accepted FROM {_REGISTRY_SQL} WHERE EXISTS (SELECT 1 FROM customer)")
 def _(load):
-    registry = files.file_registry(load.spark, _mixed_files(load))
+    registry = files.file_registry(load.spark, mixed_files(load))
     both = files.accepted(registry).withColumn("accepted", F.lit(True)).unionByName(
         files.rejected(registry).drop("reason").withColumn("accepted", F.lit(False))
     )
@@ -144,7 +144,7 @@ def _(load):
 
 @query("route_files", f"SELECT folder, route FROM {_REGISTRY_SQL} WHERE EXISTS (SELECT 1 FROM customer)")
 def _(load):
-    registry = files.file_registry(load.spark, _mixed_files(load))
+    registry = files.file_registry(load.spark, mixed_files(load))
     return registry.select(F.element_at(F.split("path", "/"), -2).alias("folder"), files.route(F.col("file_type")).alias("route")).distinct()
 
 
