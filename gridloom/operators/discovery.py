@@ -12,7 +12,7 @@ from gridloom.functions.similarity import match_synonyms
 from gridloom.functions.text import null_if_blank, snake_name
 from gridloom.operators.graph import components
 from gridloom.operators.ordered import running_number
-from gridloom.session import cut_lineage
+from gridloom.session import cut_lineage, per_key
 
 # Words that open a total row.
 TOTAL_WORDS = r"^(grand total|subtotal|total|sum)\b"
@@ -53,7 +53,7 @@ def detect_header(rows: DataFrame) -> DataFrame:
 
 def classify_rows(rows: DataFrame, headers: DataFrame | None = None) -> DataFrame:
     """Kind of every row: blank, title, header, data, section, total, repeated_header, footnote."""
-    headers = detect_header(rows) if headers is None else headers
+    headers = per_key(detect_header(rows) if headers is None else headers)
     joined = measured(rows).join(headers, "sheet", "left")
     width, at, head = F.col("width"), F.col("row_idx"), F.col("header_row")
     same = F.transform("cells", null_if_blank) == F.transform("header_cells", null_if_blank)
@@ -68,7 +68,7 @@ def classify_rows(rows: DataFrame, headers: DataFrame | None = None) -> DataFram
         .otherwise("data")
     )
     first_pass = joined.withColumn("kind", kind)
-    ends = first_pass.filter("kind = 'data'").groupBy("sheet").agg(F.max("row_idx").alias("last_data"))
+    ends = per_key(first_pass.filter("kind = 'data'").groupBy("sheet").agg(F.max("row_idx").alias("last_data")))
     below = (F.col("kind") == "section") & (at > F.col("last_data")) & (F.length(F.col("filled")[0]) >= LONG_TEXT)
     return (
         first_pass.join(ends, "sheet", "left")
@@ -98,7 +98,7 @@ def detect_noise_columns(kinds: DataFrame) -> DataFrame:
 
 def extract_range(rows: DataFrame, bounds: DataFrame, excluded: DataFrame) -> DataFrame:
     """Rows from data start to data end, both included; an open end means to the bottom."""
-    inside = rows.join(bounds, "sheet").filter(
+    inside = rows.join(per_key(bounds), "sheet").filter(
         "row_idx >= coalesce(data_start, 1) AND (data_end IS NULL OR row_idx <= data_end)"
     )
     return inside.join(excluded.select("sheet", "row_idx"), ["sheet", "row_idx"], "left_anti").select("sheet", "row_idx", "cells")
@@ -110,7 +110,7 @@ def drop_blank_rows(rows: DataFrame) -> DataFrame:
 
 def drop_noise_columns(rows: DataFrame, noise: DataFrame) -> DataFrame:
     """Remove the cells of noise columns; the list per sheet is bounded by the sheet's width."""
-    lists = noise.groupBy("sheet").agg(F.collect_set("col").alias("noise"))
+    lists = per_key(noise.groupBy("sheet").agg(F.collect_set("col").alias("noise")))
     kept = F.filter(F.col("cells"), lambda c, i: ~F.array_contains(F.coalesce("noise", F.array().cast("array<int>")), i + 1))
     return rows.join(lists, "sheet", "left").withColumn("cells", kept).drop("noise")
 
@@ -125,7 +125,7 @@ def header_columns(headers: DataFrame) -> DataFrame:
 def canonical_names(catalogue: DataFrame, raw: str = "raw") -> DataFrame:
     """Add the snake-case name and the canonical name; each distinct name is matched once."""
     named = catalogue.withColumn("snake", snake_name(F.col(raw)))
-    matches = named.select("snake").distinct().withColumn("match", match_synonyms()(F.col("snake")))
+    matches = per_key(named.select("snake").distinct().withColumn("match", match_synonyms()(F.col("snake"))))
     canonical = F.when(F.col("snake") != "unnamed", F.col("match.canonical"))
     return named.join(matches, "snake").withColumn("canonical", F.coalesce(canonical, "snake")).drop("match")
 
@@ -144,13 +144,13 @@ def dedupe_suffix(df: DataFrame, group: list[str], order: str, name: str, out: s
 def extract_table(rows: DataFrame) -> DataFrame:
     """Clean rows of every sheet as ``sheet, row_idx, record`` with column names as map keys."""
     rows = cut_lineage(rows, "raw")
-    headers = detect_header(rows)
+    headers = cut_lineage(detect_header(rows), "headers")
     kinds = cut_lineage(classify_rows(rows, headers), "kinds")
     noise = detect_noise_columns(kinds)
     columns = header_columns(headers).join(noise, ["sheet", "col"], "left_anti")
     named = normalize_columns(columns)
     # One sheet's names in column order; bounded by the width of a sheet.
-    lists = named.groupBy("sheet").agg(F.array_sort(F.collect_list(F.struct("col", "name"))).alias("names"))
+    lists = per_key(named.groupBy("sheet").agg(F.array_sort(F.collect_list(F.struct("col", "name"))).alias("names")))
     data = drop_blank_rows(kinds.filter("kind = 'data'"))
     record = F.map_from_arrays(
         F.transform("names", lambda n: n["name"]),
@@ -203,7 +203,7 @@ def sheet_clusters(columns: DataFrame) -> DataFrame:
     )
     signatures = cut_lineage(sheets.groupBy("sig").agg(F.first("cols").alias("cols")), "signatures")
     flat = signatures.select("sig", F.explode("cols").alias("c")).select("sig", "c.name")
-    rarity = flat.groupBy("name").agg(F.count("*").alias("freq"))
+    rarity = per_key(flat.groupBy("name").agg(F.count("*").alias("freq")))
     size = F.size("cols")
     ranked = (
         flat.join(rarity, "name")
@@ -211,8 +211,14 @@ def sheet_clusters(columns: DataFrame) -> DataFrame:
         .join(signatures, "sig")
         .withColumn("prefix", F.slice("rare", 1, size - F.ceil(size * NAME_SHARE).cast("int") + 1))
     )
-    keyed = ranked.select("sig", "cols", F.explode("prefix").alias("p")).select("sig", "cols", F.col("p.name").alias("name"))
-    other = keyed.select(F.col("sig").alias("sig2"), F.col("cols").alias("cols2"), "name")
+    keyed = ranked.select("sig", "cols", F.explode("prefix").alias("p"), size.alias("size")).select(
+        "sig", "cols", F.col("p.name").alias("name"), "size"
+    )
+    # The number of columns is part of the key, so that a common name does not pair sets of any size.
+    other = keyed.select(
+        F.col("sig").alias("sig2"), F.col("cols").alias("cols2"), "name",
+        F.explode(F.sequence(F.col("size") - COLUMN_SLACK, F.col("size") + COLUMN_SLACK)).alias("size"),
+    )
     names = lambda c: F.transform(c, lambda x: x["name"])
     shared = F.size(F.array_intersect(names("cols"), names("cols2")))
     equal_types = F.size(F.array_intersect("cols", "cols2"))
@@ -221,8 +227,8 @@ def sheet_clusters(columns: DataFrame) -> DataFrame:
         & (shared >= F.greatest(F.size("cols"), F.size("cols2")) * NAME_SHARE)
         & (equal_types >= shared * TYPE_SHARE)
     )
-    edges = keyed.join(other, "name").filter(F.col("sig") < F.col("sig2")).filter(alike).select(
+    edges = keyed.join(other, ["name", "size"]).filter(F.col("sig") < F.col("sig2")).filter(alike).select(
         F.col("sig").alias("source"), F.col("sig2").alias("target")
     ).distinct()
-    groups = components(signatures.select(F.col("sig").alias("address")), edges)
+    groups = per_key(components(signatures.select(F.col("sig").alias("address")), edges))
     return sheets.join(groups.withColumnRenamed("address", "sig"), "sig").select("sheet", "cluster")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.session import cut_lineage, scratch_path
+from gridloom.session import cut_lineage, per_key, scratch_path
 
 
 def node_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -79,13 +79,13 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     before = _fingerprint(pairs)
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = per_key(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = (
             both.join(least, "u").filter("v > u")
             .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         )
         large = cut_lineage(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = per_key(large.groupBy("u").agg(F.min("v").alias("m")))
         small = (
             large.join(least, "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),

@@ -16,7 +16,7 @@ from gridloom.functions.formulas import (
     formula_references,
 )
 from gridloom.operators.ordered import carry_last
-from gridloom.session import cut_lineage
+from gridloom.session import cut_lineage, per_key
 
 # Fixed value: ranges up to this many cells also name their empty cells.
 RANGE_EXPANSION = 1000
@@ -132,7 +132,7 @@ SUMMARY_WORDS = ("total", "summary", "subtotal")
 def structural_cells(cells: DataFrame) -> DataFrame:
     """Mark headings, section titles and summary labels among static text; needs ``role``."""
     stats = row_stats(cells)
-    widest = stats.groupBy("sheet").agg(F.max("non_empty").alias("widest"))
+    widest = per_key(stats.groupBy("sheet").agg(F.max("non_empty").alias("widest")))
     text = F.trim("value")
     n, t, k, w = (F.col(c) for c in ("non_empty", "texts", "numbers", "widest"))
     lowered = F.lower(text)
@@ -147,7 +147,7 @@ def structural_cells(cells: DataFrame) -> DataFrame:
     )
     candidate = (F.col("role") == "static") & (F.col("value_type") == "text") & (text != "")
     return (
-        cells.join(stats, ["sheet", "row"], "left").join(widest, "sheet", "left")
+        cells.join(stats.join(widest, "sheet"), ["sheet", "row"], "left")
         .withColumn("role", F.when(candidate & rule, "structural").otherwise(F.col("role")))
         .drop("non_empty", "texts", "numbers", "widest")
     )

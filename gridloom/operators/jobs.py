@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.ordered import previous_value, running_number
+from gridloom.session import per_key
 
 # States of a job.
 READY, AWAITING, PENDING = "ready_for_genesis", "awaiting_genesis", "pending_genesis"
@@ -17,7 +18,7 @@ STUCK_SECONDS = 300
 
 def batch_order(jobs: DataFrame, batch: str, order: list[Column]) -> DataFrame:
     """Number the jobs of each batch from 0 and give the size of the batch."""
-    sizes = jobs.groupBy(batch).agg(F.count("*").alias("batch_total"))
+    sizes = per_key(jobs.groupBy(batch).agg(F.count("*").alias("batch_total")))
     return running_number(jobs, [batch], order, "batch_order", start=0).join(sizes, batch)
 
 
@@ -66,8 +67,11 @@ def blocked_by_previous(jobs: DataFrame, batch: str, order: str) -> DataFrame:
     one small aggregate replaces a window over the batch.
     """
     status = F.col("status")
-    firsts = jobs.groupBy(batch).agg(
-        F.min(F.when(status != "completed", F.col(order))).alias("_open"), F.min(F.when(status == "failed", F.col(order))).alias("_failed")
+    firsts = per_key(
+        jobs.groupBy(batch).agg(
+            F.min(F.when(status != "completed", F.col(order))).alias("_open"),
+            F.min(F.when(status == "failed", F.col(order))).alias("_failed"),
+        )
     )
     at = F.col(order)
     state = F.when(at > F.col("_failed"), "failed").when(at > F.col("_open"), "waiting").otherwise("may run")

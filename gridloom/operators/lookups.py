@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.session import per_key
+
 
 def lookup_exact(
     left: DataFrame, left_key: str, right: DataFrame, right_key: str, value: str, position: list[Column],
@@ -16,7 +18,7 @@ def lookup_exact(
     """
     spot = F.struct(*[p.alias(f"p{i}") for i, p in enumerate(position)])
     pick = F.max_by(value, spot) if last else F.min_by(value, spot)
-    single = right.groupBy(F.col(right_key).alias(left_key)).agg(pick.alias("_v"))
+    single = per_key(right.groupBy(F.col(right_key).alias(left_key)).agg(pick.alias("_v")))
     return left.join(single, left_key, "left").withColumn(out, F.coalesce("_v", default)).drop("_v")
 
 

@@ -12,6 +12,7 @@ from gridloom.functions.dates import to_timestamp_coerce
 from gridloom.functions.numbers import to_bigint, to_boolean, to_decimal
 from gridloom.functions.text import null_if_blank, snake_name
 from gridloom.operators.quantiles import exact_quantiles
+from gridloom.session import per_key
 
 
 def describe_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -252,7 +253,7 @@ def group_deviation(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
     The group statistics are aggregated and joined back, so a large group is not gathered.
     """
-    stats = df.groupBy(*by).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_dev"))
+    stats = per_key(df.groupBy(*by).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_dev")))
     return df.join(stats, by).withColumn("z", F.try_divide(F.col(value) - F.col("_mean"), F.col("_dev"))).drop("_mean", "_dev")
 
 

@@ -52,6 +52,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{_scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def per_key(df: DataFrame) -> DataFrame:
+    """A table of one row per key, written before rows with that key join it.
+
+    Read back, it has a true size: Spark broadcasts it when it is small. When it is not, both sides
+    of the join start at a shuffle, which is what lets adaptive execution split a key that holds a
+    large part of the rows; an aggregate joined back directly would pin that key to one task.
+    """
+    return cut_lineage(df, "per-key")
+
+
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
