@@ -34,11 +34,13 @@ def formula_references(formula: Column, sheet: Column) -> Column:
 
 
 def column_index(letters: Column) -> Column:
-    """1-based column number of ``A``…``Z``, ``AA``… ."""
-    return F.aggregate(
-        F.filter(F.split(F.upper(letters), ""), lambda ch: ch != ""),
-        F.lit(0),
-        lambda acc, ch: acc * 26 + F.ascii(ch) - 64,
+    """1-based column number of one to three letters, ``A``…``XFD``."""
+    digit = lambda place: F.ascii(F.substring(F.upper(letters), place, 1)) - 64
+    size = F.length(letters)
+    return (
+        F.when(size == 1, digit(1))
+        .when(size == 2, digit(1) * 26 + digit(2))
+        .when(size == 3, digit(1) * 676 + digit(2) * 26 + digit(3))
     )
 
 
