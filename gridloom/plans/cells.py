@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators import grid
+from gridloom.plans.registry import Loader
+
 COLUMNS = ("sheet", "row", "col", "value", "value_type", "formula", "number_format", "bold", "merged_anchor")
 
 
@@ -35,7 +38,19 @@ def order_lines(load) -> DataFrame:
     )
 
 
-def cells(load) -> DataFrame:
+def cells(load: Loader) -> DataFrame:
+    return load.shared("cells", lambda: _cells(load))
+
+
+def roles(load: Loader) -> DataFrame:
+    return load.shared("cell_roles", lambda: grid.classified(cells(load))[0])
+
+
+def edges(load: Loader) -> DataFrame:
+    return load.shared("cell_edges", lambda: grid.edge_list(cells(load)))
+
+
+def _cells(load: Loader) -> DataFrame:
     """Header row 1, lines from row 2, total in row 9, total with rate in row 10."""
     r = F.col("l_linenumber") + 1
     lines = _spread(
@@ -63,11 +78,9 @@ def cells(load) -> DataFrame:
         F.concat(F.lit("Cust"), "c_custkey"),
         [_cell(1, 1, "Rate"), _cell(1, 2, "0.95", "number", fmt="0.00"), _cell(3, 1, "Agreed with sales")],
     )
-    from gridloom.operators.grid import cell_address
-
     every = reduce(DataFrame.unionByName, [lines, frames, rates])
     return every.select(
-        "sheet", "row", "col", cell_address(F.col("sheet"), F.col("row"), F.col("col")).alias("address"), *COLUMNS[3:]
+        "sheet", "row", "col", grid.cell_address(F.col("sheet"), F.col("row"), F.col("col")).alias("address"), *COLUMNS[3:]
     )
 
 

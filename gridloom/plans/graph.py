@@ -6,51 +6,41 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.formulas import UNSUPPORTED_FUNCTIONS
 from gridloom.operators import graph, grid, ordered
-from gridloom.plans.cells import CELLS_SQL, ROLES_SQL, cells
+from gridloom.plans.cells import CELLS_SQL, ROLES_SQL, cells, edges, roles
 from gridloom.plans.registry import Loader, query
 
 
-def _roles(load: Loader):
-    return load.shared("cell_roles", lambda: grid.classified(cells(load))[0])
-
-
-def _edges(load: Loader):
-    return load.shared("cell_edges", lambda: grid.edge_list(cells(load)))
-
-
 def _depths(load: Loader):
-    return load.shared("cell_depths", lambda: graph.topological_depth(_roles(load), _edges(load)))
+    return load.shared("cell_depths", lambda: graph.topological_depth(roles(load), edges(load)))
 
 
 def _clusters(load: Loader):
-    return load.shared("cell_clusters", lambda: graph.components(_roles(load), _edges(load)))
+    return load.shared("cell_clusters", lambda: graph.components(roles(load), edges(load)))
 
 
 def _members(load: Loader):
-    return _roles(load).join(_clusters(load), "address")
+    return roles(load).join(_clusters(load), "address")
 
 
 @query("cell_references", f"WITH {CELLS_SQL} SELECT address, coalesce(value_type, 'blank') AS kind FROM full_cells")
 def _(load):
-    sheet = cells(load)
-    return grid.with_missing_cells(sheet, grid.edge_list(sheet)).select("address", F.col("value_type").alias("kind"))
+    return grid.with_missing_cells(cells(load), edges(load)).select("address", F.col("value_type").alias("kind"))
 
 
 @query("cell_roles", f"WITH {CELLS_SQL} SELECT address, role FROM base_roles")
 def _(load):
-    sheet = cells(load)
-    edges = grid.edge_list(sheet)
-    return grid.cell_roles(grid.with_missing_cells(sheet, edges), edges).select("address", "role")
+    links = edges(load)
+    return grid.cell_roles(grid.with_missing_cells(cells(load), links), links).select("address", "role")
 
 
 @query("structural_cells", f"WITH {ROLES_SQL} SELECT address, value FROM roles WHERE role = 'structural'")
 def _(load):
-    return _roles(load).filter("role = 'structural'").select("address", "value")
+    return roles(load).filter("role = 'structural'").select("address", "value")
 
 
 @query("label_cells", f"WITH {ROLES_SQL} SELECT address, trim(value) AS label, role FROM roles WHERE role IN ('label', 'structural')")
 def _(load):
-    return _roles(load).filter("role IN ('label', 'structural')").select("address", F.trim("value").alias("label"), "role")
+    return roles(load).filter("role IN ('label', 'structural')").select("address", F.trim("value").alias("label"), "role")
 
 
 @query(
@@ -62,12 +52,12 @@ def _(load):
         FROM picked WHERE hr IS NULL OR hr < rr""",
 )
 def _(load):
-    roles = _roles(load)
+    marked = roles(load)
     heads = (
-        roles.filter("role = 'structural'").groupBy("sheet", "row").agg(F.max(F.trim("value")).alias("label"))
+        marked.filter("role = 'structural'").groupBy("sheet", "row").agg(F.max(F.trim("value")).alias("label"))
         .withColumn("kind", F.lit(0)).withColumn("head", F.struct("row", "label")).drop("label")
     )
-    fields = roles.filter("role IN ('input', 'output')").select("sheet", "row", "address", "role", F.lit(1).alias("kind"))
+    fields = marked.filter("role IN ('input', 'output')").select("sheet", "row", "address", "role", F.lit(1).alias("kind"))
     line = heads.unionByName(fields, allowMissingColumns=True)
     found = ordered.carry_last(line, ["sheet"], [F.col("row"), F.col("kind")], F.col("head"), "sec").filter("kind = 1")
     suffix = F.when(F.col("role") == "output", " Outputs").otherwise(" Inputs")
@@ -98,7 +88,7 @@ def _(load):
         LEFT JOIN (SELECT source, count(*) AS o FROM edges GROUP BY 1) ON source = address""",
 )
 def _(load):
-    return graph.node_degrees(_roles(load).select("address"), _edges(load))
+    return graph.node_degrees(roles(load).select("address"), edges(load))
 
 
 _DEPTH_SQL = f"""{CELLS_SQL},
@@ -132,11 +122,9 @@ def _(load):
 _CLUSTER_SQL = f"""{ROLES_SQL},
   linked AS (SELECT address, CASE WHEN sheet LIKE 'Cust%' THEN substr(sheet, 5)::BIGINT ELSE o_custkey END AS c FROM full_cells
       LEFT JOIN orders ON sheet = 'O' || o_orderkey WHERE address IN (SELECT source FROM edges UNION SELECT target FROM edges)),
-  direct AS (SELECT *, EXISTS (SELECT 1) AS t FROM linked),
   clusters AS (SELECT address, min(address) OVER (PARTITION BY c) AS cluster FROM linked
       UNION ALL SELECT address, address FROM full_cells WHERE address NOT IN (SELECT address FROM linked)),
   members AS (SELECT r.*, cluster FROM roles r JOIN clusters USING (address))"""
-_CLUSTER_SQL = _CLUSTER_SQL.replace("  direct AS (SELECT *, EXISTS (SELECT 1) AS t FROM linked),\n", "")
 
 
 # A cell on a line that has no order line still belongs to its order's sum, so the SQL above may
@@ -185,7 +173,7 @@ _LABEL_SQL = """, l AS (SELECT *, CASE WHEN role IN ('label', 'structural') THEN
         FROM c WHERE clean <> '' GROUP BY 1""",
 )
 def _(load):
-    labelled = load.shared("cell_labels", lambda: grid.nearest_label(_roles(load)).select("address", "role", "label"))
+    labelled = load.shared("cell_labels", lambda: grid.nearest_label(roles(load)).select("address", "role", "label"))
     return graph.cluster_names(labelled.join(_clusters(load), "address"))
 
 
@@ -225,7 +213,7 @@ def _(load):
 
 
 def _sheet_links(load):
-    return graph.links(_edges(load), F.substring_index("source", "!", 1), F.substring_index("target", "!", 1))
+    return graph.links(edges(load), F.substring_index("source", "!", 1), F.substring_index("target", "!", 1))
 
 
 @query(
@@ -246,8 +234,8 @@ def _(load):
         WHERE role = 'output' ORDER BY score DESC, b.address LIMIT 5""",
 )
 def _(load):
-    outputs = _roles(load).filter("role = 'output'").select("address")
-    scored = graph.node_degrees(outputs, _edges(load)).join(_depths(load), "address")
+    outputs = roles(load).filter("role = 'output'").select("address")
+    scored = graph.node_degrees(outputs, edges(load)).join(_depths(load), "address")
     return scored.select("address", (F.col("in_degree") + F.col("depth")).alias("score")).orderBy(F.desc("score"), "address").limit(5)
 
 

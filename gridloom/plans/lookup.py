@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import formulas as X
 from gridloom.operators import grid, lookups, ordered
-from gridloom.plans.cells import CELLS_SQL, ROLES_SQL, cells
+from gridloom.plans.cells import CELLS_SQL, ROLES_SQL, cells, roles
 from gridloom.plans.registry import query
 
 _POSITION = ("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
@@ -99,8 +99,7 @@ def _(load):
     f"""WITH {ROLES_SQL} SELECT address, value FROM roles WHERE role = 'label'""",
 )
 def _(load):
-    found, _ = grid.classified(cells(load))
-    return found.filter("role = 'label'").select("address", "value")
+    return roles(load).filter("role = 'label'").select("address", "value")
 
 
 @query(
@@ -111,8 +110,7 @@ def _(load):
         SELECT address, label FROM w WHERE role IN ('input', 'output', 'intermediate')""",
 )
 def _(load):
-    found, _ = grid.classified(cells(load))
-    return grid.nearest_label(found).select("address", "label")
+    return grid.nearest_label(roles(load)).select("address", "label")
 
 
 _LINES = """lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents)"""
