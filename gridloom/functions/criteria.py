@@ -31,8 +31,9 @@ def _as_float(text: str) -> float | None:
         return None
 
 
-def criteria_match(value: Column, criterion: str | int | float | None) -> Column:
-    """Does ``value`` meet ``criterion``? Never NULL.
+def criteria_match(value: Column, criterion: str | int | float | None, numeric: bool = False) -> Column:
+    """Does ``value`` meet ``criterion``? Never NULL. ``numeric`` says that ``value`` is a number
+    already, which saves reading it as text.
 
     A number compares by value. Text with a leading operator compares as numbers when both sides
     are numbers and as text otherwise; ``*`` matches any run of characters, ignoring case; other
@@ -41,8 +42,9 @@ def criteria_match(value: Column, criterion: str | int | float | None) -> Column
     if criterion is None:
         return F.lit(False)
     text = value.cast("string")
+    number = value.cast("double") if numeric else _number(text)
     if isinstance(criterion, (int, float)):
-        return F.coalesce(_number(text) == F.lit(float(criterion)), F.lit(False))
+        return F.coalesce(number == F.lit(float(criterion)), F.lit(False))
     split = re.match(r"(>=|<=|<>|=|>|<)(.*)$", criterion, re.S)
     sign, operand = split.groups() if split else (None, criterion)
     operand = operand.strip('"') if len(operand) > 1 else operand
@@ -57,15 +59,15 @@ def criteria_match(value: Column, criterion: str | int | float | None) -> Column
     wanted = _as_float(operand)
     if wanted is None:
         return as_text
-    return F.coalesce(compare(_number(text), F.lit(wanted)), as_text)
+    return F.coalesce(compare(number, F.lit(wanted)), as_text)
 
 
-def _all(pairs: tuple[tuple[Column, object], ...]) -> Column:
-    return reduce(lambda a, b: a & b, [criteria_match(c, k) for c, k in pairs])
+def _all(pairs: tuple[tuple, ...]) -> Column:
+    return reduce(lambda a, b: a & b, [criteria_match(*pair) for pair in pairs])
 
 
 def sum_ifs(values: Column, *pairs: tuple[Column, object]) -> Column:
-    """Sum of ``values`` where every (column, criterion) pair matches; 0 when none does."""
+    """Sum of ``values`` where every (column, criterion[, numeric]) matches; 0 when none does."""
     return F.coalesce(F.sum(F.when(_all(pairs), values)), F.lit(0))
 
 

@@ -10,7 +10,8 @@ CURRENCY_SYMBOLS = "$€£¥₩₽₹₺₫₱₦₴₪₡₲₵₸"
 CURRENCY_CODES = ("USD", "EUR", "GBP", "JPY", "MXN", "COP", "CLP", "PEN", "BRL", "ARS", "CAD", "AUD")
 
 _PLAIN_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-_DIRTY = rf"(?i)[%\s {CURRENCY_SYMBOLS}]|{'|'.join(CURRENCY_CODES)}"
+_SKIPPED = "% \t\r\n\f\u000b\u00a0" + CURRENCY_SYMBOLS
+_CODES = rf"(?i){'|'.join(CURRENCY_CODES)}"
 
 
 def parse_locale_number(text: Column) -> Column:
@@ -20,7 +21,7 @@ def parse_locale_number(text: Column) -> Column:
     text is 0; unreadable text is NULL, so that callers can report it.
     """
     raw = F.trim(text)
-    cleaned = F.regexp_replace(raw, _DIRTY, "")
+    cleaned = F.regexp_replace(F.translate(raw, _SKIPPED, ""), _CODES, "")
     with_dot = F.when(
         cleaned.rlike(r",[^.,]*$"), F.translate(cleaned, ",.", ".")
     ).otherwise(F.translate(cleaned, ",", ""))

@@ -64,23 +64,34 @@ def match_synonyms(threshold: float = FUZZY_THRESHOLD, synonyms: dict[str, list[
             exact.setdefault(word, canonical)
     pairs = [(canonical, word) for canonical, words in entries.items() for word in words]
     letters = sorted({ch for _, word in pairs for ch in word})
-    word_counts = np.array([[word.count(ch) for ch in letters] for _, word in pairs], dtype=np.int16)
-    word_lengths = np.array([len(word) for _, word in pairs], dtype=np.int32)
-
-    def candidates(names: list[str]) -> np.ndarray:
-        """Which (name, word) pairs can reach the threshold: letters in common bound the ratio."""
-        common = np.zeros((len(names), len(pairs)), dtype=np.int16)
-        for i, ch in enumerate(letters):
-            have = np.array([name.count(ch) for name in names], dtype=np.int16)
-            common += np.minimum(have[:, None], word_counts[None, :, i])
-        lengths = np.array([len(name) for name in names], dtype=np.int32)
-        return 200.0 * common >= threshold * (lengths[:, None] + word_lengths[None, :])
-
-    def best(name: str, allowed: np.ndarray) -> tuple[str | None, float | None, bool]:
+    word_counts = np.array([[word.count(ch) for ch in letters] for _, word in pairs], dtype=np.uint8)
+    word_lengths = np.array([len(word) for _, word in pairs])
+
+    def candidates(names: list[str]) -> dict[int, list[int]]:
+        """Words that can reach the threshold, by name: lengths and common letters bound the ratio."""
+        by_length: dict[int, list[int]] = {}
+        for at, name in enumerate(names):
+            by_length.setdefault(len(name), []).append(at)
+        out: dict[int, list[int]] = {}
+        for size, places in by_length.items():
+            words = np.flatnonzero(200.0 * np.minimum(size, word_lengths) >= threshold * (size + word_lengths))
+            if not size or not len(words):
+                continue
+            chars = np.array([names[at] for at in places], dtype=f"<U{size}").view(np.uint32).reshape(len(places), size)
+            common = np.zeros((len(places), len(words)), dtype=np.uint8)
+            for i, ch in enumerate(letters):
+                have = (chars == ord(ch)).sum(axis=1, dtype=np.uint8)
+                common += np.minimum(have[:, None], word_counts[None, words, i])
+            enough = 200.0 * common >= threshold * (size + word_lengths[words])
+            for row, word in zip(*np.nonzero(enough)):
+                out.setdefault(places[row], []).append(int(words[word]))
+        return out
+
+    def best(name: str, allowed: list[int]) -> tuple[str | None, float | None, bool]:
         if name in exact:
             return exact[name], 100.0, True
         found, top = None, 0.0
-        for i in np.flatnonzero(allowed):
+        for i in allowed:
             canonical, word = pairs[i]
             score = indel_ratio(name, word)
             if score >= threshold and score > top:
@@ -92,7 +103,7 @@ def match_synonyms(threshold: float = FUZZY_THRESHOLD, synonyms: dict[str, list[
         texts = ["" if n is None else n for n in names]
         allowed = candidates(texts)
         return pd.DataFrame(
-            [best(n, allowed[i]) for i, n in enumerate(texts)], columns=["canonical", "score", "exact"]
+            [best(n, allowed.get(i, [])) for i, n in enumerate(texts)], columns=["canonical", "score", "exact"]
         )
 
     return udf

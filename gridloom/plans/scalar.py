@@ -139,7 +139,7 @@ def _(load):
 def _(load):
     return load("orders").select(
         "o_orderkey",
-        criteria_match(F.col("o_totalprice"), ">=250000").alias("big"),
+        criteria_match(F.col("o_totalprice"), ">=250000", numeric=True).alias("big"),
         criteria_match(F.col("o_orderpriority"), "*high").alias("high"),
         criteria_match(F.col("o_orderstatus"), "<>F").alias("not_f"),
         criteria_match(F.col("o_orderstatus"), "O").alias("open"),

@@ -24,8 +24,8 @@ def _price():
 def _(load):
     qty = F.col("l_quantity")
     return load("lineitem").groupBy("l_linestatus").agg(
-        sum_ifs(_price(), (qty, ">=30")).cast("double").alias("big"),
-        sum_ifs(qty.cast("decimal(19,4)"), (qty, ">45")).cast("double").alias("own_range"),
+        sum_ifs(_price(), (qty, ">=30", True)).cast("double").alias("big"),
+        sum_ifs(qty.cast("decimal(19,4)"), (qty, ">45", True)).cast("double").alias("own_range"),
         sum_ifs(_price(), (F.col("l_returnflag"), "x*")).cast("double").alias("none"),
     )
 
@@ -37,7 +37,7 @@ def _(load):
 )
 def _(load):
     qty = F.col("l_quantity")
-    hit = sum_ifs(_price(), (qty, ">=10"), (qty, "<40"), (F.col("l_returnflag"), "R"))
+    hit = sum_ifs(_price(), (qty, ">=10", True), (qty, "<40", True), (F.col("l_returnflag"), "R"))
     return load("lineitem").groupBy("l_suppkey").agg(hit.cast("double").alias("total"))
 
 
@@ -51,7 +51,7 @@ def _(load):
     "SELECT o_custkey, count(*) FILTER (o_orderstatus <> 'F' AND o_totalprice >= 100000) AS n FROM orders GROUP BY 1",
 )
 def _(load):
-    pairs = ((F.col("o_orderstatus"), "<>F"), (F.col("o_totalprice"), ">=100000"))
+    pairs = ((F.col("o_orderstatus"), "<>F"), (F.col("o_totalprice"), ">=100000", True))
     return load("orders").groupBy("o_custkey").agg(count_ifs(*pairs).alias("n"))
 
 
@@ -61,7 +61,7 @@ def _(load):
         / (count(*) FILTER (o_orderstatus = 'O' AND o_totalprice > 400000)), 0.0) AS mean FROM orders GROUP BY 1""",
 )
 def _(load):
-    pairs = ((F.col("o_orderstatus"), "=O"), (F.col("o_totalprice"), ">400000"))
+    pairs = ((F.col("o_orderstatus"), "=O"), (F.col("o_totalprice"), ">400000", True))
     value = F.col("o_totalprice").cast("decimal(19,4)")
     return load("orders").groupBy("o_custkey").agg(average_ifs(value, *pairs).alias("mean"))
 
