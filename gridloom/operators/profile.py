@@ -76,8 +76,10 @@ def key_candidates(df: DataFrame, columns: list[str], pairs: bool = False) -> Da
     combos = list(combinations(columns, 2))
     counted = df.agg(F.count("*").alias("n"), *[F.countDistinct(F.struct(a, b)).alias(f"{a}+{b}") for a, b in combos])
     both = counted.unpivot(["n"], [f"{a}+{b}" for a, b in combos], "column", "d").filter("n = d").select("column")
-    minimal = both.join(singles.withColumnRenamed("column", "single"),
-                        F.array_contains(F.split("column", r"\+"), F.col("single")), "left_anti")
+    # A pair that contains a key says nothing new.
+    parts = both.select("column", F.explode(F.split("column", r"\+")).alias("single"))
+    implied = parts.join(singles.withColumnRenamed("column", "single"), "single", "left_semi").select("column")
+    minimal = both.join(implied, "column", "left_anti")
     return singles.unionByName(minimal)
 
 
