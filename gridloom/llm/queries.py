@@ -79,3 +79,41 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.token_counts import length_histogram
 
     return length_histogram(table(spark, sf_dir, "documents"))
+
+
+@query("op6_quality_rules")
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.quality import MEASURES, quality_rules
+
+    rows = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", *MEASURES, "base_failed", "kept", "llr_score")
+
+
+@query("op7_secret_scans")
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.secrets import KINDS, find_secrets, span_text
+
+    rows = find_secrets(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    of_kind = [F.filter("secrets", lambda s, k=k: s["kind"] == k) for k in range(3)]
+    base = F.filter("secrets", lambda s: s["kind"] < 3)
+    return rows.select(
+        "doc_id", *[F.size(c).cast("long").alias(f"n_{KINDS[k]}") for k, c in enumerate(of_kind)],
+        F.sha2(span_text(base).cast("binary"), 256).alias("base_sha256"), span_text(F.col("secrets")).alias("spans"),
+    )
+
+
+@query("op1_pseudonyms")
+def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.pseudonyms import pseudonymise
+
+    rows = pseudonymise(table(spark, sf_dir, "documents"))
+    spans = F.transform("personal", lambda p: F.concat_ws(":", p["kind"], p["start"].cast("string"), p["end"].cast("string"), p["pseudonym"]))
+    return rows.select("doc_id", "text", "n_personal", F.array_join(spans, "\n").alias("personal"))
+
+
+@query("op9_near_duplicates")
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.near_dups import near_duplicates
+
+    rows = near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "class_id", "class_size", "representative")

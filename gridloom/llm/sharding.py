@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm.common import tidy
-from gridloom.session import scratch_path
+from gridloom.session import per_key, scratch_path
 
 SHARDS = 16
 SEED = 20240601
@@ -97,7 +97,8 @@ def shuffle_shards(
     counts = written.groupBy("shard", "bucket").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("bucket", F.coalesce(before, F.lit(0)).alias("_before"))
-    return written.join(offsets, "bucket").withColumn("slot", F.col("_before") + F.col("place")).drop("_before")
+    # Written first, so that its true size decides whether the texts need to be shuffled for the join.
+    return written.join(per_key(offsets), "bucket").withColumn("slot", F.col("_before") + F.col("place")).drop("_before")
 
 
 def _pick(values: list[int], index: str) -> Column:
