@@ -8,6 +8,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.session import cut_lineage
+
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 GAP_CHARS = " \t\n\x0b\x0c\r"
@@ -63,3 +65,31 @@ def batches(spark: SparkSession, rows: int):
         yield
     finally:
         spark.conf.set(key, before)
+
+
+#: A sieve is a bitmap of 2**24 bits, 2 MB, whatever it is built from.
+SIEVE_BITS = 24
+
+
+def sieve(keys: DataFrame, *columns: str) -> DataFrame:
+    """One row ``bits`` that tells for nearly all other keys that they are not among ``keys``.
+
+    It lets a scan drop rows that would find no partner, before they are shuffled for a join. With very many
+    keys it lets more rows pass, and the join still decides.
+    """
+    blocks = 1 << (SIEVE_BITS - 6)
+    place = F.xxhash64(*columns).bitwiseAND((1 << SIEVE_BITS) - 1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
+    used = keys.select(F.shiftright(place, 6).alias("id"), bit.alias("b")).groupBy("id").agg(F.bit_or("b").alias("b"))
+    every = keys.sparkSession.range(blocks).join(used, "id", "left").select("id", F.coalesce("b", F.lit(0)).alias("b"))
+    # A fixed number of small rows.
+    row = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "b"))), lambda x: x["b"]).alias("bits"))
+    return cut_lineage(row, "sieve")
+
+
+def sifted(rows: DataFrame, bits: DataFrame, *columns: str, passing: bool = True) -> DataFrame:
+    """The rows whose key the sieve lets pass, or the others, which certainly have no partner."""
+    place = F.xxhash64(*columns).bitwiseAND((1 << SIEVE_BITS) - 1)
+    held = F.get(bits.scalar(), F.shiftright(place, 6).cast("int"))
+    bit = F.call_function("shiftright", held, place.bitwiseAND(63).cast("int")).bitwiseAND(1)
+    return rows.filter(bit == 1 if passing else bit == 0)

@@ -94,10 +94,13 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.secrets import KINDS, find_secrets, span_text
 
     rows = find_secrets(table(spark, sf_dir, "documents"), keep=("doc_id",))
-    of_kind = [F.filter("secrets", lambda s, k=k: s["kind"] == k) for k in range(3)]
     base = F.filter("secrets", lambda s: s["kind"] < 3)
+
+    def count(kind: int):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
     return rows.select(
-        "doc_id", *[F.size(c).cast("long").alias(f"n_{KINDS[k]}") for k, c in enumerate(of_kind)],
+        "doc_id", *[count(k) for k in range(3)],
         F.sha2(span_text(base).cast("binary"), 256).alias("base_sha256"), span_text(F.col("secrets")).alias("spans"),
     )
 
@@ -117,3 +120,26 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "class_id", "class_size", "representative")
+
+
+@query("op3_decontamination")
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.decontam import contaminated_texts
+
+    return contaminated_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_language_id")
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.langid import identify_languages
+
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+@query("op8_language_model")
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
