@@ -11,19 +11,23 @@ from pyspark.sql import functions as F
 from gridloom.functions.dates import to_timestamp_coerce
 from gridloom.functions.numbers import to_bigint, to_boolean, to_decimal
 from gridloom.functions.text import null_if_blank, snake_name
-from gridloom.operators.quantiles import exact_quantiles
+from gridloom.operators.quantiles import exact_quantiles, finite
 from gridloom.session import per_key
 
 
 def describe_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, mean, sample deviation, extremes and quartiles; one row per column."""
+    """Count, mean, sample deviation, extremes and quartiles of the finite values; one row per column.
+
+    ``not_finite`` counts the NaN and infinite values, which no other figure includes.
+    """
     quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
     stats = df.agg(*[
         F.struct(
-            F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-            F.min(F.col(c).cast("double")).alias("min"), F.max(F.col(c).cast("double")).alias("max"),
+            F.lit(c).alias("column"), F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+            F.min(v.cast("double")).alias("min"), F.max(v.cast("double")).alias("max"),
+            (F.count(c) - F.count(v)).alias("not_finite"),
         ).alias(c)
-        for c in columns
+        for c, v in ((c, F.when(finite(F.col(c)), F.col(c))) for c in columns)
     ])
     points = df.sparkSession.createDataFrame(
         [(c, *[quartiles.get((c, p)) for p in (0.25, 0.5, 0.75)]) for c in columns],

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 4096
@@ -13,11 +13,25 @@ _TARGET = "tid int, column string, rank bigint, lo double, hi double"
 
 def _long(df: DataFrame, columns: list[str]) -> DataFrame:
     pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns]
-    return df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").filter("v IS NOT NULL")
+    return df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").filter(finite(F.col("v")))
+
+
+def finite(value: Column) -> Column:
+    """True for numbers that are neither NULL, NaN nor infinite."""
+    return F.coalesce(F.abs(value.cast("double")) < F.lit(float("inf")), F.lit(False))
+
+
+def _share(value: Column, low: Column, high: Column) -> Column:
+    """Place of a value between two others, 0 to 1; halves keep the widest brackets from overflowing."""
+    return F.when(high - low < F.lit(float("inf")), (value - low) / (high - low)).otherwise(
+        (value / 2 - low / 2) / (high / 2 - low / 2)
+    )
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> dict[tuple[str, float], float]:
-    """Linearly interpolated quantiles of numeric columns.
+    """Linearly interpolated quantiles of the finite values of numeric columns.
+
+    A bracket's ends fall into different buckets, so every pass leaves a smaller bracket.
 
     Every wanted rank is bracketed by the smallest and largest value it can be. A pass counts the
     values of each bracket in buckets and keeps the bucket that holds the rank, until a bracket is a
@@ -26,9 +40,9 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
     """
     spark = df.sparkSession
     bounds = df.agg(
-        *[F.count(c).alias(f"n_{c}") for c in columns],
-        *[F.min(F.col(c).cast("double")).alias(f"lo_{c}") for c in columns],
-        *[F.max(F.col(c).cast("double")).alias(f"hi_{c}") for c in columns],
+        *[F.count_if(finite(F.col(c))).alias(f"n_{c}") for c in columns],
+        *[F.min(F.when(finite(F.col(c)), F.col(c).cast("double"))).alias(f"lo_{c}") for c in columns],
+        *[F.max(F.when(finite(F.col(c)), F.col(c).cast("double"))).alias(f"hi_{c}") for c in columns],
     ).first()
     open_targets, found = {}, {}
     for c in columns:
@@ -48,7 +62,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
         targets = spark.createDataFrame(
             [(i, k[0], *open_targets[k]) for i, k in enumerate(keys)], _TARGET
         )
-        spot = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS), F.lit(BUCKETS - 1))
+        spot = F.least(F.floor(_share(F.col("v"), F.col("lo"), F.col("hi")) * BUCKETS), F.lit(BUCKETS - 1))
         counted = (
             rows.join(F.broadcast(targets), "column").filter("v BETWEEN lo AND hi")
             .groupBy("tid", "rank", spot.alias("bucket"))
@@ -67,5 +81,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
         for p in probabilities if n else []:
             at = (n - 1) * p
             low, high = found[(c, math.floor(at))], found[(c, math.ceil(at))]
-            result[(c, p)] = low + (high - low) * (at - math.floor(at))
+            part = at - math.floor(at)
+            # A weighted mean, since the difference of two large values may overflow.
+            result[(c, p)] = low + (high - low) * part if math.isfinite(high - low) else low * (1 - part) + high * part
     return result

@@ -11,19 +11,24 @@ from gridloom.operators import profile as P
 from gridloom.plans.registry import query
 from gridloom.plans.staging import STAGING_SQL, products, staging_sales
 
-_NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-_DESCRIBE = " UNION ALL ".join(
-    f"""SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, min({c}) AS min,
-        round(quantile_cont({c}, 0.25), 4) AS q25, round(quantile_cont({c}, 0.5), 4) AS q50, round(quantile_cont({c}, 0.75), 4) AS q75, max({c}) AS max FROM lineitem"""
+_NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "odd"]
+#: Every tenth line's discount is replaced by NaN or an infinity.
+_ODD_SQL = """CASE l_orderkey % 30 WHEN 0 THEN 'nan'::DOUBLE WHEN 10 THEN 'infinity'::DOUBLE WHEN 20 THEN '-infinity'::DOUBLE ELSE l_discount END"""
+_DESCRIBE = f"WITH t AS (SELECT *, {_ODD_SQL} AS odd FROM lineitem), f AS (SELECT * FROM t WHERE isfinite(odd))" + " UNION ALL ".join(
+    f""" SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, min({c}) AS min,
+        round(quantile_cont({c}, 0.25), 4) AS q25, round(quantile_cont({c}, 0.5), 4) AS q50, round(quantile_cont({c}, 0.75), 4) AS q75, max({c}) AS max,
+        (SELECT count(*) FROM t WHERE NOT isfinite({c})) AS not_finite FROM {'f' if c == 'odd' else 't'}"""
     for c in _NUMERIC
 )
 
 
 @query("describe_numeric", _DESCRIBE)
 def _(load):
-    shown = P.describe_numeric(load("lineitem"), _NUMERIC)
+    key = F.col("l_orderkey") % 30
+    odd = F.when(key == 0, F.lit(float("nan"))).when(key == 10, F.lit(float("inf"))).when(key == 20, F.lit(float("-inf")))
+    shown = P.describe_numeric(load("lineitem").withColumn("odd", odd.otherwise(F.col("l_discount"))), _NUMERIC)
     rounded = [F.round(c, 4).alias(c) for c in ("mean", "std", "q25", "q50", "q75")]
-    return shown.select("column", "count", "min", "max", *rounded)
+    return shown.select("column", "count", "min", "max", "not_finite", *rounded)
 
 
 _SHAPES = {"orders": 6, "lineitem": 11, "customer": 5, "events": 6}
