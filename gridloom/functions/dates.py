@@ -103,9 +103,12 @@ def business_calendar(
 
 
 def workday_add(
-    df: DataFrame, day: str, offset: Column, calendar: DataFrame, out: str = "workday"
+    df: DataFrame, day: str, offset: Column, calendar: DataFrame, out: str = "workday", outside: str = "error"
 ) -> DataFrame:
-    """Add ``offset`` business days to ``day`` using a calendar from :func:`business_calendar`."""
+    """Add ``offset`` business days to ``day`` using a calendar from :func:`business_calendar`.
+
+    A day or a result outside the calendar stops the job, or gives NULL with ``outside="null"``.
+    """
     here = calendar.select(
         F.col("day").alias(day), F.col("works").alias("_works"), F.col("idx").alias("_idx")
     )
@@ -115,11 +118,16 @@ def workday_add(
     target = F.when(offset > 0, F.col("_idx") + offset).otherwise(
         F.col("_idx") - F.col("_works") + offset + 1
     )
+    found = F.col("_found")
+    if outside == "error":
+        missing = F.col(day).isNotNull() & offset.isNotNull()
+        told = F.concat(F.lit("outside the business calendar: "), F.col(day).cast("string"), F.lit(" "), offset.cast("string"))
+        found = F.coalesce(found, F.when(missing, F.raise_error(told).cast("date")))
     return (
         df.join(F.broadcast(here), day, "left")
         .withColumn("_target", target)
         .join(F.broadcast(there), "_target", "left")
-        .withColumn(out, F.when(offset == 0, F.col(day)).otherwise(F.col("_found")))
+        .withColumn(out, F.when(offset == 0, F.col(day)).otherwise(found))
         .drop("_works", "_idx", "_target", "_found")
     )
 

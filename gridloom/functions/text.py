@@ -52,43 +52,68 @@ def phone_e164(text: Column, country: str = "1", national_digits: int = 10) -> C
     return F.when(legal, F.coalesce(international, dialled, national, prefixed))
 
 
+# A string literal, one that is never closed, or a bracket outside of strings.
+_TOKEN = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|"[^"\\]*+(?:\\.[^"\\]*+)*+\\?+$|[{}\[\]]'
+_CONTROL = {chr(i): f"\\u{i:04x}" for i in range(32)} | {"\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+
 def _object_span(text: Column) -> Column:
     """From the first ``{`` to the last ``}``."""
     return F.regexp_extract(text, r"(?s)(\{.*\})", 1)
 
 
+def _tokens(text: Column, body) -> Column:
+    """``body(pieces, tokens)``: the text between tokens, and the tokens; one more piece than tokens."""
+    parts = F.struct(
+        F.split(text, _TOKEN, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)).alias("tokens")
+    )
+    return F.element_at(F.transform(F.array(parts), lambda p: body(p["pieces"], p["tokens"])), 1)
+
+
 def _escape_control(text: Column) -> Column:
-    """Line breaks and tabs inside string literals become escapes.
+    """Control characters inside string literals become escapes."""
+
+    def escaped(token: Column) -> Column:
+        out = token
+        for raw, code in _CONTROL.items():
+            out = F.replace(out, F.lit(raw), F.lit(code))
+        return F.when(token.startswith('"') & token.rlike(r"[\x00-\x1f]"), out).otherwise(token)
+
+    def joined(pieces: Column, tokens: Column) -> Column:
+        fixed = F.concat(F.transform(tokens, escaped), F.array(F.lit("")))
+        return F.array_join(F.zip_with(pieces, fixed, lambda a, b: F.concat(a, b)), "")
 
-    Splitting on quotes leaves the string bodies at the odd positions.
+    return _tokens(text, joined)
+
+
+def _scan(text: Column) -> Column:
+    """Struct of ``end``, the length of the first complete object (0 if none), and ``open``, the brackets left open.
+
+    Braces inside strings do not count. An unclosed string leaves a quote on top of ``open``.
     """
-    pieces = F.split(F.regexp_replace(text, r'\\"', "\u0001"), '"')
-    fixed = F.transform(
-        pieces,
-        lambda p, i: F.when(
-            i % 2 == 1,
-            F.replace(F.replace(F.replace(p, F.lit("\r"), F.lit("\\n")), F.lit("\n"), F.lit("\\n")),
-                      F.lit("\t"), F.lit("\\u0009")),
-        ).otherwise(p),
-    )
-    return F.regexp_replace(F.array_join(fixed, '"'), "\u0001", r'\\"')
 
+    def walk(pieces: Column, tokens: Column) -> Column:
+        steps = F.zip_with(F.slice(pieces, 1, F.size(tokens)), tokens, lambda p, t: F.struct(F.length(p).alias("p"), t.alias("t")))
+        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"), F.lit("").alias("open"))
 
-def _balanced_object(text: Column) -> Column:
-    """From the first ``{`` to the brace that closes it, at any depth."""
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("pos"), F.lit(0).alias("end"))
+        def step(s: Column, x: Column) -> Column:
+            token, at = x["t"], s["at"] + x["p"] + F.length(x["t"])
+            unclosed = token.startswith('"') & ~token.rlike(r'(?s)^"[^"\\]*+(?:\\.[^"\\]*+)*+"$')
+            opened = F.when(token == "{", F.concat(F.lit("}"), s["open"])).when(token == "[", F.concat(F.lit("]"), s["open"]))
+            opened = opened.when(token.isin("}", "]"), F.substring(s["open"], F.lit(2), F.length(s["open"])))
+            opened = opened.when(unclosed, F.concat(F.lit('"'), s["open"])).otherwise(s["open"])
+            closes = (token == "}") & (F.length(s["open"]) == 1) & (s["end"] == 0)
+            return F.struct(at.alias("at"), F.when(closes, at).otherwise(s["end"]).alias("end"), opened.alias("open"))
+
+        return F.aggregate(steps, start, step, lambda s: F.struct(s["end"].alias("end"), s["open"].alias("open")))
+
+    return _tokens(text, walk)
 
-    def step(state: Column, ch: Column) -> Column:
-        depth = state["depth"] + F.when(ch == "{", 1).when(ch == "}", -1).otherwise(0)
-        closes = (ch == "}") & (depth == 0) & (state["end"] == 0)
-        return F.struct(
-            depth.alias("depth"),
-            (state["pos"] + 1).alias("pos"),
-            F.when(closes, state["pos"] + 1).otherwise(state["end"]).alias("end"),
-        )
 
-    end = F.aggregate(F.split(text, ""), start, step)["end"]
-    return F.substring(text, F.lit(1), end)
+def _closed(text: Column) -> Column:
+    """The text from its first brace on, with what is still open closed in the right order."""
+    body = F.regexp_extract(text, r"(?s)(\{.*)", 1)
+    return F.concat(body, _scan(body)["open"])
 
 
 def json_candidates(response: Column) -> list[Column]:
@@ -97,8 +122,8 @@ def json_candidates(response: Column) -> list[Column]:
     commas = F.regexp_replace(span, r",\s*([}\]])", "$1")
     slashes = F.regexp_replace(commas, r'\\(?!["\\/bfnrtu])', r"\\\\")
     control = _escape_control(slashes)
-    balanced = _balanced_object(control)
-    closed = F.concat(F.regexp_extract(response, r"(?s)(\{.*)", 1), F.lit("}"))
+    balanced = F.substring(control, F.lit(1), _scan(control)["end"])
+    closed = _closed(_escape_control(response))
     innermost = F.regexp_extract(control, r"(\{[^{}]*\})", 1)
     return [span, commas, slashes, control, balanced, closed, innermost]
 
@@ -106,11 +131,12 @@ def json_candidates(response: Column) -> list[Column]:
 def json_repair(response: Column) -> Column:
     """Struct of the first readable text and the number of the attempt that read it (0 first).
 
-    Both fields are NULL when no attempt succeeds.
+    A text is readable when it is one JSON object from its first character to its last. Both fields are
+    NULL when no attempt succeeds.
     """
     tries = [
         F.when(
-            (c != "") & F.try_parse_json(c).isNotNull(),
+            (c != "") & F.try_parse_json(c).isNotNull() & (_scan(c)["end"] == F.length(c)),
             F.struct(c.alias("json"), F.lit(i).alias("attempt")),
         )
         for i, c in enumerate(json_candidates(response))

@@ -34,17 +34,27 @@ def speaker_turns(lines: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+# How a task's priority and status may be written in brackets.
+_PRIORITY = r"(?i)\s*\((?:priority:\s*)?(high|medium|low|urgent)\)"
+_STATUS = r"(?i)\s*\[(open|done|pending|in progress|blocked|x)\]"
+
+
 def action_items(bullets: DataFrame) -> DataFrame:
-    """Task, owner and deadline of the bullets under ACTION ITEMS; absent parts are NULL."""
+    """Task, owner, deadline, priority and status of the bullets under ACTION ITEMS.
+
+    An absent owner or deadline is NULL, an absent priority or status is empty; ``[x]`` means done.
+    """
     blank_to_null = lambda c: F.nullif(c, F.lit(""))
     items = bullets.filter("section = 'ACTION ITEMS'")
-    task = F.trim(F.regexp_replace("item", rf"^{_NAME}:\s*", ""))
+    marked = F.regexp_replace(F.regexp_replace("item", _PRIORITY, ""), _STATUS, "")
+    task = F.trim(F.regexp_replace(marked, rf"^{_NAME}:\s*", ""))
+    status = F.lower(F.regexp_extract("item", _STATUS, 1))
     return items.withColumns({
         "owner": blank_to_null(F.regexp_extract("item", rf"^({_NAME}):", 1)),
         "deadline": blank_to_null(F.regexp_extract("item", rf"\bby {_WHEN}\b", 1)),
         "task": task,
-        "priority": F.lit(""),
-        "status": F.lit(""),
+        "priority": F.lower(F.regexp_extract("item", _PRIORITY, 1)),
+        "status": F.when(status == "x", "done").otherwise(status),
     })
 
 
@@ -83,20 +93,28 @@ RECORDS: dict[str, tuple[str, str | None, tuple[str, ...]]] = {
 _NULLABLE = ("deadline", "timestamp")
 
 
+def _read(objects: Column, fields: str) -> Column:
+    return F.transform(objects, lambda e: F.from_json(e, fields))
+
+
 def extracted_items(responses: DataFrame, key: str, response: Column) -> DataFrame:
     """Records of a JSON answer in long form: ``key, kind, pos, text, person, fields``.
 
     Broken JSON is repaired first; list entries that are not objects are skipped; missing fields get
     their defaults. ``pos`` counts the kept records of a kind from 0.
     """
-    parsed = responses.select(key, json_repair(response).alias("fixed")).filter("fixed IS NOT NULL")
+    # Every answer is parsed once, and every record once.
+    lists = ", ".join(f"{kind} array<string>" for kind in RECORDS)
+    fixed = responses.select(key, json_repair(response).alias("fixed")).filter("fixed IS NOT NULL")
+    parsed = fixed.select(key, F.from_json("fixed.json", lists).alias("found"))
     parts = []
     for kind, (text, person, others) in RECORDS.items():
-        entries = F.from_json(F.get_json_object("fixed.json", f"$.{kind}"), "array<string>")
-        objects = F.filter(entries, lambda e: F.startswith(F.ltrim(e), F.lit("{")))
+        objects = F.filter(F.col(f"found.{kind}"), lambda e: F.startswith(F.ltrim(e), F.lit("{")))
+        names = [text, *([person] if person else []), *others]
+        records = _read(objects, ", ".join(f"`{n}` string" for n in names))
 
         def record(e: Column, kind=kind, text=text, person=person, others=others) -> Column:
-            field = lambda name: F.get_json_object(e, f"$.{name}")
+            field = lambda name: e[name]
             fields = [
                 x for o in others
                 for x in (F.lit(o), field(o) if o in _NULLABLE else F.coalesce(field(o), F.lit("")))
@@ -106,7 +124,7 @@ def extracted_items(responses: DataFrame, key: str, response: Column) -> DataFra
                 (field(person) if person else F.lit(None).cast("string")).alias("person"), F.create_map(*fields).alias("fields"),
             )
 
-        parts.append(F.transform(objects, lambda e, i: F.struct(i.alias("pos"), record(e).alias("r"))))
+        parts.append(F.transform(records, lambda e, i: F.struct(i.alias("pos"), record(e).alias("r"))))
     every = F.flatten(F.array(*[F.coalesce(p, F.array().cast(_ITEMS)) for p in parts]))
     return parsed.select(key, F.explode(every).alias("x")).select(key, "x.r.kind", "x.pos", "x.r.text", "x.r.person", "x.r.fields")
 

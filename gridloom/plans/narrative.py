@@ -12,13 +12,16 @@ from gridloom.plans.registry import query
 
 
 def _notes(load) -> DataFrame:
-    """Every conversation as notes: title, spoken turns, then one section per role."""
-    talk = load("conversations").select("conv_id", "turn", "role", F.split("text", "\n")[0].alias("t"))
+    """Every conversation as notes: title, spoken turns, then one section per role.
+
+    A turn's lines become one line, since a bullet and a spoken turn are one line each.
+    """
+    talk = load("conversations").select("conv_id", "turn", "role", F.replace("text", F.lit("\n"), F.lit(" / ")).alias("t"))
     line = lambda df, at, text: df.select("conv_id", at.cast("bigint").alias("line_no"), text.alias("text"))
     turn, task = F.col("turn"), F.col("t")
     bullet = (
-        F.when(turn % 3 == 0, F.concat(F.lit("- Alice: "), task, F.lit(" by Friday")))
-        .when(turn % 3 == 1, F.concat(F.lit("- Bob: "), task)).otherwise(F.concat(F.lit("- "), F.lower(task)))
+        F.when(turn % 3 == 0, F.concat(F.lit("- Alice: "), task, F.lit(" by Friday (high) [done]")))
+        .when(turn % 3 == 1, F.concat(F.lit("- Bob: "), task, F.lit(" (priority: low)"))).otherwise(F.concat(F.lit("- "), F.lower(task)))
     )
     each = talk.select("conv_id").distinct()
     return reduce(DataFrame.unionByName, [
@@ -33,9 +36,9 @@ def _notes(load) -> DataFrame:
     ])
 
 
-_TALK_SQL = """talk AS (SELECT conv_id, turn, role, string_split(text, chr(10))[1] AS t FROM conversations),
+_TALK_SQL = """talk AS (SELECT conv_id, turn, role, replace(text, chr(10), ' / ') AS t FROM conversations),
   bullets AS (SELECT conv_id, turn + 10000001 AS line_no, 'DECISIONS' AS section, t AS item, turn FROM talk WHERE role = 'assistant'
-    UNION ALL SELECT conv_id, turn + 20000001, 'ACTION ITEMS', CASE turn % 3 WHEN 0 THEN 'Alice: ' || t || ' by Friday' WHEN 1 THEN 'Bob: ' || t ELSE lower(t) END, turn FROM talk WHERE role = 'user'
+    UNION ALL SELECT conv_id, turn + 20000001, 'ACTION ITEMS', CASE turn % 3 WHEN 0 THEN 'Alice: ' || t || ' by Friday (high) [done]' WHEN 1 THEN 'Bob: ' || t || ' (priority: low)' ELSE lower(t) END, turn FROM talk WHERE role = 'user'
     UNION ALL SELECT conv_id, turn + 30000001, 'OPEN QUESTIONS', t || '?', turn FROM talk WHERE role = 'system')"""
 
 
@@ -44,7 +47,7 @@ def _(load):
     return R.section_lines(_notes(load), "conv_id")
 
 
-@query("speaker_turns", "SELECT conv_id, turn + 1 AS line_no, upper(role[1]) || role[2:] AS speaker, string_split(text, chr(10))[1] AS said FROM conversations")
+@query("speaker_turns", "SELECT conv_id, turn + 1 AS line_no, upper(role[1]) || role[2:] AS speaker, replace(text, chr(10), ' / ') AS said FROM conversations")
 def _(load):
     return R.speaker_turns(_notes(load)).select("conv_id", "line_no", "speaker", "said")
 
@@ -52,11 +55,12 @@ def _(load):
 @query(
     "action_items",
     f"""WITH {_TALK_SQL} SELECT b.conv_id, line_no, CASE turn % 3 WHEN 0 THEN 'Alice' WHEN 1 THEN 'Bob' END AS owner, CASE turn % 3 WHEN 0 THEN 'Friday' END AS deadline,
-        CASE turn % 3 WHEN 0 THEN replace(item, 'Alice: ', '') WHEN 1 THEN replace(item, 'Bob: ', '') ELSE item END AS task FROM bullets b WHERE section = 'ACTION ITEMS'""",
+        CASE turn % 3 WHEN 0 THEN replace(replace(item, 'Alice: ', ''), ' (high) [done]', '') WHEN 1 THEN replace(replace(item, 'Bob: ', ''), ' (priority: low)', '') ELSE item END AS task,
+        CASE turn % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE '' END AS priority, CASE turn % 3 WHEN 0 THEN 'done' ELSE '' END AS status FROM bullets b WHERE section = 'ACTION ITEMS'""",
 )
 def _(load):
     found = R.action_items(R.section_lines(_notes(load), "conv_id"))
-    return found.select("conv_id", "line_no", "owner", "deadline", "task")
+    return found.select("conv_id", "line_no", "owner", "deadline", "task", "priority", "status")
 
 
 _OPENINGS = ("Agenda and attendees. Decisions: none", "Brainstorm: what if", "Status update: progress, no blocker", "Journal of this morning", "Random todo, sketch", "Nothing here")

@@ -120,8 +120,8 @@ def test_json_repair_levels(spark):
     ]
     got = results(column(spark, texts), S.json_repair(F.col("x"))["attempt"])
     assert got[:5] == [0, 0, 1, 2, 3]
-    # Text after the first object is no obstacle; a missing brace is added.
-    assert got[5] == 0 and got[6] == 5
+    # What follows the first object is cut off; a missing brace is added.
+    assert got[5] == 4 and got[6] == 5
     assert got[7:] == [None, None]
 
 
@@ -171,3 +171,41 @@ def test_fuzzy_match_against_brute_force(spark):
     for row in rows:
         assert row["canonical"] == brute(row["x"]), row["x"]
     assert indel_ratio("clientes", "cliente") == pytest.approx(93.333, abs=1e-3)
+
+
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ('{"a":"x\u0001y"}', {"a": "x\u0001y"}),
+        ('{"a":1} and {"b":2}', {"a": 1}),
+        ('{"a":"} c"} tail }', {"a": "} c"}),
+        ('say {"a": "he said \\"hi\\"\n", "b": [1, {"c": 2},],} done', {"a": 'he said "hi"\n', "b": [1, {"c": 2}]}),
+        ('{"a": "tab\there", "b": "bell\u0007"}', {"a": "tab\there", "b": "bell\u0007"}),
+        ('{"a": {"b": [1, 2', {"a": {"b": [1, 2]}}),
+        ('{"a": "never closed', {"a": "never closed"}),
+        ('{"a": "{", "b": "}"}', {"a": "{", "b": "}"}),
+    ],
+)
+def test_json_repair_keeps_values(spark, text, value):
+    import json
+
+    assert json.loads(results(column(spark, [text]), S.json_repair(F.col("x"))["json"])[0]) == value
+
+
+def test_json_repair_of_long_strings(spark):
+    import json
+
+    text = '{"a": "' + "x" * 200_000 + "\n" * 1000 + '"} and more }'
+    found = results(column(spark, [text]), S.json_repair(F.col("x"))["json"])[0]
+    assert json.loads(found) == {"a": "x" * 200_000 + "\n" * 1000}
+
+
+def test_workday_outside_the_calendar(spark):
+    from pyspark.errors import PySparkException
+
+    calendar = D.business_calendar(spark, "2024-01-01", "2024-01-31")
+    days = spark.createDataFrame([("2024-01-30", 5), (None, 1)], "day string, n int").withColumn("day", F.col("day").cast("date"))
+    nulls = D.workday_add(days, "day", F.col("n"), calendar, outside="null").collect()
+    assert [r["workday"] for r in nulls] == [None, None]
+    with pytest.raises(PySparkException, match="outside the business calendar"):
+        D.workday_add(days, "day", F.col("n"), calendar).collect()
