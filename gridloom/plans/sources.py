@@ -17,11 +17,18 @@ _CLEAN = "regexp_replace(c_name, '#', ' #')"
 
 
 def _delimited_files(load) -> str:
-    """Every customer in one of five delimited styles; some lines too long, some too short."""
+    """Every customer in one of five delimited styles.
+
+    Some records are too long, some too short, some names go over two lines, the first one is a megabyte long,
+    and the files of the last style are Latin-1.
+    """
     path = scratch_path(load.spark, "delimited")
     key = F.col("c_custkey")
     for i, (style, sep) in enumerate(_STYLES.items()):
-        name = F.concat(F.lit('"'), F.regexp_replace("c_name", "#", f" {sep}#"), F.lit('"'))
+        name = F.concat(
+            F.lit('"'), F.regexp_replace("c_name", "#", f" {sep}#"), F.when(key % 13 == 0, "\nsecond line").otherwise(""),
+            F.when(key == 1, F.repeat(F.lit("x"), 1_000_000)).otherwise(""), F.lit(' é"'),
+        )
         full = [key.cast("string"), name, F.col("c_acctbal").cast("decimal(12,2)").cast("string"),
                 F.when(key % 23 == 0, "").otherwise(F.col("c_mktsegment"))]
         line = (
@@ -29,16 +36,18 @@ def _delimited_files(load) -> str:
             .when(key % 29 == 0, F.concat_ws(sep, *full[:3])).otherwise(F.concat_ws(sep, *full))
         )
         header = sep.join(["c_custkey", "c_name", "c_acctbal", "c_mktsegment"])
-        rows = load("customer").filter(key % len(_STYLES) == i).select(line.alias(header))
+        # The writer takes lines; those of one record stay together in their partition.
+        rows = load("customer").filter(key % len(_STYLES) == i).repartition(2).select(F.explode(F.split(line, "\n")).alias(header))
         rows.write.option("header", True).option("sep", "\u0001").option("quote", "").option(
             "ignoreTrailingWhiteSpace", False
-        ).csv(f"{path}/{style}")
+        ).option("encoding", "ISO-8859-1" if style == "colon" else "UTF-8").csv(f"{path}/{style}")
     return path
 
 
 @query(
     "read_delimited",
-    """SELECT c_custkey::VARCHAR AS c1, replace(c_name, '#', ' ' || CASE c_custkey % 5 WHEN 0 THEN ',' WHEN 1 THEN chr(9) WHEN 2 THEN '|' WHEN 3 THEN ';' ELSE ':' END || '#') AS c2,
+    """SELECT c_custkey::VARCHAR AS c1, replace(c_name, '#', ' ' || CASE c_custkey % 5 WHEN 0 THEN ',' WHEN 1 THEN chr(9) WHEN 2 THEN '|' WHEN 3 THEN ';' ELSE ':' END || '#') ||
+              CASE WHEN c_custkey % 13 = 0 THEN chr(10) || 'second line' ELSE '' END || CASE WHEN c_custkey = 1 THEN repeat('x', 1000000) ELSE '' END || ' é' AS c2,
               c_acctbal::DECIMAL(12,2)::VARCHAR AS c3, CASE WHEN c_custkey % 29 = 0 THEN NULL WHEN c_custkey % 23 = 0 THEN '' ELSE c_mktsegment END AS c4
        FROM customer WHERE c_custkey % 31 <> 0""",
 )
@@ -47,30 +56,41 @@ def _(load):
     return grid.filter(F.col("cells")[0] != "c_custkey").select(*[F.col("cells")[i].alias(f"c{i + 1}") for i in range(4)])
 
 
+@query(
+    "skipped_records",
+    "SELECT c_custkey::VARCHAR AS c1, 4 AS width, 6 AS cells FROM customer WHERE c_custkey % 31 = 0",
+)
+def _(load):
+    skipped = delimited.skipped_records(load.spark, _delimited_files(load))
+    return skipped.select(F.col("cells")[0].alias("c1"), "width", F.size("cells").alias("cells"))
+
+
 @query(
     "detect_delimiter",
-    "SELECT * FROM (VALUES ('comma', ','), ('tab', chr(9)), ('pipe', '|'), ('semicolon', ';'), ('colon', ':')) t(style, delimiter) WHERE EXISTS (SELECT 1 FROM customer)",
+    "SELECT * FROM (VALUES ('comma', ',', 2), ('tab', chr(9), 2), ('pipe', '|', 2), ('semicolon', ';', 2), ('colon', ':', 2)) t(style, delimiter, files)",
 )
 def _(load):
     lines = delimited.file_lines(load.spark, _delimited_files(load))
     found = delimited.detect_delimiters(lines)
-    return found.select(F.element_at(F.split("file", "/"), -2).alias("style"), "delimiter").distinct()
+    return found.select(F.element_at(F.split("file", "/"), -2).alias("style"), "delimiter").groupBy("style", "delimiter").agg(
+        F.count("*").cast("int").alias("files")
+    )
 
 
 @query(
     "detect_encoding",
-    "SELECT * FROM (VALUES ('plain', 'utf-8'), ('marked', 'utf-8-sig'), ('western', 'latin-1')) t(style, encoding) WHERE EXISTS (SELECT 1 FROM documents)",
+    "SELECT * FROM (VALUES ('plain', 'utf-8', 3), ('marked', 'utf-8-sig', 3), ('western', 'latin-1', 3)) t(style, encoding, files)",
 )
 def _(load):
     path = scratch_path(load.spark, "encodings")
     line = F.concat_ws(" ", F.col("doc_id").cast("string"), "source", "lang")
     kinds = {"plain": (line, "UTF-8"), "marked": (F.concat(F.lit("﻿"), line), "UTF-8"), "western": (F.concat(F.lit("é "), line), "ISO-8859-1")}
     for style, (text, encoding) in kinds.items():
-        load("documents").select(text.alias("line")).write.option("encoding", encoding).csv(f"{path}/{style}")
+        load("documents").select(text.alias("line")).repartition(3).write.option("encoding", encoding).csv(f"{path}/{style}")
     blobs = load.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(path)
     return blobs.filter("length > 0").select(
         F.element_at(F.split("path", "/"), -2).alias("style"), delimited.detect_encoding(F.col("content")).alias("encoding")
-    ).distinct()
+    ).groupBy("style", "encoding").agg(F.count("*").cast("int").alias("files"))
 
 
 _BOOK_SQL = """SELECT 'book' || (c_custkey // 200) || '.xlsx' AS path, c_custkey % 200 + 2 AS r, * FROM customer"""
@@ -99,16 +119,31 @@ _LINES_SQL = """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line
 
 @query(
     "read_text_lines",
-    f"WITH {_LINES_SQL} SELECT doc_id, line_no, substr(trim(line), 1, 500) AS line, length(line) AS n_chars FROM l WHERE line_no < 50",
+    f"WITH {_LINES_SQL} SELECT doc_id, line_no, trim(line) AS line, length(line) AS n_chars FROM l",
 )
 def _(load):
-    lines = documents.text_lines(load("documents"), "doc_id").withColumn("n_chars", F.length("line"))
-    return documents.preview(lines)
+    return documents.stripped(documents.text_lines(load("documents"), "doc_id").withColumn("n_chars", F.length("line")))
 
 
 @query(
     "read_markdown_lines",
-    f"WITH {_LINES_SQL} SELECT doc_id, line_no, substr(trim(line), 1, 500) AS line FROM l WHERE line_no < 50 AND trim(line) <> ''",
+    f"WITH {_LINES_SQL} SELECT doc_id, line_no, trim(line) AS line FROM l WHERE trim(line) <> ''",
+)
+def _(load):
+    return documents.stripped(documents.text_lines(load("documents"), "doc_id"), markdown=True)
+
+
+@query(
+    "preview_text",
+    f"WITH {_LINES_SQL} SELECT doc_id, line_no, substr(trim(line), 1, 500) AS line, length(trim(line)) > 500 AS cut FROM l WHERE line_no < 50",
+)
+def _(load):
+    return documents.preview(documents.text_lines(load("documents"), "doc_id"))
+
+
+@query(
+    "preview_markdown",
+    f"WITH {_LINES_SQL} SELECT doc_id, line_no, substr(trim(line), 1, 500) AS line, length(trim(line)) > 500 AS cut FROM l WHERE line_no < 50 AND trim(line) <> ''",
 )
 def _(load):
     return documents.preview(documents.text_lines(load("documents"), "doc_id"), markdown=True)
@@ -124,28 +159,32 @@ def _(load):
 
 def mixed_files(load) -> str:
     path = scratch_path(load.spark, "arrivals")
-    load("customer").write.option("header", True).csv(f"{path}/customers")
-    load("documents").select("text").write.text(f"{path}/notes")
-    load("orders").write.json(f"{path}/orders")
+    load("customer").repartition(4).write.option("header", True).csv(f"{path}/customers")
+    load("documents").select("text").repartition(3).write.text(f"{path}/notes")
+    load("orders").repartition(2).write.json(f"{path}/orders")
     return path
 
 
-_REGISTRY_SQL = "(VALUES ('customers', 'csv', 'tabular'), ('notes', 'plain_text', 'narrative'), ('orders', NULL, NULL)) t(folder, file_type, route)"
+_REGISTRY_SQL = "(VALUES ('customers', 'csv', 'tabular', 4), ('notes', 'plain_text', 'narrative', 3), ('orders', NULL, NULL, 2)) t(folder, file_type, route, files)"
 
 
-@query("file_registry", f"SELECT folder, file_type, file_type IS NOT NULL AS accepted FROM {_REGISTRY_SQL} WHERE EXISTS (SELECT 1 FROM customer)")
+@query("file_registry", f"SELECT folder, file_type, file_type IS NOT NULL AS accepted, files FROM {_REGISTRY_SQL}")
 def _(load):
     registry = files.file_registry(load.spark, mixed_files(load))
     both = files.accepted(registry).withColumn("accepted", F.lit(True)).unionByName(
         files.rejected(registry).drop("reason").withColumn("accepted", F.lit(False))
     )
-    return both.select(F.element_at(F.split("path", "/"), -2).alias("folder"), "file_type", "accepted").distinct()
+    return both.groupBy(F.element_at(F.split("path", "/"), -2).alias("folder"), "file_type", "accepted").agg(
+        F.count("*").cast("int").alias("files")
+    )
 
 
-@query("route_files", f"SELECT folder, route FROM {_REGISTRY_SQL} WHERE EXISTS (SELECT 1 FROM customer)")
+@query("route_files", f"SELECT folder, route, files FROM {_REGISTRY_SQL}")
 def _(load):
     registry = files.file_registry(load.spark, mixed_files(load))
-    return registry.select(F.element_at(F.split("path", "/"), -2).alias("folder"), files.route(F.col("file_type")).alias("route")).distinct()
+    return registry.groupBy(F.element_at(F.split("path", "/"), -2).alias("folder"), files.route(F.col("file_type")).alias("route")).agg(
+        F.count("*").cast("int").alias("files")
+    )
 
 
 @query("read_null_marked", "SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS segment, c_acctbal AS balance FROM customer")
