@@ -10,7 +10,8 @@ UNSUPPORTED_FUNCTIONS = ("INDIRECT", "OFFSET", "ADDRESS")
 
 _CELL = r"\$?[A-Z]{1,3}\$?[0-9]+"
 _SHEET = r"(?:'[^']+'!|[A-Za-z0-9_]+!)?"
-_REFERENCE = rf"({_SHEET}{_CELL}(?::{_CELL})?)(?![A-Za-z0-9_(])"
+_LINES = r"\$?[A-Z]{1,3}:\$?[A-Z]{1,3}|\$?[0-9]+:\$?[0-9]+"
+_REFERENCE = rf"(?<![A-Za-z0-9_.$:!'])({_SHEET}(?:{_CELL}(?::{_CELL})?|{_LINES}))(?![A-Za-z0-9_(:!])"
 
 
 def _without_strings(formula: Column) -> Column:
@@ -33,6 +34,14 @@ def formula_references(formula: Column, sheet: Column) -> Column:
     )
 
 
+def formula_names(formula: Column) -> Column:
+    """Distinct words of a formula, in capitals, that may be defined names: no function and no reference."""
+    found = F.regexp_extract_all(
+        F.upper(_without_strings(formula)), F.lit(r"(?<![A-Z0-9_.$!:'])([A-Z_\\][A-Z0-9_.]*)(?![A-Z0-9_.(!:'])"), 1
+    )
+    return F.array_distinct(F.filter(found, lambda n: ~n.rlike(r"^[A-Z]{1,3}[0-9]+$")))
+
+
 def column_index(letters: Column) -> Column:
     """1-based column number of one to three letters, ``A``…``XFD``."""
     digit = lambda place: F.ascii(F.substring(F.upper(letters), place, 1)) - 64

@@ -10,39 +10,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.formulas import (
-    address_column,
     address_row,
+    column_index,
     column_letters,
+    formula_names,
     formula_references,
 )
 from gridloom.operators.ordered import carry_last
 from gridloom.session import cut_lineage, per_key
 
-# Fixed value: ranges up to this many cells also name their empty cells.
-RANGE_EXPANSION = 1000
-ROW_BUCKET = 256
+# Size of a sheet.
+LAST_ROW, LAST_COLUMN = 1_048_576, 16_384
+#: Stretches of rows or columns are cut into aligned pieces of 1, 16, 256 ... of them.
+_STEP = 16
 
 
 def cell_address(sheet: Column, row: Column, col: Column) -> Column:
     return F.concat(sheet, F.lit("!"), column_letters(col), row.cast("string"))
 
 
-def cell_references(cells: DataFrame) -> DataFrame:
-    """One row per distinct reference of a formula cell, with its bounds."""
-    refs = cells.filter(F.col("formula").isNotNull()).select(
+def _letters_of(corner: Column) -> Column:
+    """Column number of a corner of a range; NULL for a whole row."""
+    return column_index(F.nullif(F.regexp_extract(corner, "^([A-Za-z]+)", 1), F.lit("")))
+
+
+def cell_references(cells: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """One row per distinct reference of a formula cell, with its bounds.
+
+    Whole columns and whole rows are ranges to the end of the sheet. ``names`` gives the areas of defined
+    names as ``name, ref``, the reference with its sheet; a name in a formula counts as its area.
+    """
+    formulas = cells.filter(F.col("formula").isNotNull())
+    refs = formulas.select(
         F.col("address").alias("target"),
         F.explode(formula_references(F.col("formula"), F.col("sheet"))).alias("ref"),
     )
+    if names is not None:
+        used = formulas.select(F.col("address").alias("target"), F.explode(formula_names(F.col("formula"))).alias("_name"))
+        known = names.select(F.upper("name").alias("_name"), F.regexp_replace("ref", r"[$']", "").alias("ref"))
+        refs = refs.unionByName(used.join(known, "_name").select("target", "ref")).distinct()
     area = F.substring_index("ref", "!", -1)
     first, last = F.substring_index(area, ":", 1), F.substring_index(area, ":", -1)
     bounded = refs.select(
         "target",
         "ref",
         F.substring_index("ref", "!", 1).alias("ref_sheet"),
-        address_row(first).alias("ra"),
-        address_row(last).alias("rb"),
-        address_column(first).alias("ca"),
-        address_column(last).alias("cb"),
+        F.coalesce(address_row(first), F.lit(1)).alias("ra"),
+        F.coalesce(address_row(last), F.lit(LAST_ROW)).alias("rb"),
+        F.coalesce(_letters_of(first), F.lit(1)).alias("ca"),
+        F.coalesce(_letters_of(last), F.lit(LAST_COLUMN)).alias("cb"),
     )
     return bounded.select(
         "target", "ref", "ref_sheet",
@@ -51,47 +67,93 @@ def cell_references(cells: DataFrame) -> DataFrame:
     )
 
 
-def _area() -> Column:
-    return (F.col("r2") - F.col("r1") + 1) * (F.col("c2") - F.col("c1") + 1)
+def _one_cell() -> Column:
+    return (F.col("r1") == F.col("r2")) & (F.col("c1") == F.col("c2"))
 
 
-def expand_small(refs: DataFrame) -> DataFrame:
-    """Every cell of references up to the expansion limit, empty ones included."""
-    small = refs.filter(_area() <= RANGE_EXPANSION)
-    rows = small.select("*", F.explode(F.sequence("r1", "r2")).alias("row"))
-    spots = rows.select("*", F.explode(F.sequence("c1", "c2")).alias("col"))
-    return spots.select(
-        "target", "ref", cell_address(F.col("ref_sheet"), F.col("row"), F.col("col")).alias("source"),
-        F.col("ref_sheet").alias("sheet"), "row", "col",
+def named_cells(refs: DataFrame) -> DataFrame:
+    """The cell of every single-cell reference, filled or not."""
+    return refs.filter(_one_cell()).select(
+        "target", "ref", cell_address(F.col("ref_sheet"), F.col("r1"), F.col("c1")).alias("source"),
+        F.col("ref_sheet").alias("sheet"), F.col("r1").alias("row"), F.col("c1").alias("col"),
     )
 
 
+def _levels(last: int) -> int:
+    count = 1
+    while _STEP ** (count - 1) <= last:
+        count += 1
+    return count
+
+
+def _pieces(first: Column, last: Column, end: int) -> Column:
+    """Aligned pieces that make up ``first..last``: array of ``level, piece``, at most 30 a level."""
+    none = F.array().cast("array<bigint>")
+    run = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(none)
+    bounds = []
+    for level in range(_levels(end)):
+        size = _STEP**level
+        bounds.append((F.ceil(first / size).cast("bigint"), F.floor((last + 1) / size).cast("bigint") - 1))
+    parts = []
+    for level, (a, b) in enumerate(bounds):
+        if level + 1 < len(bounds):
+            up_a, up_b = bounds[level + 1]
+            outer = F.concat(
+                run(a, F.least(b, up_a * _STEP - 1)), run(F.greatest(a, up_b * _STEP + _STEP), b)
+            )
+            found = F.when(up_a <= up_b, outer).otherwise(run(a, b))
+        else:
+            found = run(a, b)
+        parts.append(_at_level(found, level))
+    return F.concat(*parts)
+
+
+def _at_level(pieces: Column, level: int) -> Column:
+    return F.transform(pieces, lambda p: F.struct(F.lit(level).alias("level"), p.alias("piece")))
+
+
+def _holders(place: Column, end: int) -> Column:
+    """The piece of every level that holds a place."""
+    return F.array(*[
+        F.struct(F.lit(n).alias("level"), F.floor(place / _STEP**n).cast("bigint").alias("piece")) for n in range(_levels(end))
+    ])
+
+
 def range_members(refs: DataFrame, cells: DataFrame) -> DataFrame:
     """Filled cells inside each referenced range, whatever its size.
 
-    Both sides meet on (sheet, band of rows), so that one big sheet spreads over its bands.
+    A range is taken line by line along its shorter side; each line is a few aligned pieces, and a cell
+    knows the piece of every size that holds it. Both meet in an equality join whose result is exactly the
+    members, so neither a tall range nor a crowded part of a sheet brings rows that are then filtered out.
     """
-    bands = refs.select(
-        "*", F.explode(F.sequence(F.floor(F.col("r1") / ROW_BUCKET), F.floor(F.col("r2") / ROW_BUCKET))).alias("band")
+    tall = (F.col("r2") - F.col("r1")) >= (F.col("c2") - F.col("c1"))
+    lines = refs.withColumn("down", tall).withColumn(
+        "line", F.explode(F.when(tall, F.sequence("c1", "c2")).otherwise(F.sequence("r1", "r2")))
     )
-    spots = cells.select(
-        F.col("sheet").alias("ref_sheet"), F.floor(F.col("row") / ROW_BUCKET).alias("band"), "row", "col",
-        F.col("address").alias("source"),
+    pieces = F.when(F.col("down"), _pieces(F.col("r1"), F.col("r2"), LAST_ROW)).otherwise(
+        _pieces(F.col("c1"), F.col("c2"), LAST_COLUMN)
     )
-    return (
-        bands.join(spots, ["ref_sheet", "band"])
-        .filter("row BETWEEN r1 AND r2 AND col BETWEEN c1 AND c2")
-        .select("target", "ref", "source", F.col("ref_sheet").alias("sheet"), "row", "col")
+    wanted = lines.select("target", "ref", "ref_sheet", "down", "line", F.explode(pieces).alias("p")).select(
+        "target", "ref", "ref_sheet", "down", "line", "p.level", "p.piece"
+    )
+    spot = [F.col("sheet").alias("ref_sheet"), "row", "col", F.col("address").alias("source")]
+    down = cells.select(*spot, F.lit(True).alias("down"), F.col("col").alias("line"), F.explode(_holders(F.col("row"), LAST_ROW)).alias("p"))
+    across = cells.select(*spot, F.lit(False).alias("down"), F.col("row").alias("line"), F.explode(_holders(F.col("col"), LAST_COLUMN)).alias("p"))
+    held = down.unionByName(across).select("ref_sheet", "row", "col", "source", "down", "line", "p.level", "p.piece")
+    return wanted.join(held, ["ref_sheet", "down", "line", "level", "piece"]).select(
+        "target", "ref", "source", F.col("ref_sheet").alias("sheet"), "row", "col"
     )
 
 
-def edge_list(cells: DataFrame) -> DataFrame:
-    """Distinct (source, target) pairs; large ranges link to their filled cells only."""
-    refs = cell_references(cells)
+def edge_list(cells: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Distinct (source, target) pairs, by one rule for all sizes.
+
+    A reference to one cell links that cell even when it is empty; a range links the filled cells in it.
+    """
+    refs = cell_references(cells, names)
     columns = ["source", "target", "sheet", "row", "col"]
-    small = expand_small(refs).select(*columns)
-    large = range_members(refs.filter(_area() > RANGE_EXPANSION), cells).select(*columns)
-    return small.unionByName(large).distinct()
+    members = range_members(refs.filter(~_one_cell()), cells).select(*columns)
+    return named_cells(refs).select(*columns).unionByName(members).distinct()
 
 
 def with_missing_cells(cells: DataFrame, edges: DataFrame) -> DataFrame:

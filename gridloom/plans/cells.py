@@ -105,17 +105,17 @@ CELLS_SQL = f"""
       FROM orders, (VALUES {_ORDER_FRAME}) t(r, c, v, k, f, nf, b, m)
     UNION ALL SELECT 'Cust' || c_custkey, r, c, v, k, NULL, nf, false, false FROM customer,
       (VALUES (1, 1, 'Rate', 'text', NULL), (1, 2, '0.95', 'number', '0.00'), (3, 1, 'Agreed with sales', 'text', NULL)) t(r, c, v, k, nf)),
-  cells AS (SELECT *, sheet || '!' || chr(64 + col) || "row" AS address FROM raw_cells),
+  cells AS MATERIALIZED (SELECT *, sheet || '!' || chr(64 + col) || "row" AS address FROM raw_cells),
   refs AS (SELECT address AS target, sheet, unnest(regexp_extract_all(replace(formula, '$', ''), '(?:[A-Za-z0-9_]+!)?[A-Z]{{1,3}}[0-9]+(?::[A-Z]{{1,3}}[0-9]+)?')) AS ref
       FROM cells WHERE formula IS NOT NULL),
   full_refs AS (SELECT DISTINCT target, CASE WHEN ref LIKE '%!%' THEN ref ELSE sheet || '!' || ref END AS ref FROM refs),
   bounds AS (SELECT target, ref, split_part(ref, '!', 1) AS ref_sheet, ascii(regexp_extract(ref, '!([A-Z])', 1)) - 64 AS c1,
       regexp_extract(ref, '!([A-Z])([0-9]+)', 2)::INT AS r1, coalesce(nullif(regexp_extract(ref, ':[A-Z]([0-9]+)', 1), ''), regexp_extract(ref, '!([A-Z])([0-9]+)', 2))::INT AS r2
       FROM full_refs),
-  spots AS (SELECT target, ref, ref_sheet, c1, unnest(generate_series(r1, r2)) AS r FROM bounds),
-  edges AS (SELECT DISTINCT ref_sheet || '!' || chr(64 + c1) || r AS source, target, ref_sheet AS sheet, r AS "row", c1 AS col FROM spots),
-  full_cells AS (SELECT sheet, "row", col, address, value, value_type, formula, number_format, bold, merged_anchor FROM cells
-      UNION ALL SELECT DISTINCT sheet, "row", col, source, NULL, 'blank', NULL, NULL, NULL, NULL FROM edges WHERE source NOT IN (SELECT address FROM cells)),
+  edges AS MATERIALIZED (SELECT DISTINCT ref_sheet || '!' || chr(64 + c1) || r1 AS source, target, ref_sheet AS sheet, r1 AS "row", c1 AS col FROM bounds WHERE r1 = r2
+      UNION SELECT address, target, sheet, "row", col FROM bounds JOIN cells ON sheet = ref_sheet AND col = c1 AND "row" BETWEEN r1 AND r2 WHERE r1 < r2),
+  full_cells AS MATERIALIZED (SELECT sheet, "row", col, address, value, value_type, formula, number_format, bold, merged_anchor FROM cells
+      UNION ALL SELECT DISTINCT e.sheet, e."row", e.col, source, NULL, 'blank', NULL, NULL, NULL, NULL FROM edges e ANTI JOIN cells c ON c.address = e.source),
   sources AS (SELECT DISTINCT source FROM edges),
   base_roles AS (SELECT c.*, CASE WHEN formula IS NOT NULL AND s.source IS NOT NULL THEN 'intermediate' WHEN formula IS NOT NULL THEN 'output'
       WHEN s.source IS NOT NULL THEN 'input' ELSE 'static' END AS role FROM full_cells c LEFT JOIN sources s ON c.address = s.source)

@@ -121,9 +121,9 @@ def _(load):
 # Order sheets of one customer meet in that customer's rate cell; everything else stands alone.
 _CLUSTER_SQL = f"""{ROLES_SQL},
   linked AS (SELECT address, CASE WHEN sheet LIKE 'Cust%' THEN substr(sheet, 5)::BIGINT ELSE o_custkey END AS c FROM full_cells
-      LEFT JOIN orders ON sheet = 'O' || o_orderkey WHERE address IN (SELECT source FROM edges UNION SELECT target FROM edges)),
+      LEFT JOIN orders ON sheet = 'O' || o_orderkey SEMI JOIN (SELECT source AS address FROM edges UNION SELECT target FROM edges) ends USING (address)),
   clusters AS (SELECT address, min(address) OVER (PARTITION BY c) AS cluster FROM linked
-      UNION ALL SELECT address, address FROM full_cells WHERE address NOT IN (SELECT address FROM linked)),
+      UNION ALL SELECT address, address FROM full_cells ANTI JOIN linked USING (address)),
   members AS (SELECT r.*, cluster FROM roles r JOIN clusters USING (address))"""
 
 
