@@ -13,10 +13,12 @@ def _second(name: str):
     return F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name)
 
 
-@query("arrivals_stream", "SELECT * FROM (VALUES ('customers', 'tabular'), ('notes', 'narrative'), ('orders', 'rejected')) t(folder, route) WHERE EXISTS (SELECT 1 FROM customer)")
+@query("arrivals_stream", "SELECT folder, route, files FROM (VALUES ('customers', 'tabular', 4), ('notes', 'narrative', 3), ('orders', 'rejected', 2)) t(folder, route, files)")
 def _(load):
     arrived = T.run_to_table(T.arrivals_stream(load.spark, mixed_files(load)))
-    return arrived.select(F.element_at(F.split("path", "/"), -2).alias("folder"), "route").distinct()
+    return arrived.select(F.element_at(F.split("path", "/"), -2).alias("folder"), "route", "path").groupBy("folder", "route").agg(
+        F.countDistinct("path").cast("int").alias("files")
+    )
 
 
 @query("dedupe_stream", "SELECT event_id, user_id, event_type FROM events")
@@ -46,19 +48,19 @@ def _(load):
 def _sessions_sql(minutes: int) -> str:
     return f"""e AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL {minutes} MINUTE THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
         n AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM e),
-        sess AS (SELECT user_id, s, min(ts) AS start, max(ts) AS last_update, max(ts) + INTERVAL {minutes} MINUTE AS stop, count(*) AS n FROM n GROUP BY 1, 2),
+        sess AS (SELECT user_id, s, min(ts) AS start, max(ts) AS last_update, arg_max(event_type, {{'ts': ts, 'id': event_id}}) AS last_status, max(ts) + INTERVAL {minutes} MINUTE AS stop, count(*) AS n FROM n GROUP BY 1, 2),
         closed AS (SELECT * FROM sess WHERE stop <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE)"""
 
 
-@query("job_sessions_stream", f"WITH {_sessions_sql(30)} SELECT user_id, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, strftime(stop, '%Y-%m-%d %H:%M:%S') AS stop, n FROM closed")
+@query("job_sessions_stream", f"WITH {_sessions_sql(30)} SELECT user_id, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, strftime(stop, '%Y-%m-%d %H:%M:%S') AS stop, n, last_status FROM closed")
 def _(load):
     sessions = T.run_to_table(T.sessions_stream(T.event_stream(load.spark, load.root), "user_id", "30 minutes"))
-    return sessions.select("user_id", _second("start"), _second("stop"), "n")
+    return sessions.select("user_id", _second("start"), _second("stop"), "n", "last_status")
 
 
-@query("stuck_jobs_stream", f"WITH {_sessions_sql(5)} SELECT user_id, strftime(last_update, '%Y-%m-%d %H:%M:%S') AS last_update, strftime(stop, '%Y-%m-%d %H:%M:%S') AS stuck_since FROM closed")
+@query("stuck_jobs_stream", f"WITH {_sessions_sql(5)} SELECT user_id, strftime(last_update, '%Y-%m-%d %H:%M:%S') AS last_update, strftime(stop, '%Y-%m-%d %H:%M:%S') AS stuck_since FROM closed WHERE last_status IN ('view', 'click')")
 def _(load):
-    stuck = T.run_to_table(T.stuck_stream(T.event_stream(load.spark, load.root), "user_id"))
+    stuck = T.run_to_table(T.stuck_stream(T.event_stream(load.spark, load.root), "user_id", ("view", "click")))
     return stuck.select("user_id", _second("last_update"), _second("stuck_since"))
 
 

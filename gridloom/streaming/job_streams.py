@@ -11,11 +11,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.session import scratch_path
 from gridloom.sources.files import file_type, route
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Batches of updates kept apart before they are reduced to one row per key.
+COMPACT = 8
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -26,21 +29,32 @@ def event_stream(spark: SparkSession, root: str, name: str = "events") -> DataFr
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _finish(df: DataFrame, mode: str, sink: Callable[[DataFrame, int], None]) -> None:
+def _finish(df: DataFrame, mode: str, sink: Callable[[DataFrame, int], None]) -> int:
+    """Run a stream to the end of its input; the number of rows that came behind the watermark."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # A busy key's sessions merge inside each partition before they are shuffled.
+    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     run = (
         df.writeStream.outputMode(mode).foreachBatch(sink).trigger(availableNow=True)
         .option("checkpointLocation", scratch_path(spark, "stream-checkpoint")).start()
     )
     try:
         run.awaitTermination()
+        return sum(
+            int(state.get("numRowsDroppedByWatermark", 0)) for batch in run.recentProgress for state in batch["stateOperators"]
+        )
     finally:
         run.stop()
 
 
 def run_to_table(df: DataFrame) -> DataFrame:
-    """Run an append-mode stream to the end of its input and read back what it wrote.
+    """Run an append-mode stream to the end of its input and read back what it wrote."""
+    return run_counting_late(df)[0]
+
+
+def run_counting_late(df: DataFrame) -> tuple[DataFrame, int]:
+    """What an append-mode stream wrote, and how many rows came behind the watermark.
 
     A batch that is written again after a failure replaces its own folder.
     """
@@ -50,23 +64,39 @@ def run_to_table(df: DataFrame) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    _finish(df, "append", write)
-    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    late = _finish(df, "append", write)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns), late
 
 
 def latest_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Run an update-mode aggregation and keep the newest row of each key."""
+    """Run an update-mode aggregation and keep the newest row of each key.
+
+    Every ``COMPACT`` batches, and at the end, the rows written so far are reduced to one per key. A
+    compacted folder is complete before its name is noted, so a failure leaves the older ones valid.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, "stream")
+    values = [c for c in df.columns if c not in keys]
+    live: dict[int, str] = {}
+
+    def newest() -> DataFrame:
+        rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_batch", T.LongType())])).parquet(*live.values())
+        picked = rows.groupBy(*keys).agg(F.max_by(F.struct(*values, "_batch"), "_batch").alias("v"))
+        return picked.select(*keys, *[F.col(f"v.{c}").alias(c) for c in values], F.col("v._batch").alias("_batch"))
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/batch-{number}")
+        live[number] = f"{path}/batch-{number}"
+        if len(live) > COMPACT:
+            folded = f"{path}/upto-{number}"
+            newest().write.mode("overwrite").parquet(folded)
+            live.clear()
+            live[number] = folded
 
     _finish(df, "update", write)
-    rows = spark.read.option("basePath", path).parquet(path)
-    values = [c for c in df.columns if c not in keys]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
-    return newest.select(*keys, *[F.col(f"v.{c}").alias(c) for c in values])
+    if not live:
+        return spark.createDataFrame([], df.schema)
+    return newest().select(*df.columns)
 
 
 def arrivals_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,19 +123,24 @@ def progress_counts_stream(events: DataFrame, length: str, slide: str | None = N
 
 
 def sessions_stream(events: DataFrame, key: str, gap: str, delay: str = "10 minutes") -> DataFrame:
-    """Closed bursts of activity per key."""
+    """Closed bursts of activity per key, with the status of the last event.
+
+    Of events of one instant the one with the greater ``event_id`` is the last.
+    """
     sessions = events.withWatermark("ts", delay).groupBy(key, F.session_window("ts", gap).alias("s")).agg(
-        F.count("*").alias("n"), F.max("ts").alias("last_update")
+        F.count("*").alias("n"), F.max("ts").alias("last_update"),
+        F.max_by("event_type", F.struct("ts", "event_id")).alias("last_status"),
     )
-    return sessions.select(key, F.col("s.start").alias("start"), F.col("s.end").alias("stop"), "n", "last_update")
+    return sessions.select(key, F.col("s.start").alias("start"), F.col("s.end").alias("stop"), "n", "last_update", "last_status")
 
 
-def stuck_stream(events: DataFrame, key: str, delay: str = "10 minutes") -> DataFrame:
-    """A job is stuck when five minutes pass without an update: its session closes.
+def stuck_stream(events: DataFrame, key: str, running: tuple[str, ...], delay: str = "10 minutes") -> DataFrame:
+    """A job is stuck when five minutes pass without an update while its status is a running one.
 
-    Sessions merge inside each partition first, so a busy job costs little state.
+    A job that ended with another status has finished and is not stuck.
     """
-    return sessions_stream(events, key, "5 minutes", delay).select(key, "last_update", F.col("stop").alias("stuck_since"))
+    closed = sessions_stream(events, key, "5 minutes", delay).filter(F.col("last_status").isin(*running))
+    return closed.select(key, "last_update", F.col("stop").alias("stuck_since"))
 
 
 def latest_state_stream(events: DataFrame, key: str, order: list[Column], value: str) -> DataFrame:
