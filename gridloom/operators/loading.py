@@ -116,7 +116,7 @@ def fact_load_with_fallback(
         alive(clients)
         .filter(F.startswith(F.trim("client_name"), F.lit(PLACEHOLDER)))
         .select(
-            F.substring(F.trim("client_name"), len(PLACEHOLDER) + 1, 1 << 20).alias("_num"),
+            F.regexp_replace(F.trim("client_name"), f"^{PLACEHOLDER}", "").alias("_num"),
             "client_id",
             F.trim("client_name").alias("client_name"),
         )

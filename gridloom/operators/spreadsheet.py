@@ -18,6 +18,14 @@ def basic_aggregates(df: DataFrame, by: list[str], value: Column) -> DataFrame:
     )
 
 
-def pivot_table(df: DataFrame, rows: list[str], columns: str, headings: list, value: Column) -> DataFrame:
-    """Rows by columns. The headings come from the pivot definition, which saves a pass to find them."""
-    return df.groupBy(*rows).pivot(columns, headings).agg(value)
+def pivot_table(df: DataFrame, rows: list[str], columns: str, value: Column, headings: list | None = None) -> DataFrame:
+    """Rows by columns, one for each value found, in order; NULL becomes ``null``.
+
+    With ``headings`` only those columns come out, and the rows of all other values are summed up in
+    ``(other)``, so that nothing is lost. Spark refuses more than ``spark.sql.pivotMaxValues`` columns.
+    """
+    if headings is None:
+        return df.groupBy(*rows).pivot(columns).agg(value)
+    known = F.col(columns).cast("string").isin([str(h) for h in headings])
+    named = df.withColumn(columns, F.when(known, F.col(columns).cast("string")).otherwise("(other)"))
+    return named.groupBy(*rows).pivot(columns, [*map(str, headings), "(other)"]).agg(value)

@@ -200,7 +200,8 @@ def _(load):
     """WITH d AS (SELECT ts::DATE AS day, count(*) FILTER (event_type = 'signup') AS joined, count(*) FILTER (event_type = 'error') AS left_ FROM events GROUP BY 1),
        h AS (SELECT *, sum(joined - left_) OVER (ORDER BY day)::BIGINT AS headcount FROM d),
        u AS (SELECT user_id, max(ts::DATE) - min(ts::DATE) AS days FROM events GROUP BY 1)
-       SELECT day::VARCHAR AS day, joined, left_ AS departed, headcount, (SELECT round(sum(days)::DOUBLE / count(*), 6) FROM u) AS mean_tenure FROM h""",
+       SELECT day::VARCHAR AS day, joined, left_ AS departed, headcount, (SELECT round(sum(days)::DOUBLE / count(*), 6) FROM u) AS mean_tenure,
+              CASE WHEN headcount + headcount - joined + left_ > 0 THEN round(2 * left_::DOUBLE / (headcount + headcount - joined + left_), 6) END AS turnover FROM h""",
 )
 def _(load):
     from pyspark.sql import Window
@@ -216,19 +217,29 @@ def _(load):
     return daily.select(
         F.col("day").cast("string").alias("day"), "joined", "departed",
         F.sum(F.col("joined") - F.col("departed")).over(upto).alias("headcount"), mean.alias("mean_tenure"),
-    )
+    ).withColumn("turnover", _turnover())
+
+
+def _turnover():
+    """Departures over the mean headcount of the day; NULL while nobody is there."""
+    around = 2 * F.col("headcount") - F.col("joined") + F.col("departed")
+    return F.when(around > 0, F.round(2 * F.col("departed").cast("double") / around, 6))
 
 
 @query(
     "operational_metrics",
-    """WITH h AS (SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2)
-       SELECT event_type, sum(n)::BIGINT AS events, round(sum(n)::DOUBLE / count(*), 6) AS per_busy_hour, round(count(*) / 720.0, 6)::DOUBLE AS utilisation, max(n) AS peak FROM h GROUP BY 1""",
+    """WITH h AS (SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2),
+       s AS (SELECT (epoch(max(hour)) - epoch(min(hour))) / 3600 + 1 AS hours FROM h)
+       SELECT event_type, sum(n)::BIGINT AS events, round(sum(n)::DOUBLE / count(*), 6) AS per_busy_hour,
+              round(count(*) / any_value(hours), 6)::DOUBLE AS utilisation, max(n) AS peak FROM h, s GROUP BY 1""",
 )
 def _(load):
-    hourly = load("events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"))
+    hourly = load("events").groupBy("event_type", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour")).agg(F.count("*").alias("n"))
+    # The period is what the table covers, in whole hours.
+    hours = hourly.agg(((F.max("hour").cast("long") - F.min("hour").cast("long")) / 3600 + 1).alias("h")).scalar()
     return hourly.groupBy("event_type").agg(
         F.sum("n").alias("events"), F.round(F.sum("n").cast("double") / F.count("*"), 6).alias("per_busy_hour"),
-        F.round(F.count("*") / F.lit(720.0), 6).alias("utilisation"), F.max("n").alias("peak"),
+        F.round(F.count("*") / F.first(hours), 6).alias("utilisation"), F.max("n").alias("peak"),
     )
 
 

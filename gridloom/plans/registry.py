@@ -10,7 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.session import cut_lineage
 from gridloom.tables import table
 
-_shared: dict[tuple[str, str, str], DataFrame] = {}
+_shared: dict[tuple, DataFrame] = {}
+
+
+def forget_shared() -> None:
+    """Build derived tables anew, so that a timing holds all the work of its key."""
+    _shared.clear()
+
+
+def _versions(spark: SparkSession, root: str) -> frozenset:
+    """Name, size and time of every input file; changed input never meets an older derived table."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    out = set()
+    while found.hasNext():
+        file = found.next()
+        out.add((file.getPath().toString(), file.getLen(), file.getModificationTime()))
+    return frozenset(out)
 
 
 class Loader:
@@ -24,8 +40,8 @@ class Loader:
         return table(self.spark, self.root, name)
 
     def shared(self, label: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """Write a derived table once per application and input folder."""
-        key = (self.spark.sparkContext.applicationId, self.root, label)
+        """Write a derived table once per application and state of the input files."""
+        key = (self.spark.sparkContext.applicationId, _versions(self.spark, self.root), label)
         if key not in _shared:
             _shared[key] = cut_lineage(build(), label)
         return _shared[key]

@@ -81,10 +81,22 @@ def _(load):
     "pivot_table",
     """SELECT o_orderpriority, (sum(o_totalprice::DECIMAL(19,4)) FILTER (o_orderstatus = 'F'))::DOUBLE AS "F",
         (sum(o_totalprice::DECIMAL(19,4)) FILTER (o_orderstatus = 'O'))::DOUBLE AS "O",
-        (sum(o_totalprice::DECIMAL(19,4)) FILTER (o_orderstatus = 'P'))::DOUBLE AS "P"
-       FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' GROUP BY 1""",
+        (sum(o_totalprice::DECIMAL(19,4)) FILTER (o_orderstatus = 'P'))::DOUBLE AS "P",
+        (sum(o_totalprice::DECIMAL(19,4)) FILTER (o_orderstatus IS NULL))::DOUBLE AS "null"
+       FROM (SELECT * EXCLUDE (o_orderstatus), CASE WHEN o_orderkey % 97 <> 0 THEN o_orderstatus END AS o_orderstatus FROM orders) WHERE o_orderdate >= TIMESTAMP '1997-01-01' GROUP BY 1""",
 )
 def _(load):
     recent = load("orders").filter("o_orderdate >= timestamp_ntz'1997-01-01'")
     total = F.sum(F.col("o_totalprice").cast("decimal(19,4)")).cast("double")
-    return pivot_table(recent, ["o_orderpriority"], "o_orderstatus", ["F", "O", "P"], total)
+    status = F.when(F.col("o_orderkey") % 97 != 0, F.col("o_orderstatus"))
+    return pivot_table(recent.withColumn("o_orderstatus", status), ["o_orderpriority"], "o_orderstatus", total)
+
+
+@query(
+    "pivot_with_headings",
+    """SELECT o_orderpriority, (sum(o_totalprice::DECIMAL(19,4)) FILTER (o_orderstatus = 'F'))::DOUBLE AS "F",
+        (sum(o_totalprice::DECIMAL(19,4)) FILTER (o_orderstatus <> 'F'))::DOUBLE AS "(other)" FROM orders GROUP BY 1""",
+)
+def _(load):
+    total = F.sum(F.col("o_totalprice").cast("decimal(19,4)")).cast("double")
+    return pivot_table(load("orders"), ["o_orderpriority"], "o_orderstatus", total, headings=["F"])

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 _local_scratch: dict[str, str] = {}
+FOLDER = "gridloom-scratch"
 
 
 def get_session(app_name: str = "gridloom", cores: int | None = None, **conf: str) -> SparkSession:
@@ -45,11 +46,21 @@ def _scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder named by ``spark.checkpoint.dir``.
+    """A fresh path in the shared folder named by ``spark.checkpoint.dir``, below one folder per application.
 
-    A machine-local folder is used only when the setting is absent and the master is local.
+    Where the setting is absent a local master, as in tests, gets a folder of its own; any other is refused.
     """
-    return f"{_scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{_scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _scratch_folder(spark: SparkSession) -> str:
+    return f"{_scratch_root(spark).rstrip('/')}/{FOLDER}-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote; frames that still read it become unreadable."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def per_key(df: DataFrame) -> DataFrame:

@@ -12,10 +12,13 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    from gridloom.session import get_session
+    import tempfile
 
-    session = get_session("tests", cores=4)
+    from gridloom.session import clear_scratch, get_session
+
+    session = get_session("tests", cores=4, spark__checkpoint__dir="file://" + tempfile.mkdtemp(prefix="gridloom-tests-"))
     yield session
+    clear_scratch(session)
     session.stop()
 
 

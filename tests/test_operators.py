@@ -1,5 +1,6 @@
 """Operators on small hand-made inputs, and against brute force under skew."""
 
+import datetime as dt
 import random
 
 import pytest
@@ -308,3 +309,198 @@ def test_report_layout(spark):
     assert "  Change: 12.3%" in text and sum(line.startswith("  Change") for line in text) == 1
     markdown = [r["line"] for r in sinks.report_lines(df, markdown=True).orderBy("line_no").collect()]
     assert markdown[0] == "# Analysis Report" and "### H7" in markdown
+
+
+@pytest.mark.parametrize("last", [999, 1000, 1001, 100_000])
+def test_ranges_follow_one_rule_at_every_size(spark, last):
+    cells = sheet(
+        spark, ("A1", "1", None), ("A7", "2", None), ("A999", "3", None), ("B5", "4", None), ("C1", None, f"=SUM(A1:A{last})"),
+        ("D1", None, "=A500"), ("E1", None, f"=SUM(A2:B{last})"),
+    )
+    edges = {(r["source"][7:], r["target"][7:]) for r in grid.edge_list(cells).collect()}
+    assert edges == {
+        ("A1", "C1"), ("A7", "C1"), ("A999", "C1"), ("A500", "D1"), ("A7", "E1"), ("A999", "E1"), ("B5", "E1"),
+    }
+
+
+def test_whole_columns_rows_and_defined_names(spark):
+    cells = sheet(
+        spark, ("A1", "1", None), ("A90000", "2", None), ("B3", "4", None), ("C3", None, "=SUM(A:B)"), ("D9", None, "=MAX($3:$3)"),
+        ("E1", None, "=Rate*2+SUM(Sales)"), ("F1", None, "=LOG10(A1)"),
+    )
+    names = spark.createDataFrame([("rate", "Sheet1!$B$3"), ("Sales", "'Sheet1'!$A:$A"), ("unused", "Sheet1!A1")], "name string, ref string")
+    found = {}
+    for r in grid.edge_list(cells, names).collect():
+        found.setdefault(r["target"][7:], set()).add(r["source"][7:])
+    assert found == {"C3": {"A1", "A90000", "B3"}, "D9": {"B3", "C3"}, "E1": {"A1", "A90000", "B3"}, "F1": {"A1"}}
+
+
+def test_range_members_against_brute_force(spark):
+    rng = random.Random(6)
+    spots = {(rng.randint(1, 400), rng.randint(1, 40)) for _ in range(600)}
+    cells = [(f"S{k}", r, c, f"S{k}!{r},{c}") for k in (1, 2) for r, c in spots]
+    refs, want = [], set()
+    for i in range(150):
+        r1, c1 = rng.randint(1, 400), rng.randint(1, 40)
+        r2, c2 = (rng.randint(r1, 420), rng.randint(c1, 45)) if i % 3 else (rng.choice([r1, 1_048_576]), 16_384)
+        refs.append((f"t{i}", f"ref{i}", f"S{i % 2 + 1}", r1, r2, c1, c2))
+        want |= {(f"t{i}", a) for s, r, c, a in cells if s == f"S{i % 2 + 1}" and r1 <= r <= r2 and c1 <= c <= c2}
+    got = grid.range_members(
+        spark.createDataFrame(refs, "target string, ref string, ref_sheet string, r1 int, r2 int, c1 int, c2 int"),
+        spark.createDataFrame(cells, "sheet string, row int, col int, address string"),
+    )
+    rows = [(r["target"], r["source"]) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def _longest(nodes, edges):
+    """Depths by plain relaxation; nodes on or below a cycle are left out."""
+    parents = {n: [] for n in nodes}
+    for s, t in edges:
+        parents[t].append(s)
+    depth = {}
+    changed = True
+    while changed:
+        changed = False
+        for n in nodes:
+            if n not in depth and all(p in depth for p in parents[n]):
+                depth[n] = max((depth[p] + 1 for p in parents[n]), default=0)
+                changed = True
+    return depth
+
+
+def test_depths_of_random_graphs(spark):
+    rng = random.Random(9)
+    for size, links, back in ((30, 40, 0), (60, 90, 3), (40, 39, 1)):
+        nodes = [f"n{i:02d}" for i in range(size)]
+        edges = set()
+        while len(edges) < links:
+            a, b = sorted(rng.sample(range(size), 2))
+            edges.add((nodes[a], nodes[b]))
+        for _ in range(back):
+            a, b = sorted(rng.sample(range(size), 2))
+            edges.add((nodes[b], nodes[a]))
+        got = graph.topological_depth(
+            spark.createDataFrame([(n,) for n in nodes], "address string"), spark.createDataFrame(sorted(edges), "source string, target string")
+        )
+        rows = got.collect()
+        assert len(rows) == len({r["address"] for r in rows})
+        assert {r["address"]: r["depth"] for r in rows} == _longest(nodes, edges)
+
+
+def test_depth_of_a_long_running_total(spark):
+    """B(n) = B(n-1) + A(n) over 20,000 rows, then a sum of both columns."""
+    n = 20_000
+    rows = spark.range(1, n + 1)
+    nodes = rows.select(F.concat(F.lit("A"), "id").alias("address")).union(rows.select(F.concat(F.lit("B"), "id"))).union(
+        spark.createDataFrame([("T",)], "address string")
+    )
+    below = lambda c: F.concat(F.lit(c), "id")
+    edges = (
+        rows.select(below("A").alias("source"), below("B").alias("target"))
+        .union(rows.filter(f"id < {n}").select(below("B"), F.concat(F.lit("B"), (F.col("id") + 1).cast("string"))))
+        .union(rows.select(below("B"), F.lit("T")))
+    )
+    depth = {r["address"]: r["depth"] for r in graph.topological_depth(nodes, edges).collect()}
+    assert len(depth) == 2 * n + 1 and depth["T"] == n + 1
+    assert all(depth[f"B{i}"] == i and depth[f"A{i}"] == 0 for i in range(1, n + 1))
+
+
+def test_quantiles_of_odd_values(spark):
+    inf, top = float("inf"), 1.7e308
+    df = spark.createDataFrame(
+        [(1.0, -top), (2.0, top), (inf, 0.0), (float("nan"), 5e-324), (None, 1.0), (-inf, None), (3.0, inf)], "a double, b double"
+    )
+    got = exact_quantiles(df, ["a", "b"], [0.0, 0.5, 1.0])
+    assert [got["a", p] for p in (0.0, 0.5, 1.0)] == [1.0, 2.0, 3.0]
+    assert [got["b", p] for p in (0.0, 0.5, 1.0)] == [-top, 5e-324, top]
+    tiny = spark.createDataFrame([(0.0,), (5e-324,), (1e-323,)], "a double")
+    assert exact_quantiles(tiny, ["a"], [0.5])["a", 0.5] == 5e-324
+
+
+def test_delimited_encodings_breaks_and_long_lines(spark, tmp_path):
+    (tmp_path / "latin.csv").write_bytes("name;city\nJosé;Köln\n".encode("latin-1"))
+    (tmp_path / "marked.csv").write_bytes("﻿name,city\né,x\n".encode())
+    (tmp_path / "breaks.csv").write_text('a,b,c\n1,"line one\nline, ""two""\n\nend",3\n4,"5 in",6\n7,5" pipe,8\n')
+    (tmp_path / "long.csv").write_text("a|b\n" + "x" * 1_000_000 + "|y\n" + "|".join(["z"] * 30_000) + "\n" + '"' + "q|" * 100_000 + '"|w\n')
+    (tmp_path / "open.csv").write_text('a,b\n1,"never closed\n2,x\n')
+    late = "é".encode() * 2047 + b"a"
+    (tmp_path / "late.csv").write_bytes(b"x,y\n" + late + "é,1\n".encode())
+    found = {}
+    for r in delimited.read_delimited(spark, str(tmp_path)).orderBy("row_idx").collect():
+        found.setdefault(r["file"].rsplit("/", 1)[-1], []).append(r["cells"])
+    assert found["latin.csv"] == [["name", "city"], ["José", "Köln"]]
+    assert found["marked.csv"] == [["name", "city"], ["é", "x"]]
+    assert found["breaks.csv"] == [["a", "b", "c"], ["1", 'line one\nline, "two"\n\nend', "3"], ["4", "5 in", "6"], ["7", '5" pipe', "8"]]
+    assert [len(r[0]) for r in found["long.csv"]] == [1, 1_000_000, 200_000]
+    assert found["open.csv"] == [["a", "b"], ["1", '"never closed'], ["2", "x"]]
+    assert found["late.csv"][1] == ["é" * 2047 + "aé", "1"]
+    skipped = delimited.skipped_records(spark, str(tmp_path)).collect()
+    assert [(r["file"].rsplit("/", 1)[-1], len(r["cells"])) for r in skipped] == [("long.csv", 30_000)]
+    blob = spark.read.format("binaryFile").load(str(tmp_path / "late.csv"))
+    assert blob.select(delimited.detect_encoding(F.col("content"))).first()[0] == "utf-8"
+
+
+def test_workbook_shared_formulas_and_missing_places(spark):
+    rows = [
+        '<row r="1"><c r="A1"><v>1</v></c><c r="B1"><f t="shared" ref="B1:B3" si="0">A1*$C$1+SUM(D:D)&amp;"A1"</f><v>0</v></c></row>',
+        '<row><c><v>2</v></c><c><f t="shared" si="0"/><v>0</v></c></row>',
+        '<row r="3"><c r="B3"><f t="shared" si="0"/><v>0</v></c><c><v>9</v></c></row>',
+    ]
+    blobs = spark.createDataFrame([("s.xlsx", workbook_bytes({"S": rows}))], "path string, content binary")
+    cells = {r["address"]: (r["value"], r["formula"]) for r in workbook.read_workbook_cells(blobs).collect()}
+    assert cells == {
+        "S!A1": ("1", None), "S!B1": ("0", '=A1*$C$1+SUM(D:D)&"A1"'), "S!A2": ("2", None), "S!B2": ("0", '=A2*$C$1+SUM(D:D)&"A1"'),
+        "S!B3": ("0", '=A3*$C$1+SUM(D:D)&"A1"'), "S!C3": ("9", None),
+    }
+    assert workbook.shifted("A1+'My A1'!B$2+$A:B+3:$4+LOG10(X1)", 2, 1) == "B3+'My A1'!C$2+$A:C+5:$4+LOG10(Y3)"
+    assert workbook.shifted("A1", -1, 0) == "#REF!"
+
+
+def test_large_sheet_is_read_in_bounded_memory(spark):
+    import resource
+
+    n = 150_000
+    rows = [f'<row r="{i}"><c r="A{i}"><v>{i}</v></c><c r="B{i}"><v>{i}</v></c></row>' for i in range(1, n + 1)]
+    content = workbook_bytes({"S": rows}, merged="A1:B1")
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    count = sum(1 for _ in workbook._cells("x", content))
+    grown = (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024
+    assert count == 2 * n and grown < 60
+
+
+def test_streams_over_several_files(spark, tmp_path):
+    """Rows that come late, rows that come twice, and a finished job that is not stuck."""
+    from gridloom.streaming import job_streams as T
+
+    def arrive(name, rows):
+        data = [(i, dt.datetime(2024, 1, 1, 10) + dt.timedelta(minutes=m), u, t, 0.0, "") for i, m, u, t in rows]
+        df = spark.createDataFrame(data, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string")
+        df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    arrive("a", [(1, 0, 7, "view"), (2, 1, 7, "view"), (3, 0, 8, "view"), (4, 2, 8, "purchase")])
+    arrive("b", [(5, 90, 9, "view"), (1, 0, 7, "view")])
+    arrive("c", [(6, 1, 7, "click"), (7, 200, 9, "view")])
+
+    def events():
+        parts = sorted(str(p) for p in (tmp_path / "in").glob("*/*.parquet"))
+        folder = tmp_path / "flat"
+        folder.mkdir(exist_ok=True)
+        for i, p in enumerate(parts):
+            if not (folder / f"{i}.parquet").exists():
+                (folder / f"{i}.parquet").write_bytes(open(p, "rb").read())
+        raw = spark.readStream.schema(T.EVENT_SCHEMA).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(str(folder))
+        return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+
+    assert T.run_to_table(T.dedupe_stream(events(), ["event_id"], "1 day")).count() == 7
+    stuck, late = T.run_counting_late(T.stuck_stream(events(), "user_id", ("view", "click")))
+    assert {r["user_id"] for r in stuck.collect()} == {7, 9}
+    assert late >= 1
+    newest = T.latest_per_key(T.latest_state_stream(events(), "user_id", [F.col("ts"), F.col("event_id")], "event_type"), ["user_id"])
+    assert {r["user_id"]: r["state"] for r in newest.collect()} == {7: "click", 8: "purchase", 9: "view"}
+    T.COMPACT, before = 1, T.COMPACT
+    try:
+        again = T.latest_per_key(T.latest_state_stream(events(), "user_id", [F.col("ts"), F.col("event_id")], "event_type"), ["user_id"])
+        assert sorted(map(tuple, again.collect())) == sorted(map(tuple, newest.collect()))
+    finally:
+        T.COMPACT = before
