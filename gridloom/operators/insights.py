@@ -148,6 +148,10 @@ def one_decimal(value: Column) -> Column:
     return F.round(value, 1).cast("decimal(38,1)").cast("string")
 
 
+def money(value: Column) -> Column:
+    return F.round(value, 2).cast("decimal(38,2)").cast("string")
+
+
 def insight(
     df: DataFrame, id_: Column, report: Column, domain: str, headline: Column, detail: Column, metric: str, value: Column,
     implication: str, severity: Column, hint: str, included: Column, delta: Column | None = None, percent: Column | None = None,
@@ -174,7 +178,7 @@ def series_insights(series: DataFrame, label: str, domain: str = "sales") -> Dat
     variance = insight(
         change, F.concat_ws("/", F.lit("variance"), who, when), who, domain,
         F.concat(F.lit("Revenue of "), who, F.lit(" changed "), one_decimal(percent), F.lit("% in "), when),
-        F.concat(F.lit("From "), F.col("v") - F.col("mom_delta"), F.lit(" to "), F.col("v"), F.lit(" in one month.")),
+        F.concat(F.lit("From "), money(F.col("v") - F.col("mom_delta")), F.lit(" to "), money(F.col("v")), F.lit(" in one month.")),
         "revenue", F.col("v"), "Check what drove the change.",
         F.when(F.abs(percent) > STRONG_PERCENT, "warning").otherwise("info"), "line",
         F.abs(percent) > VARIANCE_PERCENT, F.col("mom_delta"), percent,
@@ -183,14 +187,14 @@ def series_insights(series: DataFrame, label: str, domain: str = "sales") -> Dat
     reversal = insight(
         turns, F.concat_ws("/", F.lit("reversal"), who, when), who, domain,
         F.concat(F.lit("Trend of "), who, F.lit(" turned "), F.when(F.col("direction") > 0, "up").otherwise("down"), F.lit(" in "), when),
-        F.concat(F.lit("Revenue reached "), F.col("v"), F.lit(".")),
+        F.concat(F.lit("Revenue reached "), money(F.col("v")), F.lit(".")),
         "revenue", F.col("v"), "Watch whether the new direction holds.", F.lit("info"), "line", F.lit(True),
     )
     odd = group_deviation(series, [label], "v").filter(F.abs("z") > 2)
     anomaly = insight(
         odd, F.concat_ws("/", F.lit("anomaly"), who, when), who, domain,
         F.concat(F.lit("Unusual revenue of "), who, F.lit(" in "), when),
-        F.concat(F.lit("Revenue was "), F.col("v"), F.lit(".")),
+        F.concat(F.lit("Revenue was "), money(F.col("v")), F.lit(".")),
         "revenue", F.col("v"), "Confirm the figures for this month.", F.when(F.abs("z") > 3, "critical").otherwise("warning"),
         "bar", F.lit(True),
     )

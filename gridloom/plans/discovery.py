@@ -220,7 +220,17 @@ def _(load):
 
 
 # Grouping of alike sheets is transitive; a test compares it with brute force.
-@query("sheet_clusters")
+_ALIKE_SQL = """cols AS (SELECT o_custkey AS sheet, o_orderpriority AS name, max(o_orderstatus) AS type FROM orders GROUP BY 1, 2),
+  s AS (SELECT sheet, sha256('{"cols":[' || string_agg('{"name":"' || name || '","type":"' || type || '"}', ',' ORDER BY name, type) || ']}') AS sig,
+          list(name ORDER BY name) AS names, list(name || ':' || type ORDER BY name) AS typed FROM cols GROUP BY 1),
+  sigs AS MATERIALIZED (SELECT DISTINCT sig, names, typed FROM s),
+  pairs AS (SELECT a.sig AS x, b.sig AS y, len(list_intersect(a.names, b.names)) AS shared, len(list_intersect(a.typed, b.typed)) AS same,
+          len(a.names) AS na, len(b.names) AS nb FROM sigs a JOIN sigs b ON a.sig <> b.sig),
+  alike AS MATERIALIZED (SELECT x, y FROM pairs WHERE abs(na - nb) <= 2 AND shared >= greatest(na, nb) * 0.5 AND same >= shared * 0.7),
+  reach AS (SELECT sig AS x, sig AS y FROM sigs UNION SELECT r.x, a.y FROM reach r JOIN alike a ON a.x = r.y)"""
+
+
+@query("sheet_clusters", f"WITH RECURSIVE {_ALIKE_SQL}, c AS (SELECT x AS sig, min(y) AS cluster FROM reach GROUP BY 1) SELECT sheet, cluster FROM s JOIN c USING (sig)")
 def _(load):
     columns = load("orders").groupBy(F.col("o_custkey").alias("sheet"), F.col("o_orderpriority").alias("name")).agg(
         F.max("o_orderstatus").alias("type")

@@ -166,6 +166,11 @@ _LABEL_SQL = """, l AS (SELECT *, CASE WHEN role IN ('label', 'structural') THEN
       last_value(text IGNORE NULLS) OVER (PARTITION BY sheet, col ORDER BY "row")) AS label FROM l)"""
 
 
+def _cluster_names(load):
+    labelled = load.shared("cell_labels", lambda: grid.nearest_label(roles(load)).select("address", "role", "label"))
+    return graph.cluster_names(labelled.join(_clusters(load), "address"))
+
+
 @query(
     "cluster_names",
     f"""WITH {_CLUSTER_SQL} {_LABEL_SQL}, c AS (SELECT *, trim(regexp_replace(label, '[^a-zA-Z0-9 _-]', '', 'g')) AS clean FROM labelled WHERE role IN ('input', 'output'))
@@ -173,8 +178,7 @@ _LABEL_SQL = """, l AS (SELECT *, CASE WHEN role IN ('label', 'structural') THEN
         FROM c WHERE clean <> '' GROUP BY 1""",
 )
 def _(load):
-    labelled = load.shared("cell_labels", lambda: grid.nearest_label(roles(load)).select("address", "role", "label"))
-    return graph.cluster_names(labelled.join(_clusters(load), "address"))
+    return _cluster_names(load)
 
 
 @query(
@@ -241,12 +245,23 @@ def _(load):
 
 @query(
     "cluster_order",
-    f"""WITH {_CLUSTER_SQL}, c AS (SELECT cluster, count(*) FILTER (role = 'output') AS outputs FROM members GROUP BY 1)
-        SELECT cluster, outputs, row_number() OVER (ORDER BY outputs DESC, cluster) AS place FROM c""",
+    f"""WITH RECURSIVE {_CLUSTER_SQL} {_LABEL_SQL},
+        walk AS (SELECT address, 0 AS d FROM full_cells UNION SELECT e.target, w.d + 1 FROM walk w JOIN edges e ON e.source = w.address),
+        deepest AS (SELECT cluster, max(d) AS depth FROM walk JOIN members USING (address) GROUP BY 1),
+        clean AS (SELECT *, trim(regexp_replace(label, '[^a-zA-Z0-9 _-]', '', 'g')) AS clean FROM labelled WHERE role IN ('input', 'output')),
+        named AS (SELECT cluster, arg_min(lower(replace(clean, ' ', '_')), (CASE role WHEN 'output' THEN '0' ELSE '1' END) || address) AS name FROM clean WHERE clean <> '' GROUP BY 1),
+        c AS (SELECT cluster, count(*) FILTER (role = 'output') AS outputs FROM members GROUP BY 1)
+        SELECT cluster, outputs, depth, name, row_number() OVER (ORDER BY outputs DESC, depth, coalesce(name, ''), cluster) AS place
+        FROM c JOIN deepest USING (cluster) LEFT JOIN named USING (cluster)""",
 )
 def _(load):
-    sized = graph.cluster_summary(_members(load)).select("cluster", "outputs")
-    return ordered.running_number(sized, [], [-F.col("outputs"), F.col("cluster")], "place")
+    """Clusters with the most outputs first; among equals the shallower, then by name."""
+    members = _members(load)
+    sized = graph.cluster_summary(members).select("cluster", "outputs")
+    deepest = members.select("address", "cluster").join(_depths(load), "address").groupBy("cluster").agg(F.max("depth").alias("depth"))
+    every = sized.join(deepest, "cluster").join(_cluster_names(load), "cluster", "left")
+    order = [-F.col("outputs"), F.col("depth"), F.coalesce("name", F.lit("")), F.col("cluster")]
+    return ordered.running_number(every, [], order, "place")
 
 
 @query(

@@ -269,11 +269,22 @@ def _issues(load):
     orphans = P.orphan_rows(_raw_orders(load).withColumn("customer", F.trim("customer").try_cast("bigint")),
                             load("customer").filter("c_acctbal >= 1000"), "customer", "c_custkey")
     orphan_issues = P.issue(orphans, "o_orderkey", "customer", F.col("customer"), "referential_integrity", F.lit("No parent row"))
-    return reduce(DataFrame.unionByName, [_nulls(load), _mismatches(load), orphan_issues])
+    repeated = P.duplicate_keys(load("lineitem"), ["l_orderkey", "l_linenumber"])
+    repeated_issues = P.issue(repeated, "l_orderkey", "l_linenumber", F.col("l_linenumber"), "duplicate_key",
+                              F.concat(F.lit("Key seen "), F.col("seen"), F.lit(" times")))
+    broken = _broken_rules(load)
+    rule_issues = P.issue(broken, "row_number", "order", F.lit(None), "business_rule", F.col("rule"))
+    odd = P.outlier_rows(load("orders"), ["o_orderpriority"], "o_totalprice")
+    odd_issues = P.issue(odd, "o_orderkey", "o_totalprice", F.col("o_totalprice").cast("decimal(12,2)"), "outlier", F.lit("Far from the mean of its group"))
+    return reduce(DataFrame.unionByName, [_nulls(load), _mismatches(load), orphan_issues, repeated_issues, rule_issues, odd_issues])
 
 
 _ISSUES_SQL = f"""{_NULLS_SQL} UNION ALL {_MISMATCH_SQL} UNION ALL SELECT o_orderkey, 'customer', o_custkey::VARCHAR, 'referential_integrity', 'No parent row'
-    FROM orders WHERE o_custkey % 50 <> 0 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 1000)"""
+    FROM orders WHERE o_custkey % 50 <> 0 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 1000)
+    UNION ALL SELECT l_orderkey, 'l_linenumber', l_linenumber::VARCHAR, 'duplicate_key', 'Key seen ' || count(*) || ' times' FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
+    UNION ALL SELECT row_number, 'order', NULL, 'business_rule', rule FROM ({_RULES_SQL})
+    UNION ALL SELECT o_orderkey, 'o_totalprice', o_totalprice::DECIMAL(12,2)::VARCHAR, 'outlier', 'Far from the mean of its group' FROM (
+      SELECT *, (o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_orderpriority)) / stddev_samp(o_totalprice) OVER (PARTITION BY o_orderpriority) AS z FROM orders) WHERE abs(z) > 2"""
 
 
 @query("issue_log", _ISSUES_SQL)
