@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.llm.common import packed, unpacked
 from gridloom.llm.decontam import drop_contaminated
 from gridloom.llm.mixing import mixed_documents
 from gridloom.llm.near_dups import drop_near_duplicates
@@ -22,27 +23,29 @@ ORACLE_SQL = None
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the likelihood ratio fitted on this input."""
-    return quality_rules(docs, table(spark, sf_dir, "labels")).filter("kept").select(*docs.columns)
+    judged = quality_rules(packed(docs), table(spark, sf_dir, "labels"))
+    return unpacked(judged.filter("kept"), docs.columns)
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class."""
-    return drop_near_duplicates(docs).select(*docs.columns)
+    return unpacked(drop_near_duplicates(packed(docs)), docs.columns)
 
 
 def remove_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no test item, verbatim or edited."""
-    return drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return unpacked(drop_contaminated(packed(docs), table(spark, sf_dir, "benchmark")), docs.columns)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's word budget takes it."""
-    return mixed_documents(docs).select(*docs.columns)
+    need = ("doc_id", "text", "source")
+    return unpacked(mixed_documents(packed(docs, need)), docs.columns, need)
 
 
 def shuffle_into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows in shuffled order: the documents' columns, shard and slot."""
-    return shuffle_shards(docs).select(*docs.columns, "shard", "slot", "grown_shard")
+    """All rows in shuffled order: the documents' columns, shard, slot and the shard if there were one more."""
+    return unpacked(shuffle_shards(packed(docs)), docs.columns, more=("shard", "slot", "grown_shard"))
 
 
 STAGES = [

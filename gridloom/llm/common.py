@@ -93,3 +93,21 @@ def sifted(rows: DataFrame, bits: DataFrame, *columns: str, passing: bool = True
     held = F.get(bits.scalar(), F.shiftright(place, 6).cast("int"))
     bit = F.call_function("shiftright", held, place.bitwiseAND(63).cast("int")).bitwiseAND(1)
     return rows.filter(bit == 1 if passing else bit == 0)
+
+
+def packed(docs: DataFrame, need: Iterable[str] = ("doc_id", "text")) -> DataFrame:
+    """The needed columns, and all others in a struct ``_row``, out of reach of the names an operator uses."""
+    names, need = docs.columns, list(need)
+    fresh = docs.toDF(*[f"_{i}" for i in range(len(names))])
+    places = {n: names.index(n) for n in need}
+    others = [i for i in range(len(names)) if i not in places.values()]
+    row = [F.struct(*[F.col(f"_{i}").alias(f"c{i}") for i in others]).alias("_row")] if others else []
+    return fresh.select(*[F.col(f"_{i}").alias(n) for n, i in places.items()], *row)
+
+
+def unpacked(rows: DataFrame, names: list[str], need: Iterable[str] = ("doc_id", "text"), more: Iterable[str] = ()) -> DataFrame:
+    """Columns as they were before :func:`packed`; an original column that bears a name in ``more`` gives way."""
+    need, more = list(need), list(more)
+    places = {names.index(n): n for n in need}
+    kept = [i for i, n in enumerate(names) if n.lower() not in {m.lower() for m in more}]
+    return rows.select(*[(F.col(places[i]) if i in places else F.col(f"_row.c{i}")).alias(names[i]) for i in kept], *more)
