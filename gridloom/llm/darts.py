@@ -116,9 +116,9 @@ def _throw(best, elements, weights, owner, limit, done, k) -> None:
 
 
 def bands(signature: np.ndarray, rows: int) -> np.ndarray:
-    """One hash per run of ``rows`` coordinates."""
+    """One hash per run of ``rows`` coordinates and its number."""
     sets, k = signature.shape
-    out = np.zeros((sets, k // rows), dtype=np.uint64)
+    out = np.tile(np.arange(k // rows, dtype=np.uint64), (sets, 1))
     for r in range(rows):
         with np.errstate(over="ignore"):
             out = mix(out * _GOLDEN + signature[:, r : rows * (k // rows) : rows] + _U(r + 1))

@@ -6,10 +6,10 @@
    in a bucket: at similarity 0.8 all but about 5 in a million pairs do.
 3. Each member is first compared with one leader, the text among its buckets' members that shares the most
    places with others. Links that hold make components.
-4. Only buckets that still hold several components are looked at again: their members are compared in
-   blocks, and pairs of different components whose signatures agree in ``LIKELY`` of the coordinates are
-   verified too (about 5 in 100,000 pairs at 0.8 fall below). Pairs inside a component are never made,
-   since they cannot change it; there is no limit on partners.
+4. Only buckets that still hold several components are looked at again. Their members get a longer
+   signature of ``LONG`` coordinates and are compared in blocks; pairs of different components that agree in
+   ``LIKELY`` of the coordinates are verified too (about 5 in 100,000 pairs at 0.8 fall below). Pairs inside
+   a component are never made, since they cannot change it; there is no limit on partners.
 5. A verified pair has an exact (weighted) Jaccard similarity of ``SIMILARITY`` or more over whole texts. Classes
    are the connected components of all verified links.
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import batches, tidy
+from gridloom.llm.common import batches, sieve, sifted, tidy
 from gridloom.llm.darts import WordHashes, bands, mix, shingles, signatures
 from gridloom.operators.graph import components
 from gridloom.session import cut_lineage, per_key
@@ -37,7 +37,7 @@ from gridloom.session import cut_lineage, per_key
 SHINGLE = 5
 SIMILARITY = 0.8
 K, ROWS = 240, 6
-LIKELY = 0.7
+LONG, LIKELY = 960, 0.75
 BLOCK = 512
 BATCH = 512
 
@@ -70,19 +70,34 @@ def _sign(n: int, k: int, rows: int, weighted: bool):
             weights = None
             if weighted:
                 elements, owner, weights = _counted(elements, owner)
-            signature = signatures(elements, weights, owner, len(texts), k)
-            short = (mix(signature) & np.uint64(0xFFFF)).astype(np.uint16)
-            keys = bands(signature, rows).view(np.int64)
+            keys = bands(signatures(elements, weights, owner, len(texts), k), rows).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("pos"), batch.column("doc_id"), batch.column("fp"),
                     pa.array(np.bincount(owner, minlength=len(texts)).astype(np.int64)),
-                    pa.array([r.tobytes() for r in short], type=pa.binary()),
                     pa.ListArray.from_arrays(
                         pa.array(np.arange(len(texts) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel())
                     ),
                 ],
-                ["pos", "doc_id", "fp", "size", "signature", "bands"],
+                ["pos", "doc_id", "fp", "size", "bands"],
+            )
+
+    return run
+
+
+def _sign_long(n: int, k: int, weighted: bool):
+    """Long signatures, 16 bits a coordinate."""
+
+    def run(arrow_batches):
+        for batch in arrow_batches:
+            texts = batch.column("text").to_pylist()
+            elements, owner = _texts_to_shingles(texts, n)
+            weights = None
+            if weighted:
+                elements, owner, weights = _counted(elements, owner)
+            short = (mix(signatures(elements, weights, owner, len(texts), k)) & np.uint64(0xFFFF)).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("fp"), pa.array([r.tobytes() for r in short], type=pa.binary())], ["fp", "signature"]
             )
 
     return run
@@ -107,11 +122,11 @@ def _runs(arrow_batches, keys: list[str]):
         yield held
 
 
-def _block_pairs(rows: int, k: int, similarity: float, likely: float):
+def _block_pairs(k: int, similarity: float, likely: float):
     """Pairs of a bucket's block pair that differ in component and look alike by signature."""
 
     def run(arrow_batches):
-        for group in _runs(arrow_batches, ["band", "key", "one", "two"]):
+        for group in _runs(arrow_batches, ["key", "one", "two"]):
             if len(group) < 2:
                 continue
             band = group.column("band")[0].as_py()
@@ -120,6 +135,7 @@ def _block_pairs(rows: int, k: int, similarity: float, likely: float):
                 continue
             size = group.column("size").to_numpy()
             sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), dtype=np.uint16).reshape(len(group), k)
+            keys = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(group), -1)[:, :band]
             one, two = group.column("one")[0].as_py(), group.column("two")[0].as_py()
             left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
             found_a, found_b = [], []
@@ -129,12 +145,9 @@ def _block_pairs(rows: int, k: int, similarity: float, likely: float):
                         & (np.minimum(size[js], size[i]) >= similarity * np.maximum(size[js], size[i]))]
                 if not len(js):
                     continue
-                same = sig[js] == sig[i]
-                js, same = js[likes := same.mean(axis=1) >= likely], same[likes]
                 # A pair that meets in several bands is taken in the first.
-                if band and len(js):
-                    before = same[:, : band * rows].reshape(len(js), band, rows).all(axis=2).any(axis=1)
-                    js = js[~before]
+                js = js[~(keys[js] == keys[i]).any(axis=1)]
+                js = js[(sig[js] == sig[i]).mean(axis=1) >= likely]
                 found_a.append(np.full(len(js), pos[i]))
                 found_b.append(pos[js])
             if found_a:
@@ -166,21 +179,26 @@ def _verify_group(n: int, similarity: float, weighted: bool):
     return run
 
 
+def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """``fp, text``, one row for each ``fp`` of ``wanted``; a sieve keeps all other texts out of the shuffle."""
+    fps = per_key(wanted.select("fp").distinct())
+    known = sifted(docs.select(F.md5("text").alias("fp"), "text"), sieve(fps, "fp"), "fp")
+    return cut_lineage(known.join(fps, "fp").dropDuplicates(["fp"]), "near-texts")
+
+
 def verified_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, similarity: float, weighted: bool) -> DataFrame:
     """The pairs ``source, target`` whose whole texts are similar enough."""
     pairs = cut_lineage(pairs, "near-pairs")
-    ends = pairs.select(F.explode(F.array("source", "target")).alias("pos"))
-    grid = max(1, -(-ends.distinct().count() // BLOCK))
+    ends = pairs.select(F.col("source").alias("pos")).union(pairs.select("target")).distinct()
+    grid = max(1, -(-ends.count() // BLOCK))
 
     def block(c: str):
         return F.pmod(F.xxhash64(F.col(c), F.lit(17)), F.lit(grid))
 
     dealt = pairs.withColumn("gx", block("source")).withColumn("gy", block("target"))
-    needed = dealt.select(F.explode(F.array("source", "target")).alias("pos"), "gx", "gy").distinct()
+    needed = dealt.select(F.col("source").alias("pos"), "gx", "gy").union(dealt.select("target", "gx", "gy")).distinct()
     needed = cut_lineage(needed.join(nodes.select(F.col("node").alias("pos"), "fp"), "pos"), "near-needed")
-    fps = per_key(needed.select("fp").distinct())
-    one_each = docs.select(F.md5("text").alias("fp"), "text").join(fps, "fp").dropDuplicates(["fp"])
-    texts = needed.join(cut_lineage(one_each, "near-texts"), "fp").select("pos", "gx", "gy", "text")
+    texts = needed.join(texts_of(needed, docs), "fp").select("pos", "gx", "gy", "text")
     checked = dealt.groupBy("gx", "gy").cogroup(texts.groupBy("gx", "gy")).applyInArrow(
         lambda p, t: _verify_group(n, similarity, weighted)(p, t), "source long, target long"
     )
@@ -199,21 +217,26 @@ def near_duplicates(
         signed = cut_lineage(
             marked.mapInArrow(
                 _sign(n, K, ROWS, weighted),
-                f"pos long, doc_id {dict(docs.dtypes)['doc_id']}, fp string, size long, signature binary, bands array<bigint>",
+                f"pos long, doc_id {dict(docs.dtypes)['doc_id']}, fp string, size long, bands array<bigint>",
             ),
             "near-signed",
         )
     usable = signed.filter("size > 0")
-    nodes = per_key(usable.groupBy("fp").agg(F.min("pos").alias("node")))
-    single = usable.join(nodes.select(F.col("node").alias("pos")), "pos", "left_semi")
+    counted = usable.groupBy("fp").agg(F.min("pos").alias("node"), F.count("*").alias("copies"))
+    nodes = per_key(counted)
+    # Texts that occur once need no join to find the row that stands for them.
+    copied = sieve(nodes.filter("copies > 1"), "fp")
+    first_of = sifted(usable, copied, "fp").join(nodes.select(F.col("node").alias("pos")), "pos", "left_semi")
+    single = sifted(usable, copied, "fp", passing=False).unionByName(first_of)
     placed = single.select("pos", F.posexplode("bands").alias("band", "key"))
-    sizes = per_key(placed.groupBy("band", "key").agg(F.count("*").alias("members")).filter("members > 1"))
-    shared = cut_lineage(placed.join(sizes, ["band", "key"]), "near-buckets")
+    sizes = per_key(placed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"))
+    shared = cut_lineage(sifted(placed, sieve(sizes, "key"), "key").join(sizes, "key"), "near-buckets")
 
     links = verified_links(_leader_pairs(shared), nodes, texts, n, similarity, weighted)
     members = cut_lineage(shared.select(F.col("pos").alias("address")).distinct(), "near-members")
     first = cut_lineage(components(members, links), "near-components")
-    more = verified_links(_open_pairs(spark, shared, first, single, similarity), nodes, texts, n, similarity, weighted)
+    likely = _open_pairs(shared, first, single, nodes, texts, n, similarity, weighted)
+    more = verified_links(likely, nodes, texts, n, similarity, weighted)
     final = per_key(components(members, links.unionByName(more)))
 
     node_of = nodes.join(final.select(F.col("address").alias("node"), "cluster"), "node", "left").select(
@@ -237,32 +260,41 @@ def _leader_pairs(shared: DataFrame) -> DataFrame:
     score = per_key(shared.groupBy("pos").agg(F.sum("members").alias("score")))
     scored = cut_lineage(shared.join(score, "pos"), "near-scored")
     rank = F.struct("score", (-F.col("pos")).alias("p"))
-    leaders = per_key(scored.groupBy("band", "key").agg(F.max(rank).alias("leader")))
-    met = scored.join(leaders, ["band", "key"]).filter(F.col("pos") != -F.col("leader.p"))
+    leaders = per_key(scored.groupBy("key").agg(F.max(rank).alias("leader")))
+    met = scored.join(leaders, "key").filter(F.col("pos") != -F.col("leader.p"))
     best = met.groupBy("pos").agg(F.max("leader").alias("leader"))
     other = -F.col("leader.p")
     return best.select(F.least("pos", other).alias("source"), F.greatest("pos", other).alias("target")).distinct()
 
 
-def _open_pairs(spark, shared: DataFrame, found: DataFrame, single: DataFrame, similarity: float) -> DataFrame:
+def _open_pairs(
+    shared: DataFrame, found: DataFrame, single: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, similarity: float, weighted: bool
+) -> DataFrame:
     """Likely pairs of different components that share a bucket, made block by block."""
+    spark = shared.sparkSession
     placed = cut_lineage(shared.join(found.select(F.col("address").alias("pos"), F.col("cluster").alias("comp")), "pos"), "near-open")
-    mixed = placed.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
-    open_rows = placed.join(per_key(mixed.select("band", "key")), ["band", "key"])
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
+    open_rows = cut_lineage(placed.join(per_key(mixed.select("key")), "key"), "near-open-rows")
+    members = per_key(open_rows.select("pos").distinct())
+    known = sifted(single, sieve(members, "pos"), "pos").select("pos", "fp", "size", "bands").join(members, "pos", "left_semi")
+    known = cut_lineage(known, "near-open-members")
+    with batches(spark, BATCH):
+        signed = cut_lineage(
+            texts_of(known, texts).mapInArrow(_sign_long(n, LONG, weighted), "fp string, signature binary"), "near-long"
+        )
+    known = known.join(signed, "fp").drop("fp")
     blocks = F.ceil(F.col("members") / BLOCK)
     mine = F.pmod(F.xxhash64("pos", F.lit(23)), blocks)
     paired = open_rows.withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     paired = paired.select(
         "pos", "band", "key", "comp", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")
-    ).join(single.select("pos", "size", "signature"), "pos")
-    keys = ["band", "key", "one", "two"]
+    ).join(known, "pos")
+    keys = ["key", "one", "two"]
     # A fixed number of partitions, so that a run of equal keys is never cut.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = paired.repartition(parts, *keys).sortWithinPartitions(*keys, "pos")
-    with batches(spark, 4096):
-        return cut_lineage(
-            dealt.mapInArrow(_block_pairs(ROWS, K, similarity, LIKELY), "source long, target long"), "near-likely"
-        )
+    with batches(spark, 1024):
+        return cut_lineage(dealt.mapInArrow(_block_pairs(LONG, similarity, LIKELY), "source long, target long"), "near-likely")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
