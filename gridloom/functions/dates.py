@@ -28,6 +28,12 @@ def to_timestamp_coerce(text: Column, layouts: dict[str, str] = TIMESTAMP_LAYOUT
     """
     value = F.trim(text)
     parsed = F.when(value.isNull(), F.lit(None).cast("timestamp"))
+    if layouts is TIMESTAMP_LAYOUTS:
+        # Every one of these layouts has a separator or eight characters: one cheap look rules most values out.
+        marks = [F.contains(value, F.lit(m)) for m in ("-", "/", ",")]
+        parsed = parsed.when(
+            ~((F.length(value) == 8) | marks[0] | marks[1] | marks[2]) | (F.length(value) > 25), F.lit(None).cast("timestamp")
+        )
     for layout, shape in layouts.items():
         parsed = parsed.when(value.rlike(shape), F.try_to_timestamp(value, F.lit(layout)))
     return parsed
@@ -38,6 +44,17 @@ def excel_serial(day: Column) -> Column:
     return F.datediff(day, F.lit(SERIAL_BASE).cast("date"))
 
 
+def today_serial(clock: Column) -> Column:
+    """Serial of the day of ``clock``, which stands for the current time so that results repeat."""
+    return excel_serial(F.to_date(clock))
+
+
+def now_serial(clock: Column) -> Column:
+    """Serial of ``clock`` with the time as a fraction of the day."""
+    seconds = F.hour(clock) * 3600 + F.minute(clock) * 60 + F.second(clock)
+    return today_serial(clock) + seconds / F.lit(86400.0)
+
+
 def from_serial(serial: Column) -> Column:
     return F.date_add(F.lit(SERIAL_BASE).cast("date"), F.floor(serial).cast("int"))
 

@@ -32,6 +32,25 @@ def truncate_text(text: Column, limit: int, marker: str = "...") -> Column:
     ).otherwise(text)
 
 
+def left_of(text: Column, count: int = 1) -> Column:
+    """The first characters; an empty cell gives an empty text."""
+    return F.left(F.coalesce(text, F.lit("")), F.lit(count))
+
+
+def right_of(text: Column, count: int = 1) -> Column:
+    return F.right(F.coalesce(text, F.lit("")), F.lit(count))
+
+
+def middle_of(text: Column, start: int, count: int) -> Column:
+    """``count`` characters from place ``start``, counted from 1."""
+    return F.substring(F.coalesce(text, F.lit("")), start, count)
+
+
+def shown_number(value: Column, decimals: int) -> Column:
+    """A number as text with separators of thousands."""
+    return F.format_number(value, decimals)
+
+
 def phone_e164(text: Column, country: str = "1", national_digits: int = 10) -> Column:
     """``+`` and digits when the text can be read as a phone number, else NULL."""
     raw = F.trim(text)

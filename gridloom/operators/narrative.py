@@ -157,6 +157,8 @@ def narrative_metrics(items: DataFrame, key: str) -> DataFrame:
 KIND_CAPS = {"open_questions": 5, "tensions": 3, "ideas": 3}
 MAX_PRELIMINARY = 20
 NOVEL = ("high", "novel", "innovative")
+# How the headlines of the five rules begin.
+HEADLINES = ("Unowned action: ", "No deadline: ", "Open question: ", "Tension: ", "High-novelty idea: ")
 
 
 def first_n_per_kind(items: DataFrame, caps: dict[str, int] = KIND_CAPS) -> DataFrame:
@@ -172,14 +174,14 @@ def preliminary_insights(items: DataFrame, key: str) -> DataFrame:
     capped = first_n_per_kind(items)
     resolved = F.lower(fields["resolution_status"]) == "resolved"
     rules = [
-        (tasks.filter(_blank(person)), "Unowned action: ", "absence", F.lit("warning"), "Risk of task falling through the cracks."),
-        (tasks.filter(_blank(fields["deadline"]) & ~_blank(person)), "No deadline: ", "absence", F.lit("info"),
-         "May be deprioritized indefinitely."),
-        (capped.filter("kind = 'open_questions'"), "Open question: ", "quote", F.lit("info"), "Unresolved item may block progress."),
-        (capped.filter("kind = 'tensions'"), "Tension: ", "pattern", F.when(resolved, "info").otherwise("warning"),
-         "May need facilitation to resolve."),
-        (capped.filter(F.col("kind") == "ideas").filter(F.lower(fields["novelty"]).isin(*NOVEL)), "High-novelty idea: ", "quote",
-         F.lit("info"), "Consider explicit follow-up or ownership."),
+        (tasks.filter(_blank(person)), HEADLINES[0], "absence", F.lit("warning"), "Nobody is responsible, so it may never be done."),
+        (tasks.filter(_blank(fields["deadline"]) & ~_blank(person)), HEADLINES[1], "absence", F.lit("info"),
+         "Without a date it competes with everything that has one."),
+        (capped.filter("kind = 'open_questions'"), HEADLINES[2], "quote", F.lit("info"), "Work that depends on the answer has to wait."),
+        (capped.filter("kind = 'tensions'"), HEADLINES[3], "pattern", F.when(resolved, "info").otherwise("warning"),
+         "Someone should bring both sides together."),
+        (capped.filter(F.col("kind") == "ideas").filter(F.lower(fields["novelty"]).isin(*NOVEL)), HEADLINES[4], "quote",
+         F.lit("info"), "Name a person to look into it."),
     ]
     rows = reduce(DataFrame.unionByName, [
         df.select(

@@ -77,14 +77,19 @@ def key_candidates(df: DataFrame, columns: list[str], pairs: bool = False) -> Da
     singles = column_profile(df, columns).filter("nulls = 0 AND distinct_values = rows").select("column")
     if not pairs:
         return singles
-    combos = list(combinations(columns, 2))
+    # A pair can only be a key if its columns have enough values between them; one row per column here.
+    found = {r["column"]: (r["distinct_values"], r["rows"], r["nulls"]) for r in column_profile(df, columns).collect()}
+    alone = {c for c, (d, n, nulls) in found.items() if not nulls and d == n}
+    combos = [
+        (a, b) for a, b in combinations([c for c in columns if c not in alone], 2)
+        if (found[a][0] + bool(found[a][2])) * (found[b][0] + bool(found[b][2])) >= found[a][1]
+    ]
+    if not combos:
+        return singles
     counted = df.agg(F.count("*").alias("n"), *[F.countDistinct(F.struct(a, b)).alias(f"{a}+{b}") for a, b in combos])
+    # A pair that contains a key says nothing new and was left out above.
     both = counted.unpivot(["n"], [f"{a}+{b}" for a, b in combos], "column", "d").filter("n = d").select("column")
-    # A pair that contains a key says nothing new.
-    parts = both.select("column", F.explode(F.split("column", r"\+")).alias("single"))
-    implied = parts.join(singles.withColumnRenamed("column", "single"), "single", "left_semi").select("column")
-    minimal = both.join(implied, "column", "left_anti")
-    return singles.unionByName(minimal)
+    return singles.unionByName(both)
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:

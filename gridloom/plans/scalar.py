@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import dates as D
 from gridloom.functions import formulas as X
+from gridloom.functions import logic as L
 from gridloom.functions import numbers as N
 from gridloom.functions import text as S
 from gridloom.functions.criteria import criteria_match
@@ -118,15 +119,9 @@ def _(load):
               l_quantity < 25 AS lt, l_quantity >= 25 AS ge, l_quantity <= 25 AS le FROM lineitem""",
 )
 def _(load):
-    q = F.col("l_quantity")
+    names = dict(zip(L.COMPARISONS, ("eq", "ne", "gt", "lt", "ge", "le")))
     return load("lineitem").select(
-        "l_orderkey",
-        (q == 25).alias("eq"),
-        (q != 25).alias("ne"),
-        (q > 25).alias("gt"),
-        (q < 25).alias("lt"),
-        (q >= 25).alias("ge"),
-        (q <= 25).alias("le"),
+        "l_orderkey", *[L.compare(F.col("l_quantity"), op, F.lit(25)).alias(name) for op, name in names.items()]
     )
 
 
@@ -156,10 +151,11 @@ def _(load):
        FROM lineitem""",
 )
 def _(load):
+    quantity = F.col("l_quantity")
     return load("lineitem").select(
         "l_orderkey",
-        F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice")).otherwise(0.0).alias("returned"),
-        F.when(F.col("l_quantity") >= 40, "bulk").when(F.col("l_quantity") >= 20, "mid").otherwise("small").alias("band"),
+        L.if_branch((F.col("l_returnflag") == "R", F.col("l_extendedprice")), otherwise=F.lit(0.0)).alias("returned"),
+        L.if_branch((quantity >= 40, F.lit("bulk")), (quantity >= 20, F.lit("mid")), otherwise=F.lit("small")).alias("band"),
     )
 
 
@@ -172,9 +168,9 @@ def _(load):
     many, cheap = F.col("l_quantity") > 25, F.col("l_discount") > 0.05
     return load("lineitem").select(
         "l_orderkey",
-        (many & cheap).alias("both"),
-        (many | cheap).alias("either"),
-        (~(F.col("l_returnflag") == "R")).alias("kept"),
+        L.all_of(many, cheap).alias("both"),
+        L.any_of(many, cheap).alias("either"),
+        L.negated(F.col("l_returnflag") == "R").alias("kept"),
     )
 
 
@@ -215,10 +211,10 @@ def _(load):
 def _(load):
     return load("part").select(
         "p_partkey",
-        F.left("p_name", F.lit(3)).alias("l"),
-        F.right("p_name", F.lit(4)).alias("r"),
-        F.substring("p_name", 2, 3).alias("m"),
-        F.format_number("p_retailprice", 2).alias("shown"),
+        S.left_of(F.col("p_name"), 3).alias("l"),
+        S.right_of(F.col("p_name"), 4).alias("r"),
+        S.middle_of(F.col("p_name"), 2, 3).alias("m"),
+        S.shown_number(F.col("p_retailprice"), 2).alias("shown"),
     )
 
 
@@ -381,11 +377,8 @@ def _(load):
 )
 def _(load):
     # The clock is a parameter, here the time of each event, so that results repeat.
-    ts = F.col("ts")
-    serial = D.excel_serial(F.to_date(ts))
-    seconds = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
     return load("events").select(
-        "event_id", serial.cast("bigint").alias("today"), (serial + seconds / F.lit(86400.0)).alias("now")
+        "event_id", D.today_serial(F.col("ts")).cast("bigint").alias("today"), D.now_serial(F.col("ts")).alias("now")
     )
 
 
