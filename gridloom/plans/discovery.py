@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.similarity import match_synonyms
+from gridloom.functions.similarity import COLUMN_SYNONYMS, match_synonyms
 from gridloom.operators import discovery as D
 from gridloom.operators.ordered import running_number
 from gridloom.plans.registry import query
@@ -176,8 +176,34 @@ def _(load):
     return D.canonical_schema(_catalogue(load))
 
 
-# Similarity search has no SQL form; a test compares it with brute force.
-@query("fuzzy_match")
+_SYNONYMS = ", ".join(
+    f"({place}, {i}, '{canonical}', '{word}')"
+    for place, (i, canonical, word) in enumerate((i, c, w) for c, ws in COLUMN_SYNONYMS.items() for i, w in enumerate([c, *ws]))
+)
+_LETTERS = sorted({ch for ws in COLUMN_SYNONYMS.values() for w in ws for ch in w})
+_COMMON = " + ".join(
+    f"least(length(word) - length(replace(word, '{ch}', '')), length(syn) - length(replace(syn, '{ch}', '')))" for ch in _LETTERS
+)
+# The common subsequence row by row: a cell is the largest so far of the one above and the one before it plus a match.
+_FUZZY_SQL = f"""syns AS (SELECT * FROM (VALUES {_SYNONYMS}) t(place, own, canonical, syn)),
+  words AS MATERIALIZED (SELECT DISTINCT word FROM (SELECT unnest(string_split_regex(lower(text), '[^\\pL\\pN_]+')) AS word FROM documents) WHERE word <> ''),
+  exact AS (SELECT word, arg_min(canonical, place) AS canonical FROM words JOIN syns ON word = syn GROUP BY 1),
+  near AS MATERIALIZED (SELECT word, place, canonical, syn, string_split(word, '') AS a, string_split(syn, '') AS b
+    FROM words ANTI JOIN exact USING (word) JOIN syns ON own > 0 AND 200.0 * least(length(word), length(syn)) >= 80 * (length(word) + length(syn))
+    WHERE 200.0 * ({_COMMON}) >= 80 * (length(word) + length(syn))),
+  walk AS (
+    SELECT word, place, 0 AS i, list_transform(range(len(a) + 1), lambda x: 0) AS row FROM near
+    UNION ALL SELECT w.word, w.place, w.i + 1, list_prepend(0, list_transform(range(1, len(n.a) + 1), lambda j:
+        list_max(list_transform(range(1, j + 1), lambda k: greatest(w.row[k + 1], w.row[k] + (n.a[k] = n.b[w.i + 1])::INT)))))
+    FROM walk w JOIN near n USING (word, place) WHERE w.i < len(n.b)),
+  scored AS (SELECT n.word, n.place, n.canonical, 200.0::DOUBLE * list_max(w.row) / (len(n.a) + len(n.b)) AS score FROM walk w JOIN near n USING (word, place) WHERE w.i = len(n.b))"""
+
+
+@query(
+    "fuzzy_match",
+    f"""WITH RECURSIVE {_FUZZY_SQL} SELECT word, canonical, 100.0::DOUBLE AS score, true AS exact FROM exact
+        UNION ALL SELECT word, arg_min(canonical, (-score, place)), max(score), false FROM scored WHERE score >= 80 GROUP BY 1""",
+)
 def _(load):
     words = load("documents").select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")).alias("word"))
     distinct = words.filter("word <> ''").distinct()
