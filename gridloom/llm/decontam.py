@@ -199,7 +199,8 @@ def _matches(texts: DataFrame, items: DataFrame, n: int, span: int) -> DataFrame
     pairs = cut_lineage(pairs, "seeded-pairs")
     wanted = per_key(pairs.select("fp").distinct())
     likely = sifted(texts, sieve(wanted, "fp"), "fp")
-    bodies = cut_lineage(likely.join(wanted, "fp").dropDuplicates(["fp"]), "seeded-texts")
+    # Copies of a text shrink to one per task before they meet.
+    bodies = cut_lineage(likely.dropDuplicates(["fp"]).join(wanted, "fp"), "seeded-texts")
     full = pairs.join(bodies, "fp").join(per_key(items), "item")
     with batches(spark, 200):
         return cut_lineage(

@@ -183,7 +183,8 @@ def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """``fp, text``, one row for each ``fp`` of ``wanted``; a sieve keeps all other texts out of the shuffle."""
     fps = per_key(wanted.select("fp").distinct())
     known = sifted(docs.select(F.md5("text").alias("fp"), "text"), sieve(fps, "fp"), "fp")
-    return cut_lineage(known.join(fps, "fp").dropDuplicates(["fp"]), "near-texts")
+    # Copies of a text shrink to one per task before they meet.
+    return cut_lineage(known.dropDuplicates(["fp"]).join(fps, "fp"), "near-texts")
 
 
 def verified_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, similarity: float, weighted: bool) -> DataFrame:
@@ -206,13 +207,17 @@ def verified_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int,
 
 
 def near_duplicates(
-    docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY, weighted: bool = False
+    docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY, weighted: bool = False, at: str | None = None
 ) -> DataFrame:
-    """Every input row with ``class_id``, ``class_size`` and ``representative`` (one true row per class)."""
+    """``pos, doc_id, class_id, class_size, representative`` of every input row; one row per class represents it.
+
+    ``pos`` is a number of the row; ``at`` names an input column that holds unique ones.
+    """
     spark = docs.sparkSession
-    rows = tidy(docs, taken=("class_id", "class_size", "representative", "fp", "pos"))
+    rows = tidy(docs, ("doc_id", "text", *([at] if at else [])))
     texts = rows.select("doc_id", "text")
-    marked = texts.select(F.monotonically_increasing_id().alias("pos"), "doc_id", F.md5("text").alias("fp"), "text")
+    number = F.col(at) if at else F.monotonically_increasing_id()
+    marked = rows.select(number.alias("pos"), "doc_id", F.md5("text").alias("fp"), "text")
     with batches(spark, BATCH):
         signed = cut_lineage(
             marked.mapInArrow(
@@ -299,8 +304,9 @@ def _open_pairs(
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One row of each class, with the input's columns: the one of the smallest doc_id."""
-    names = tidy(docs).columns
     at = "_near_pos"
-    decided = near_duplicates(docs, **options).filter("representative").select(F.col("pos").alias(at))
-    rows = tidy(docs, taken=(at,)).withColumn(at, F.monotonically_increasing_id())
-    return rows.join(decided, at, "left_semi").select(*[n for n in names if n != at])
+    rows = tidy(docs, taken=(at,))
+    # Written with the numbers, so that the decision meets the very rows it was made on.
+    numbered = cut_lineage(rows.withColumn(at, F.monotonically_increasing_id()), "near-rows")
+    decided = per_key(near_duplicates(numbered, at=at, **options).filter("representative").select(F.col("pos").alias(at)))
+    return numbered.join(decided, at, "left_semi").select(*rows.columns)
