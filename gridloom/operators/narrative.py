@@ -167,11 +167,16 @@ def first_n_per_kind(items: DataFrame, caps: dict[str, int] = KIND_CAPS) -> Data
     return items.filter(keep)
 
 
-def preliminary_insights(items: DataFrame, key: str) -> DataFrame:
-    """Insights of each text in the order: unowned, undated, questions, tensions, ideas."""
+def preliminary_insights(
+    items: DataFrame, key: str, caps: dict[str, int] = KIND_CAPS, most: int = MAX_PRELIMINARY
+) -> DataFrame:
+    """Insights of each text in the order: unowned, undated, questions, tensions, ideas.
+
+    ``found`` tells how many the text has in all, of which ``most`` are returned.
+    """
     text, person, fields = F.col("text"), F.col("person"), F.col("fields")
     tasks = items.filter("kind = 'action_items'")
-    capped = first_n_per_kind(items)
+    capped = first_n_per_kind(items, caps)
     resolved = F.lower(fields["resolution_status"]) == "resolved"
     rules = [
         (tasks.filter(_blank(person)), HEADLINES[0], "absence", F.lit("warning"), "Nobody is responsible, so it may never be done."),
@@ -193,20 +198,23 @@ def preliminary_insights(items: DataFrame, key: str) -> DataFrame:
     ])
     from pyspark.sql import Window
 
-    # Twenty per text: the cut is made in every partition before the shuffle.
+    # The cut is made in every partition before the shuffle.
     w = Window.partitionBy(key).orderBy("rule", "pos")
-    return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= MAX_PRELIMINARY).drop("rule", "pos")
+    first = rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).drop("rule", "pos")
+    return first.join(rows.groupBy(key).agg(F.count("*").alias("found")), key)
 
 
 # Records named in a summary.
 SUMMARY_CAPS = {"decisions": ("Decisions", 5), "action_items": ("Action items", 5), "ideas": ("Ideas", 5), "tensions": ("Tensions", 3)}
 
 
-def attribution_summary(items: DataFrame, key: str) -> DataFrame:
-    """One line per kind with its first records, 80 characters each; at most five per group."""
-    label = F.coalesce(*[F.when(F.col("kind") == k, F.lit(name)) for k, (name, _) in SUMMARY_CAPS.items()])
-    few = first_n_per_kind(items, {k: n for k, (_, n) in SUMMARY_CAPS.items()})
-    grouped = few.groupBy(key, "kind").agg(F.array_sort(F.collect_list(F.struct("pos", F.substring("text", 1, 80).alias("t")))).alias("s"))
+def attribution_summary(
+    items: DataFrame, key: str, caps: dict[str, tuple[str, int]] = SUMMARY_CAPS, chars: int = 80
+) -> DataFrame:
+    """One line per kind with its first records, cut to ``chars`` characters each; ``caps`` names and limits the kinds."""
+    label = F.coalesce(*[F.when(F.col("kind") == k, F.lit(name)) for k, (name, _) in caps.items()])
+    few = first_n_per_kind(items, {k: n for k, (_, n) in caps.items()})
+    grouped = few.groupBy(key, "kind").agg(F.array_sort(F.collect_list(F.struct("pos", F.substring("text", 1, chars).alias("t")))).alias("s"))
     return grouped.select(
         key, "kind", F.concat(label, F.lit(": "), F.array_join(F.transform("s", lambda x: x["t"]), "; ")).alias("line")
     )

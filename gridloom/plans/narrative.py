@@ -136,9 +136,9 @@ _PRELIM_SQL = f"""{_ITEMS_SQL}, r AS (
     UNION ALL SELECT doc_id, 4, pos, 'High-novelty idea: ' || substr(text, 1, 50) || '...', 'info' FROM items WHERE kind = 'ideas' AND pos < 3 AND i % 2 = 0)"""
 
 
-@query("preliminary_insights", f"WITH {_PRELIM_SQL} SELECT * FROM (SELECT doc_id, headline, severity, row_number() OVER (PARTITION BY doc_id ORDER BY rule, pos) AS place FROM r) WHERE place <= 20")
+@query("preliminary_insights", f"WITH {_PRELIM_SQL} SELECT * FROM (SELECT doc_id, headline, severity, row_number() OVER (PARTITION BY doc_id ORDER BY rule, pos) AS place, count(*) OVER (PARTITION BY doc_id) AS found FROM r) WHERE place <= 20")
 def _(load):
-    return R.preliminary_insights(_items(load), "doc_id").select("doc_id", "headline", "severity", "place")
+    return R.preliminary_insights(_items(load), "doc_id").select("doc_id", "headline", "severity", "place", "found")
 
 
 @query("first_n_per_kind", f"WITH {_ITEMS_SQL} SELECT doc_id, kind, pos, text FROM items WHERE (kind = 'open_questions' AND pos < 5) OR (kind IN ('tensions', 'ideas') AND pos < 3)")
