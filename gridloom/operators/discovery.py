@@ -227,8 +227,16 @@ def sheet_clusters(columns: DataFrame) -> DataFrame:
         & (shared >= F.greatest(F.size("cols"), F.size("cols2")) * NAME_SHARE)
         & (equal_types >= shared * TYPE_SHARE)
     )
-    edges = keyed.join(other, ["name", "size"]).filter(F.col("sig") < F.col("sig2")).filter(alike).select(
+    nodes = signatures.select(F.col("sig").alias("address"))
+    # First everyone against one leader per name and size; then only sets that are still apart.
+    leaders = per_key(other.groupBy("name", "size").agg(F.min(F.struct("sig2", "cols2")).alias("l")))
+    stars = keyed.join(leaders.select("name", "size", "l.sig2", "l.cols2"), ["name", "size"]).filter("sig <> sig2").filter(alike)
+    stars = cut_lineage(stars.select(F.col("sig").alias("source"), F.col("sig2").alias("target")).distinct(), "star-links")
+    found = per_key(components(nodes, stars))
+    left = keyed.join(found.select(F.col("address").alias("sig"), F.col("cluster").alias("part")), "sig")
+    right = other.join(found.select(F.col("address").alias("sig2"), F.col("cluster").alias("part2")), "sig2")
+    rest = left.join(right, ["name", "size"]).filter(F.col("part") < F.col("part2")).filter(alike).select(
         F.col("sig").alias("source"), F.col("sig2").alias("target")
     ).distinct()
-    groups = per_key(components(signatures.select(F.col("sig").alias("address")), edges))
+    groups = per_key(components(nodes, stars.unionByName(rest)))
     return sheets.join(groups.withColumnRenamed("address", "sig"), "sig").select("sheet", "cluster")
