@@ -2,7 +2,7 @@
 
 Letters are lower-cased, everything else is one boundary; runs of two and three of these symbols are hashed into
 ``FEATURES`` classes. Document frequencies come from all learnable documents. The classifier is fitted on a
-bounded sample, at most ``PER_LANG`` documents of a language and ``SAMPLE`` in all, those with the smallest hash:
+bounded sample, at most ``PER_LANG`` texts of a language and ``SAMPLE`` in all, those with the smallest hash, each once:
 follow-the-regularised-leader updates with elastic-net penalties, which leave most weights at exactly zero.
 A fifth of the sample is kept back to fit one temperature, so that the scores are calibrated
 probabilities. Prediction reads whole texts: a text's score is linear in its n-gram shares, so each n-gram
@@ -24,11 +24,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import batches, tidy
-from gridloom.session import cut_lineage
+from gridloom.session import cut_lineage, per_key
 
 FEATURES = 1 << 16
 PER_LANG, SAMPLE = 1000, 20_000
-EPOCHS = 3
+EPOCHS, LEAST_UPDATES = 3, 1000
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.3, 0.01
 #: Scale of the n-gram shares, so that weights and penalties are of order one.
 SCALE = 20.0
@@ -151,11 +151,14 @@ def _fit(langs: list[str], idf: np.ndarray, sample: list[tuple[int, np.ndarray,
     examples = [
         (label, np.append(at, FEATURES), np.append(times / times.sum() * idf[at] * SCALE, 1.0)) for label, at, times in sample
     ]
-    learn = [e for i, e in enumerate(examples) if i % 5]
-    check = [e for i, e in enumerate(examples) if not i % 5] if len(examples) >= 50 else []
+    # Fewer than 50 are all learned from, and the temperature stays 1.
+    apart = len(examples) >= 50
+    learn = [e for i, e in enumerate(examples) if i % 5 or not apart]
+    check = [e for i, e in enumerate(examples) if not i % 5 and apart]
     model = Ftrl(FEATURES, len(langs))
     rng = np.random.default_rng(3)
-    for _ in range(EPOCHS):
+    # A small sample is gone through more often.
+    for _ in range(max(EPOCHS, -(-LEAST_UPDATES // max(1, len(learn))))):
         for i in rng.permutation(len(learn)):
             label, at, x = learn[i]
             model.learn(at, x, label)
@@ -189,11 +192,13 @@ def fit_languages(docs: DataFrame, learnable: Column) -> Model | None:
         table = found.toArrow()
         frequency = np.zeros(FEATURES)
         frequency[table.column("feature").to_numpy()] = table.column("documents").to_numpy()
-        # Ranks within a language are cut inside each task before anything is shuffled.
-        place = Window.partitionBy("lang").orderBy("_h", "_crc")
-        ranked = texts.select(
-            F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("doc_id", F.lit(29)).alias("_h"), F.crc32(F.col("text").cast("binary")).alias("_crc")
-        ).withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= PER_LANG)
+        # Of each language about twice as many texts as wanted have a hash below the cut, whatever its size.
+        hashed = texts.select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("text", F.lit(29)).alias("_h"))
+        sizes = per_key(hashed.groupBy("lang").agg(F.count("*").alias("_n")))
+        below = F.pmod(F.col("_h"), F.lit(1 << 31)) < F.lit(float(1 << 32) * PER_LANG) / F.col("_n")
+        few = hashed.join(sizes, "lang").filter(below).drop("_n").dropDuplicates(["lang", "_h"])
+        place = Window.partitionBy("lang").orderBy(F.pmod(F.col("_h"), F.lit(1 << 31)), "_h")
+        ranked = few.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= PER_LANG)
         # Round-robin over the languages, should there be more of them than the sample can hold in full.
         sample = ranked.select("lang", "rank", "text").orderBy("rank", "lang").limit(SAMPLE)
         sample = cut_lineage(sample, "language-sample").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
