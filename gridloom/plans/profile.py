@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import profile as P
 from gridloom.plans.registry import query
-from gridloom.plans.staging import STAGING_SQL, products, staging_sales
+from gridloom.plans.staging import STAGING_SQL, products
 
 _NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "odd"]
 #: Every tenth line's discount is replaced by NaN or an infinity.
