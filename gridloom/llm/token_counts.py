@@ -17,9 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import batches
 from gridloom.operators.ordered import running_sum
 from gridloom.session import cut_lineage
 
+#: Texts that a task holds at once.
+BATCH = 500
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splitting rule that belongs to the vocabulary file (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -65,7 +68,8 @@ def length_histogram(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
     """
     counts = token_lengths(docs, vocabulary).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
     counts = counts.withColumn("_tokens", F.col("n_tokens") * F.col("n_docs"))
-    counts = cut_lineage(counts, "token-lengths")
+    with batches(docs.sparkSession, BATCH):
+        counts = cut_lineage(counts, "token-lengths")
     total = counts.agg(F.sum("n_docs").alias("d"), F.sum("_tokens").alias("t")).first()
     # Longest first, so that a running sum is the suffix sum.
     longest = [-F.col("n_tokens")]
