@@ -128,7 +128,7 @@ def bands(signature: np.ndarray, rows: int) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of a word (bytes), remembered for the words met lately."""
 
-    MOST = 1 << 18
+    MOST = 1 << 17
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
