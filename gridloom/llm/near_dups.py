@@ -207,17 +207,15 @@ def verified_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int,
 
 
 def near_duplicates(
-    docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY, weighted: bool = False, at: str | None = None
+    docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY, weighted: bool = False
 ) -> DataFrame:
-    """``pos, doc_id, class_id, class_size, representative`` of every input row; one row per class represents it.
+    """``doc_id, fp, size, class_id, class_size, representative`` of every input row.
 
-    ``pos`` is a number of the row; ``at`` names an input column that holds unique ones.
+    ``fp`` is the MD5 of the text and ``size`` its number of runs of words; one row per class represents it.
     """
     spark = docs.sparkSession
-    rows = tidy(docs, ("doc_id", "text", *([at] if at else [])))
-    texts = rows.select("doc_id", "text")
-    number = F.col(at) if at else F.monotonically_increasing_id()
-    marked = rows.select(number.alias("pos"), "doc_id", F.md5("text").alias("fp"), "text")
+    texts = tidy(docs).select("doc_id", "text")
+    marked = texts.select(F.monotonically_increasing_id().alias("pos"), "doc_id", F.md5("text").alias("fp"), "text")
     with batches(spark, BATCH):
         signed = cut_lineage(
             marked.mapInArrow(
@@ -249,14 +247,16 @@ def near_duplicates(
     )
     known = signed.select("pos", "doc_id", "fp", "size").join(per_key(node_of), "fp", "left")
     known = cut_lineage(
-        known.select("pos", "doc_id", F.when(F.col("size") > 0, F.col("class")).otherwise(F.col("pos")).alias("class")), "near-classes"
+        known.select(
+            "pos", "doc_id", "fp", "size", F.when(F.col("size") > 0, F.col("class")).otherwise(F.col("pos")).alias("class")
+        ), "near-classes",
     )
     per_class = per_key(known.groupBy("class").agg(
         F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"),
         F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("pos"))).alias("_first"),
     ))
     return known.join(per_class, "class").select(
-        "pos", "doc_id", "class_id", "class_size", (F.col("pos") == F.col("_first.pos")).alias("representative")
+        "doc_id", "fp", "size", "class_id", "class_size", (F.col("pos") == F.col("_first.pos")).alias("representative")
     )
 
 
@@ -303,10 +303,27 @@ def _open_pairs(
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One row of each class, with the input's columns: the one of the smallest doc_id."""
-    at = "_near_pos"
-    rows = tidy(docs, taken=(at,))
-    # Written with the numbers, so that the decision meets the very rows it was made on.
-    numbered = cut_lineage(rows.withColumn(at, F.monotonically_increasing_id()), "near-rows")
-    decided = per_key(near_duplicates(numbered, at=at, **options).filter("representative").select(F.col("pos").alias(at)))
-    return numbered.join(decided, at, "left_semi").select(*rows.columns)
+    """One row of each class, with the input's columns: the one of the smallest doc_id.
+
+    The decision is taken by doc_id and text, which most rows share with no other; a sieve lets these pass
+    without a join. Rows without words are all kept.
+    """
+    rows = tidy(docs, taken=("_fp", "_id", "_keep"))
+    names = rows.columns
+    found = near_duplicates(rows.select("doc_id", "text"), **options).filter("size > 0")
+    pairs = found.groupBy(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).agg(
+        F.max("representative").alias("_keep"), F.count("*").alias("n")
+    )
+    # Rows to drop, and rows of which several are the same.
+    special = per_key(pairs.filter(~F.col("_keep") | (F.col("n") > 1)).drop("n"))
+    marked = rows.withColumn("_fp", F.md5("text"))
+    key = ["_id", "_fp"]
+    bits = sieve(special, *key)
+    keyed = marked.withColumn("_id", F.col("doc_id"))
+    plain = sifted(keyed, bits, *key, passing=False).select(*names)
+    asked = sifted(keyed, bits, *key)
+    same = special.select(F.col("_id").alias("_id2"), F.col("_fp").alias("_fp2"), "_keep")
+    joined = asked.join(same, (F.col("_fp") == F.col("_fp2")) & F.col("_id").eqNullSafe(F.col("_id2")), "left")
+    other = joined.filter("_keep IS NULL").select(*names)
+    single = joined.filter("_keep").dropDuplicates(["_id", "_fp"]).select(*names)
+    return plain.unionByName(other).unionByName(single)
