@@ -5,7 +5,7 @@ from gridloom.llm.common import packed, sieve, sifted, tidy, uniform, unpacked,
 
 
 def test_tidy_keeps_one_column_of_a_name(spark):
-    df = spark.createDataFrame([(1, "lower", "UPPER", 2, 3)], "doc_id long, text string, n int, size int, Other int")
+    df = spark.createDataFrame([(1, "lower", "UPPER", 2, 3)], "doc_id long, text string, n string, size int, Other int")
     df = df.toDF("doc_id", "text", "TEXT", "Size", "Other")
     out = tidy(df, taken=("size",))
     assert out.columns == ["doc_id", "text", "Other"] and out.first()["text"] == "lower"
