@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Test items and texts are read as words in lower case without punctuation. Every run of ``N`` words of an item
-is looked up in all texts; how many texts hold it is its frequency. Of every ``SPAN`` neighbouring runs of an item
-the rarest is a seed, so that any ``N + SPAN - 1`` words in a row that a text shares with an item hold a seed,
-however common the item is in the corpus. Seeds join texts to items; around the seeds' diagonals a local
-alignment scores what was edited, and a text is contaminated by an item when the score is ``SCORE`` or more of
-the item's perfect score.
+is looked up in all texts, and every place where a text holds it is a seed, so that any ``N`` words in a row
+that a text shares with an item make the two meet, however common the words are in the corpus. Around the seeds'
+diagonals a local alignment scores what was edited, and a text is contaminated by an item when the score is
+``SCORE`` or more of the item's perfect score. A stretch of a text that holds too few of the item's words to
+reach that score, wherever they stand, is not aligned.
 
 Texts are keyed by fingerprint until the end: a passage in equal copies is aligned once. Items with the same
 words are one item. A bitmap of fixed size over the runs of all items lets a text task drop nearly all of its
@@ -21,7 +21,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import batches, sieve, sifted, tidy
@@ -29,7 +29,6 @@ from gridloom.llm.darts import WordHashes, shingles
 from gridloom.session import cut_lineage, per_key
 
 N = 4
-SPAN = 3
 SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Words that a text may hold more on either side of a seed than the item, as a share of the item's length.
@@ -154,32 +153,40 @@ def windows(diagonals: list[int], length: int, size: int) -> list[tuple[int, int
     return [(a, b) for a, b in out if b > a]
 
 
-def _align_batches(arrow_batches):
-    for batch in arrow_batches:
-        texts, items = batch.column("text").to_pylist(), batch.column("words").to_pylist()
-        diagonals = batch.column("diagonals").to_pylist()
-        scores, first, last = [], [], []
-        known: tuple[str | None, np.ndarray] = (None, np.zeros(0))
-        for text, words, places in zip(texts, items, diagonals):
-            item = _hashed([words])[0]
-            if known[0] != text:
-                known = (text, _hashed([text])[0])
-            found = (0, 0, 0)
-            for low, high in windows(places, len(item), len(known[1])):
-                score, a, b = align(item, known[1][low:high])
-                if score > found[0]:
-                    found = (score, low + a, low + b)
-            scores.append(found[0] / (MATCH * max(1, len(item))))
-            first.append(found[1])
-            last.append(found[2])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("fp"), batch.column("item"), pa.array(scores, pa.float64()),
-             pa.array(first, pa.int64()), pa.array(last, pa.int64())],
-            ["fp", "item", "score", "first_word", "last_word"],
-        )
+def _aligned(least: float):
+    """Best alignment of each text and item; a pair that cannot reach ``least`` may get a lower score than its own."""
+
+    def run(arrow_batches):
+        for batch in arrow_batches:
+            texts, items = batch.column("text").to_pylist(), batch.column("words").to_pylist()
+            diagonals = batch.column("diagonals").to_pylist()
+            scores, first, last = [], [], []
+            known: tuple[str | None, np.ndarray] = (None, np.zeros(0))
+            for text, words, places in zip(texts, items, diagonals):
+                item = _hashed([words])[0]
+                if known[0] != text:
+                    known = (text, _hashed([text])[0])
+                found = (0, 0, 0)
+                for low, high in windows(places, len(item), len(known[1])):
+                    # Each word of the item matches once at most, and only if the stretch holds it.
+                    if np.isin(item, known[1][low:high]).sum() < least * len(item):
+                        continue
+                    score, a, b = align(item, known[1][low:high])
+                    if score > found[0]:
+                        found = (score, low + a, low + b)
+                scores.append(found[0] / (MATCH * max(1, len(item))))
+                first.append(found[1])
+                last.append(found[2])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("fp"), batch.column("item"), pa.array(scores, pa.float64()),
+                 pa.array(first, pa.int64()), pa.array(last, pa.int64())],
+                ["fp", "item", "score", "first_word", "last_word"],
+            )
+
+    return run
 
 
-def _matches(texts: DataFrame, items: DataFrame, n: int, span: int) -> DataFrame:
+def _matches(texts: DataFrame, items: DataFrame, n: int, least: float) -> DataFrame:
     """``fp, item, score, first_word, last_word`` of every seeded pair of a distinct text and item."""
     spark = texts.sparkSession
     runs = cut_lineage(items.mapInArrow(_item_runs(n), "run long, item string, at long, length long"), "item-runs")
@@ -188,13 +195,7 @@ def _matches(texts: DataFrame, items: DataFrame, n: int, span: int) -> DataFrame
         near = texts.mapInArrow(_text_hits(n, BITS, bitmap), "fp string, run long, place long")
         distinct_runs = per_key(runs.groupBy("run").agg(F.count("*").alias("_n")))
         hits = cut_lineage(near.join(distinct_runs, "run", "left_semi"), "item-hits")
-    frequency = hits.groupBy("run").agg(F.count("*").alias("frequency"))
-    # The rarest of the runs at .. at + span - 1, by a window inside one item.
-    order = Window.partitionBy("item").orderBy("at").rangeBetween(Window.currentRow, span - 1)
-    known = runs.join(per_key(frequency), "run", "left").fillna(0, ["frequency"])
-    rarest = known.select("item", F.min(F.struct("frequency", "at", "run", "length")).over(order).alias("s")).distinct()
-    seeds = per_key(rarest.select("item", "s.run", "s.at", "s.length").filter(F.col("s.frequency") > 0))
-    met = hits.join(seeds, "run").select("fp", "item", (F.col("place") - F.col("at")).alias("diagonal"))
+    met = hits.join(runs, "run").select("fp", "item", (F.col("place") - F.col("at")).alias("diagonal"))
     pairs = met.groupBy("fp", "item").agg(F.array_sort(F.collect_set("diagonal")).alias("diagonals"))
     pairs = cut_lineage(pairs, "seeded-pairs")
     wanted = per_key(pairs.select("fp").distinct())
@@ -205,12 +206,12 @@ def _matches(texts: DataFrame, items: DataFrame, n: int, span: int) -> DataFrame
     with batches(spark, 200):
         return cut_lineage(
             full.mapInArrow(
-                _align_batches, "fp string, item string, score double, first_word long, last_word long"
+                _aligned(least), "fp string, item string, score double, first_word long, last_word long"
             ), "alignments",
         )
 
 
-def contaminated_texts(docs: DataFrame, benchmark: DataFrame, n: int = N, span: int = SPAN, least: float = SCORE) -> DataFrame:
+def contaminated_texts(docs: DataFrame, benchmark: DataFrame, n: int = N, least: float = SCORE) -> DataFrame:
     """``doc_id, item_id, score, first_word, last_word`` for every document and item that match.
 
     Words are counted from 0 in the normalised text; the last word is exclusive.
@@ -222,7 +223,7 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, n: int = N, span:
         known.mapInArrow(_item_words, f"item_id {kind}, words string").withColumn("item", F.md5("words")), "item-words"
     )
     items = cut_lineage(named.groupBy("item").agg(F.min("words").alias("words")), "items")
-    found = _matches(texts.select("fp", "text"), items, n, span).filter(F.col("score") >= least)
+    found = _matches(texts.select("fp", "text"), items, n, least).filter(F.col("score") >= least)
     found = cut_lineage(found, "contaminated")
     of_docs = texts.select("doc_id", "fp").join(found, "fp")
     return of_docs.join(named.select("item_id", "item"), "item").select("doc_id", "item_id", "score", "first_word", "last_word")
@@ -236,6 +237,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
     kind = dict(known.dtypes)["item_id"]
     items = known.mapInArrow(_item_words, f"item_id {kind}, words string").select(F.md5("words").alias("item"), "words")
     items = cut_lineage(items.groupBy("item").agg(F.min("words").alias("words")), "items")
-    found = _matches(texts, items, options.get("n", N), options.get("span", SPAN))
-    bad = per_key(found.filter(F.col("score") >= options.get("least", SCORE)).select(F.col("fp").alias("_fp")).distinct())
+    least = options.get("least", SCORE)
+    found = _matches(texts, items, options.get("n", N), least)
+    bad = per_key(found.filter(F.col("score") >= least).select(F.col("fp").alias("_fp")).distinct())
     return rows.withColumn("_fp", F.md5("text")).join(bad, "_fp", "left_anti").select(*rows.columns)

@@ -82,6 +82,25 @@ def test_edited_copies_are_found_and_clean_texts_left(spark):
         assert len(inside.split()) >= 15
 
 
+def test_short_items_with_every_fifth_word_replaced(spark):
+    """Copies without six words in a row of the item, whose last words are edited too."""
+    rng = random.Random(3)
+    items, docs = [], []
+    for i in range(40):
+        words = [f"i{i}w{k}" for k in range(rng.randint(15, 20))]
+        items.append((i, " ".join(words)))
+        at = rng.randint(0, 4)
+        copy = [f"x{i}n{k}" if k % 5 == at or k == len(words) - 2 else w for k, w in enumerate(words)]
+        around = [f"a{rng.randint(0, 99)}" for _ in range(40)]
+        docs.append((i, " ".join(around[:20] + copy + around[20:])))
+    expected = brute(docs, items)
+    assert len(expected) == 40
+    out = contaminated_texts(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in out} == expected
+
+
 def test_passage_in_a_third_of_all_texts(spark):
     item = " ".join(f"c{i}" for i in range(30))
     docs = [(i, f"start {i} " + (item if i % 3 == 0 else "nothing of it") + f" end {i}") for i in range(900)]
