@@ -62,6 +62,11 @@ def _counted(elements: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.nd
     return e[at], o[at], np.diff(np.append(at, len(e))).astype(np.float64)
 
 
+def _members(elements: np.ndarray, owner: np.ndarray, weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Owner and weight of every distinct element: what the similarity of two sets is reckoned from."""
+    return (_counted(elements, owner)[1], None) if weights is None else (owner, weights)
+
+
 def _sign(n: int, k: int, rows: int, weighted: bool):
     def run(arrow_batches):
         for batch in arrow_batches:
@@ -70,16 +75,17 @@ def _sign(n: int, k: int, rows: int, weighted: bool):
             weights = None
             if weighted:
                 elements, owner, weights = _counted(elements, owner)
+            mass = np.bincount(*_members(elements, owner, weights), minlength=len(texts)).astype(np.int64)
             keys = bands(signatures(elements, weights, owner, len(texts), k), rows).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("pos"), batch.column("doc_id"), batch.column("fp"),
-                    pa.array(np.bincount(owner, minlength=len(texts)).astype(np.int64)),
+                    pa.array(np.bincount(owner, minlength=len(texts)).astype(np.int64)), pa.array(mass),
                     pa.ListArray.from_arrays(
                         pa.array(np.arange(len(texts) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel())
                     ),
                 ],
-                ["pos", "doc_id", "fp", "size", "bands"],
+                ["pos", "doc_id", "fp", "size", "mass", "bands"],
             )
 
     return run
@@ -133,7 +139,7 @@ def _block_pairs(k: int, similarity: float, likely: float):
             pos, comp, block = (group.column(c).to_numpy() for c in ("pos", "comp", "block"))
             if (comp == comp[0]).all():
                 continue
-            size = group.column("size").to_numpy()
+            mass = group.column("mass").to_numpy()
             sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), dtype=np.uint16).reshape(len(group), k)
             keys = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(group), -1)[:, :band]
             one, two = group.column("one")[0].as_py(), group.column("two")[0].as_py()
@@ -142,7 +148,7 @@ def _block_pairs(k: int, similarity: float, likely: float):
             for i in left:
                 js = right[right > i] if one == two else right
                 js = js[(comp[js] != comp[i])
-                        & (np.minimum(size[js], size[i]) >= similarity * np.maximum(size[js], size[i]))]
+                        & (np.minimum(mass[js], mass[i]) >= similarity * np.maximum(mass[js], mass[i]))]
                 if not len(js):
                     continue
                 # A pair that meets in several bands is taken in the first.
@@ -220,7 +226,7 @@ def near_duplicates(
         signed = cut_lineage(
             marked.mapInArrow(
                 _sign(n, K, ROWS, weighted),
-                f"pos long, doc_id {dict(docs.dtypes)['doc_id']}, fp string, size long, bands array<bigint>",
+                f"pos long, doc_id {dict(docs.dtypes)['doc_id']}, fp string, size long, mass long, bands array<bigint>",
             ),
             "near-signed",
         )
@@ -281,7 +287,7 @@ def _open_pairs(
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
     open_rows = cut_lineage(placed.join(per_key(mixed.select("key")), "key"), "near-open-rows")
     members = per_key(open_rows.select("pos").distinct())
-    known = sifted(single, sieve(members, "pos"), "pos").select("pos", "fp", "size", "bands").join(members, "pos", "left_semi")
+    known = sifted(single, sieve(members, "pos"), "pos").select("pos", "fp", "mass", "bands").join(members, "pos", "left_semi")
     known = cut_lineage(known, "near-open-members")
     with batches(spark, BATCH):
         signed = cut_lineage(

@@ -116,3 +116,24 @@ def test_odd_rows(spark, odd, none):
     assert near_duplicates(none).collect() == []
     weighted = near_duplicates(odd, weighted=True)
     assert weighted.count() == odd.count()
+
+
+def test_repeated_passage_beside_a_central_text(spark):
+    """A text and itself with the passage doubled, both nearer by rank to a centre they are not similar to."""
+    rng = random.Random(11)
+    rows = []
+    for case in range(12):
+        centre = [f"c{case}w{k}" for k in range(300)]
+
+        def changed(words, places, tag):
+            return [f"{tag}{k}" if k in places else w for k, w in enumerate(words)]
+
+        outer = changed(centre, set(range(10, 290, 33)), f"e{case}x")
+        texts = [centre, outer, outer + outer]
+        texts += [changed(centre, {rng.randint(20, 280)}, f"d{case}n{i}x") for i in range(8)]
+        rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = by_id(rows, brute(rows))
+    assert sorted(map(len, expected)) == [2] * 12 + [9] * 12
+    assert found(near_duplicates(docs).collect()) == expected
+    assert drop_near_duplicates(docs).count() == 24
