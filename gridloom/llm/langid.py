@@ -181,6 +181,19 @@ def _fit(langs: list[str], idf: np.ndarray, sample: list[tuple[int, np.ndarray,
     return Model(langs, (w[:, :-1] * idf * SCALE).T.astype(np.float32), w[:, -1], temperature)
 
 
+def _ranked(texts: DataFrame) -> DataFrame:
+    """``lang, rank, text`` of the ``PER_LANG`` distinct texts of each language with the smallest hash, or all of them."""
+    hashed = texts.select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("text", F.lit(29)).alias("_h"))
+    # Copies count once, however many rows they are; the texts themselves are not shuffled for it.
+    sizes = per_key(hashed.select("lang", "_h").distinct().groupBy("lang").agg(F.count("*").alias("_n")))
+    # Of each language about twice as many distinct texts as wanted have a hash below the cut, whatever its size.
+    below = F.pmod(F.col("_h"), F.lit(1 << 31)) < F.lit(float(1 << 32) * PER_LANG) / F.col("_n")
+    few = hashed.join(sizes, "lang").filter(below).drop("_n").dropDuplicates(["lang", "_h"])
+    place = Window.partitionBy("lang").orderBy(F.pmod(F.col("_h"), F.lit(1 << 31)), "_h")
+    ranked = few.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= PER_LANG)
+    return ranked.select("lang", "rank", "text")
+
+
 def fit_languages(docs: DataFrame, learnable: Column) -> Model | None:
     """Learn from the rows where ``learnable`` holds; only text, language and the row choice are used."""
     spark = docs.sparkSession
@@ -192,13 +205,7 @@ def fit_languages(docs: DataFrame, learnable: Column) -> Model | None:
         table = found.toArrow()
         frequency = np.zeros(FEATURES)
         frequency[table.column("feature").to_numpy()] = table.column("documents").to_numpy()
-        # Of each language about twice as many texts as wanted have a hash below the cut, whatever its size.
-        hashed = texts.select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("text", F.lit(29)).alias("_h"))
-        sizes = per_key(hashed.groupBy("lang").agg(F.count("*").alias("_n")))
-        below = F.pmod(F.col("_h"), F.lit(1 << 31)) < F.lit(float(1 << 32) * PER_LANG) / F.col("_n")
-        few = hashed.join(sizes, "lang").filter(below).drop("_n").dropDuplicates(["lang", "_h"])
-        place = Window.partitionBy("lang").orderBy(F.pmod(F.col("_h"), F.lit(1 << 31)), "_h")
-        ranked = few.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= PER_LANG)
+        ranked = _ranked(texts)
         # Round-robin over the languages, should there be more of them than the sample can hold in full.
         sample = ranked.select("lang", "rank", "text").orderBy("rank", "lang").limit(SAMPLE)
         sample = cut_lineage(sample, "language-sample").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from gridloom.llm.langid import Ftrl, fit_languages, identify_languages, is_held_out, ngrams, softmax
+from gridloom.llm.langid import PER_LANG, Ftrl, _ranked, fit_languages, identify_languages, is_held_out, ngrams, softmax
 
 
 def test_held_out_accuracy_and_contract(spark, data):
@@ -55,6 +55,18 @@ def test_only_learnable_rows_teach(spark):
     assert all(r["lang_pred"] == ("l1" if r["doc_id"] % 2 else "l2") for r in out)
 
 
+def test_copies_do_not_thin_out_the_sample(spark):
+    """Few distinct texts in many rows, beside a language of many distinct texts."""
+    rows = spark.range(120_000)
+    few = rows.select(F.col("id").alias("doc_id"), F.concat(F.lit("aaa bbb aab "), F.repeat(F.lit("ab "), (F.col("id") % 5 + 1).cast("int"))).alias("text"), F.lit("l1").alias("lang"))
+    many = rows.limit(3000).select((F.col("id") + 200_000).alias("doc_id"), F.concat(F.lit("xxx yyy xxy "), F.translate(F.col("id").cast("string"), "0123456789", "pqrstuvwxy")).alias("text"), F.lit("l2").alias("lang"))
+    docs = few.unionByName(many)
+    sizes = {r["lang"]: r["n"] for r in _ranked(docs).groupBy("lang").agg(F.countDistinct("text").alias("n")).collect()}
+    assert sizes == {"l1": 5, "l2": PER_LANG}
+    model = fit_languages(docs, F.lit(True))
+    assert model.langs == ["l1", "l2"]
+
+
 def test_odd_rows(spark, odd, none):
     rows = identify_languages(odd).collect()
     assert len(rows) == odd.count()
