@@ -7,6 +7,11 @@ arises), hence equal values get equal pseudonyms in every document, different va
 and whoever holds the key can go back. E-mail addresses have no such finite format: their names are replaced
 by keyed hashes, equal for equal addresses regardless of letter case, and keep the top-level domain.
 
+Digits of other values may stand beside a card or phone number ('4111 1111 1111 1111 123'). Where a stretch of
+digit groups is no card as a whole, it is read group by group: date, social security number or phone, else the
+longest card that starts there. The permutations are then applied to all values of the stretch until it reads the
+same way again, so that it can be read back; in such a stretch an equal value may get another pseudonym.
+
 What fails validation (a card number with a wrong check digit, an impossible date, an octet above 255) is no
 personal number and stays as it is. One expression per row, no shuffle. The key is a literal of the plan,
 so event logs must be guarded like the key itself.
@@ -37,9 +42,20 @@ _PHONE = (
     r"(?<![\d+])(?:\+1[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]\d{3}[ .-]\d{4}(?!\d)"
     r"|(?<![\d+])\+\d(?:[ .()-]{0,2}\d){7,14}(?!\d)"
 )
-_CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
+#: Where a value of another format begins; a stretch of digit groups ends before it.
+_OTHER = (
+    r"\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)|(?:\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4}|\d{4}\.\d{2}\.\d{2}|\d{4}/\d{2}/\d{2}"
+    r"|\d{3}\.\d{3}[ .-]\d{4}|\d{3}[ -]\d{3}\.\d{4})(?!\d)|[\p{L}\p{N}._%+-]++@"
+)
+#: 13 digits or more in groups; cards are looked for in it.
+_STRETCH = rf"(?<!\d)(?=(?:\d[ -]?){{12}}\d)\d++(?:[ -](?!{_OTHER})\d++)*+"
+_GROUPED = r"^\d[\d -]{12,}$"
+#: Most digits of a card, and so most groups.
+_CARD_MOST = 19
+#: A reading of a stretch that the permutation changes is met one time in ten, so that no stretch needs as many.
+TRIES = 400
 #: Addresses first, then the longest formats, so that a card is not read as a phone number.
-_NUMBERS = "|".join((_IPV4, _DATE, _SSN, _CARD, _PHONE))
+_NUMBERS = "|".join((_IPV4, _DATE, _SSN, _STRETCH, _PHONE))
 ANY = f"{_EMAIL}|{_NUMBERS}"
 LIKELY = r"\d[\d ()./-]{5,}\d|@"
 
@@ -202,20 +218,104 @@ def _kind(m: Column, d: Column) -> Column:
     )
 
 
+def _digits(m: Column) -> Column:
+    return F.regexp_replace(m, r"\D", "")
+
+
+def _renewed(m: Column, kind: Column, key: str, back: bool) -> Column:
+    """``m`` with its pseudonym for its place in ``KINDS``; as it is for any other number."""
+    mail = m if back else _email(m, key)
+    return let(_digits(m), lambda d: (
+        F.when(kind == 0, mail).when(kind == 1, _ipv4(m, key, back)).when(kind == 2, _date(m, d, key, back))
+        .when(kind == 3, _ssn(m, d, key, back)).when(kind == 4, _phone(m, d, key, back))
+        .when(kind == 5, _card(m, d, key, back)).otherwise(m)
+    ))
+
+
+_PARTS = "array<struct<kind:int,s:string>>"
+
+
+def _read(stretch: Column) -> Column:
+    """A stretch of digit groups in parts ``kind, s``, one after the other; kind -1 is no personal number."""
+
+    def parts(t: Column) -> Column:
+        def joined(at: Column, groups) -> Column:
+            return F.array_join(F.slice(t, at, 2 * groups - 1), "")
+
+        def three(at: Column) -> Column:
+            """Kind of the three groups from there; a social security number must not be part of more hyphens."""
+            x, n = joined(at, F.lit(3)), F.size(t)
+            free = (at > 1) & (F.get(t, at - 2) != "-") & ((at + 4 >= n) | (F.get(t, at + 4) != "-"))
+            fits = x.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{2}-\d{2}-\d{4}|\d{3}[ -]\d{3}[ -]\d{4})$") | (x.rlike(r"^\d{3}-\d{2}-\d{4}$") & free)
+            return F.when(fits, F.coalesce(_kind(x, _digits(x)), F.lit(-1))).otherwise(-1)
+
+        def card(at: Column) -> Column:
+            """Number of groups of the longest card from there, 0 without one."""
+            most = F.least(F.call_function("div", F.size(t) - at, F.lit(2)).cast("int") + 1, F.lit(_CARD_MOST))
+
+            def valid(groups: Column) -> Column:
+                return let(joined(at, groups), lambda x: F.when(
+                    F.char_length(_digits(x)).between(13, _CARD_MOST), F.coalesce(_kind(x, _digits(x)) == 5, F.lit(False))
+                ).otherwise(False))
+
+            return F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), most), valid)), F.lit(0))
+
+        def step(s: Column, at: Column) -> Column:
+            def added(kind: Column, groups: Column) -> Column:
+                part = F.struct(kind.cast("int").alias("kind"), joined(at, groups).alias("s"))
+                return F.struct(
+                    (at + 2 * groups - 1).cast("int").alias("next"), F.concat(s["parts"], F.array(part).cast(_PARTS)).alias("parts")
+                )
+
+            def chosen(c: Column) -> Column:
+                return F.when(c["k"] >= 0, added(c["k"], F.lit(3))).when(c["n"] > 0, added(F.lit(5), c["n"])).otherwise(
+                    added(F.lit(-1), F.lit(1))
+                )
+
+            is_group = F.element_at(t, at).rlike(r"^\d")
+            found = F.struct(three(at).alias("k"), card(at).alias("n"))
+            return F.when(at < s["next"], s).when(is_group, let(found, chosen)).otherwise(added(F.lit(-1), F.lit(1)))
+
+        start = F.struct(F.lit(1).alias("next"), F.array().cast(_PARTS).alias("parts"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(t)), start, step, lambda s: s["parts"])
+
+    return let(F.regexp_extract_all(stretch, F.lit(r"\d+|\D"), F.lit(0)), parts)
+
+
+def _stretch(m: Column, key: str, back: bool) -> Column:
+    """``kind, old, new`` of the parts of a stretch that is no number as a whole."""
+
+    def step(s: Column, _: Column) -> Column:
+        def tried(parts: Column) -> Column:
+            whole = F.array_join(F.transform(parts, lambda x: x["s"]), "")
+            same = F.coalesce(_kind(whole, _digits(whole)), F.lit(-1)) == -1
+            return F.struct(parts.alias("parts"), (same & (_read(whole) == parts)).alias("done"))
+
+        fresh = F.transform(s["parts"], lambda x: F.struct(x["kind"].alias("kind"), _renewed(x["s"], x["kind"], key, back).alias("s")))
+        return F.when(s["done"], s).otherwise(let(fresh.cast(_PARTS), tried))
+
+    def walked(parts: Column) -> Column:
+        start = F.struct(parts.alias("parts"), F.forall(parts, lambda x: x["kind"] < 0).alias("done"))
+        done = F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), start, step, lambda s: s["parts"])
+        return F.zip_with(parts, done, lambda a, b: F.struct(
+            F.when(a["kind"] >= 0, a["kind"]).alias("kind"), a["s"].alias("old"), b["s"].alias("new")
+        ))
+
+    return let(_read(m), walked)
+
+
+_SEGMENTS = "array<struct<kind:int,old:string,new:string>>"
+
+
 def _replaced(m: Column, key: str, back: bool) -> Column:
-    def by_kind(x: Column) -> Column:
-        d = x["d"]
-        mail = m if back else _email(m, key)
-        new = (
-            F.when(x["k"] == 0, mail).when(x["k"] == 1, _ipv4(m, key, back)).when(x["k"] == 2, _date(m, d, key, back))
-            .when(x["k"] == 3, _ssn(m, d, key, back)).when(x["k"] == 4, _phone(m, d, key, back))
-            .when(x["k"] == 5, _card(m, d, key, back)).otherwise(m)
-        )
-        return F.struct(x["k"].alias("kind"), m.alias("old"), new.alias("new"))
+    """Segments ``kind, old, new`` of a match; the kind is NULL where nothing is replaced."""
 
-    return let(
-        let(F.regexp_replace(m, r"\D", ""), lambda d: F.struct(d.alias("d"), _kind(m, d).alias("k"))), by_kind
-    )
+    def by_kind(k: Column) -> Column:
+        one = F.array(F.struct(k.cast("int").alias("kind"), m.alias("old"), _renewed(m, k, key, back).alias("new")))
+        apart = k.isNull() & m.rlike(_GROUPED)
+        return F.when(apart, _stretch(m, key, back).cast(_SEGMENTS)).otherwise(one.cast(_SEGMENTS))
+
+    return let(_kind(m, _digits(m)), by_kind)
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY, back: bool = False) -> DataFrame:
@@ -232,19 +332,20 @@ def pseudonymise(docs: DataFrame, key: str = KEY, back: bool = False) -> DataFra
         spans = "array<struct<kind:string,start:int,end:int,pseudonym:string>>"
 
         def step(s: Column, x: Column) -> Column:
-            start = s["at"] + F.char_length(x["p"])
-            end = start + F.char_length(x["m"]["new"])
-            one = F.struct(F.get(names, x["m"]["kind"]).alias("kind"), start.alias("start"), end.alias("end"), x["m"]["new"].alias("pseudonym"))
-            found = F.when(x["m"]["kind"].isNotNull(), F.array(one)).otherwise(F.array()).cast(spans)
+            end = s["at"] + F.char_length(x["new"])
+            one = F.struct(F.get(names, x["kind"]).alias("kind"), s["at"].alias("start"), end.alias("end"), x["new"].alias("pseudonym"))
+            found = F.when(x["kind"].isNotNull(), F.array(one)).otherwise(F.array()).cast(spans)
             return F.struct(end.alias("at"), F.concat(s["found"], found).alias("found"))
 
-        pairs = F.zip_with(F.slice(parts["p"], 1, F.size(parts["m"])), parts["m"], lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+        def plain(p: Column) -> Column:
+            return F.array(F.struct(F.lit(None).cast("int").alias("kind"), p.alias("old"), p.alias("new"))).cast(_SEGMENTS)
+
+        between = F.slice(parts["p"], 1, F.size(parts["m"]))
+        segments = F.flatten(F.zip_with(between, parts["m"], lambda p, m: F.concat(plain(p), m)))
         found = F.aggregate(
-            pairs, F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("found")), step, lambda s: s["found"]
-        )
-        new = F.concat(
-            F.array_join(F.transform(pairs, lambda x: F.concat(x["p"], x["m"]["new"])), ""), F.element_at(parts["p"], -1)
+            segments, F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("found")), step, lambda s: s["found"]
         )
+        new = F.concat(F.array_join(F.transform(segments, lambda x: x["new"]), ""), F.element_at(parts["p"], -1))
         return F.struct(new.alias("text"), found.alias("personal"))
 
     pieces = F.split(text, ANY, -1)
