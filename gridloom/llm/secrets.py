@@ -6,16 +6,19 @@ symbols, and three tests look at the symbols' places in that alphabet:
 
 * chi-squared uniformity. Language uses few symbols often, which adds about ``n * (k * COINCIDENCE - 1)`` to
   the statistic; the p-value is the chance that a language-like token of n characters looks as even as
-  this one (normal approximation of the non-central distribution, so it depends on the length);
+  this one (normal approximation of the non-central distribution, so it depends on the length). Of hex
+  tokens the test says little at usual key lengths, so the changes between digits and letters count as
+  well: the p-value is the chance that a plain token, which changes at a place with chance ``CHANGE``, has as
+  many (Chernoff's bound), and both are put together by Fisher's rule;
 * runs above and below the middle of the alphabet, and
 * correlation of neighbours; both must agree with a random string at ``LEVEL``.
 
-The Benjamini-Hochberg rule at rate ``FDR`` then runs over all tokens of the corpus, apart for each encoding
-and length band, on exact counts per p-value bin, so that short tokens do not ride on long ones.
+The Benjamini-Hochberg rule at rate ``FDR`` then runs over all distinct tokens of the corpus, apart for each
+encoding and length band, on exact counts per p-value bin, so that short tokens do not ride on long ones.
 
-All work is DataFrame expressions; one pass reads the texts, and only bin counts are shuffled. Positions are
-code points, ends exclusive. Defined cases: NULL texts count as empty and have no spans; repeated rows
-are judged alike and each counts as a test; an empty table gives no rows; an input column named like an
+All work is DataFrame expressions; one pass reads the texts, and only hashes of tokens and bin counts are shuffled.
+Positions are code points, ends exclusive. Defined cases: NULL texts count as empty and have no spans; repeated
+tokens and rows are judged alike and count as one test; an empty table gives no rows; an input column named like an
 output column is replaced.
 """
 
@@ -52,8 +55,11 @@ ENCODINGS = (
     ("base64url", "^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_"),
     ("mixed", "", UPPER + LOWER + DIGITS + "+/-_"),
 )
+HEX_NUMBER = 1
 #: Chance that two characters of a language-like token agree.
 COINCIDENCE = 0.075
+#: Chance that a plain hex token changes between digits and letters at a place.
+CHANGE = 0.15
 LEVEL_Z = 3.29  # two-sided 0.001
 LEVEL = 0.001
 FDR = 0.01
@@ -61,7 +67,7 @@ FDR = 0.01
 BINS, LAST_BIN = 20, 600
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
-_CANDIDATE = "array<struct<start:int,end:int,stratum:int,bin:int>>"
+_CANDIDATE = "array<struct<start:int,end:int,stratum:int,bin:int,token:bigint>>"
 
 
 def _places(text: Column, pattern: str) -> Column:
@@ -117,6 +123,24 @@ def _normal_cdf(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-(z * 1.5976 + z * z * z * 0.07056)))
 
 
+def _changing(values: Column, places: Column) -> Column:
+    """p-value of the changes between digits and letters of a hex token with so many places between symbols."""
+    letter = F.transform(values, lambda x: x >= 10)
+    changes = F.aggregate(
+        F.zip_with(F.slice(letter, 1, places), F.slice(letter, 2, places), lambda a, b: (a != b).cast("int")),
+        F.lit(0), lambda a, x: a + x,
+    )
+
+    def bound(share: Column) -> Column:
+        # The limit of x * ln(x) is 0; the least double stands in for 0.
+        rest = F.greatest(1 - share, F.lit(1e-300))
+        return F.when(share <= CHANGE, 1.0).otherwise(
+            F.exp(-places * (share * F.log(share / CHANGE) + rest * F.log(rest / (1 - CHANGE))))
+        )
+
+    return let(changes / places, bound)
+
+
 def _encoding(body: Column) -> Column:
     number = F.when(body.rlike(ENCODINGS[0][1]), 0)
     for i, (_, pattern, _) in enumerate(ENCODINGS[1:-1], start=1):
@@ -125,7 +149,7 @@ def _encoding(body: Column) -> Column:
 
 
 def _tested(place: Column) -> Column:
-    """``start, end, stratum, bin`` of one token; the bin is NULL when runs or neighbours are not random."""
+    """``start, end, stratum, bin, token`` of one token; the bin is NULL when runs or neighbours are not random."""
     alphabets = F.array(*[F.lit(a) for _, _, a in ENCODINGS])
 
     def with_values(t: Column) -> Column:
@@ -137,7 +161,8 @@ def _tested(place: Column) -> Column:
         even = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c) * k / n - n
         extra = n * F.greatest(k * COINCIDENCE - 1, F.lit(0.5))
         z = (even - (k - 1 + extra)) / F.sqrt(2 * (k - 1 + 2 * extra))
-        p = _normal_cdf(z)
+        both = F.greatest(_normal_cdf(z) * _changing(t["v"], n - 1), F.lit(1e-300))
+        p = F.when(t["encoding"] == HEX_NUMBER, let(both, lambda x: x * (1 - F.log(x)))).otherwise(_normal_cdf(z))
 
         high = F.transform(t["v"], lambda x: (2 * x >= k).cast("int"))
         n1 = F.aggregate(high, F.lit(0), lambda a, x: a + x).cast("double")
@@ -163,11 +188,12 @@ def _tested(place: Column) -> Column:
         return F.struct(
             place["start"].alias("start"), place["end"].alias("end"),
             (t["encoding"] * 100 + band).alias("stratum"), F.when(random, step).alias("bin"),
+            F.xxhash64(place["match"]).alias("token"),
         )
 
     def with_encoding(t: Column) -> Column:
         alphabet = F.get(alphabets, t["encoding"])
-        same_case = F.when((t["encoding"] == 1) | (t["encoding"] == 5), F.lower(t["body"])).otherwise(t["body"])
+        same_case = F.when((t["encoding"] == HEX_NUMBER) | (t["encoding"] == 5), F.lower(t["body"])).otherwise(t["body"])
         values = F.transform(F.split(same_case, ""), lambda c: F.instr(alphabet, c) - 1)
         return let(
             F.struct(t["encoding"].alias("encoding"), alphabet.alias("alphabet"),
@@ -190,7 +216,8 @@ def _levels(found: DataFrame, rate: float) -> dict[int, int]:
 
     The result has one entry per encoding and power of two of the length at most.
     """
-    counts = found.select(F.explode("_candidates").alias("c")).groupBy("c.stratum", "c.bin").agg(F.count("*").alias("n"))
+    tokens = found.select(F.explode("_candidates").alias("c")).select("c.stratum", "c.bin", "c.token").distinct()
+    counts = tokens.groupBy("stratum", "bin").agg(F.count("*").alias("n"))
     counts = counts.groupBy("stratum", F.coalesce("bin", F.lit(-1)).alias("bin")).agg(F.sum("n").alias("n"))
     by = Window.partitionBy("stratum")
     upto = F.sum("n").over(by.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0))

@@ -59,6 +59,21 @@ def test_random_tokens_found_and_words_left(spark):
     assert all(texts[i][s["start"]:s["end"]] == keys[i] for i in hits if i < 60 for s in found[i])
 
 
+def test_upper_case_hex_and_copies_of_plain_tokens(spark):
+    """Keys of 32 and 40 upper-case hex digits; a plain token in most rows does not raise the bar for others."""
+    rng = random.Random(9)
+    keys = ["".join(rng.choice("0123456789ABCDEF") for _ in range(n)) for n in (32, 40) for _ in range(40)]
+    plain = [f"{rng.randint(0, 10**30):031d}{rng.choice('ABCDEF')}" for _ in range(40)]
+    plain += ["DEADBEEF" * 4, "0" * 31 + "A", "0123456789ABCDEF" * 2]
+    short = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(20)) for _ in range(40)]
+    texts = [f"some text {k} more" for k in keys + short + plain] + ["see ThisThisThisThisThis1 there"] * 20000
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hits = {r["doc_id"] for r in find_secrets(docs).collect() if any(s["kind"] == 3 for s in r["secrets"])}
+    assert sum(i < 40 for i in hits) >= 30 and sum(40 <= i < 80 for i in hits) >= 34
+    assert sum(80 <= i < 120 for i in hits) >= 30
+    assert sum(i >= 120 for i in hits) <= 2
+
+
 def test_digest_format(spark, data):
     data = data.replace("sf0.001", "sf0.01")
     from gridloom.llm.queries import QUERIES
