@@ -143,3 +143,10 @@ def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents")).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@query("op11_conversation_repair")
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.conversations import conversation_digests, damaged
+
+    return conversation_digests(damaged(table(spark, sf_dir, "conversations")))
