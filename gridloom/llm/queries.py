@@ -150,3 +150,47 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.conversations import conversation_digests, damaged
 
     return conversation_digests(damaged(table(spark, sf_dir, "conversations")))
+
+
+@query("op12_packing")
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.packing import pack_documents
+
+    rows = pack_documents(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+OP13_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS MATERIALIZED (
+  SELECT lang, s, phrase, count(*) AS f
+  FROM (SELECT lang, s, unnest(list_transform(range(1, len(w) - s + 2), lambda i: array_to_string(w[i:i + s - 1], ' '))) AS phrase
+        FROM w, (VALUES (1), (2), (3)) v(s))
+  GROUP BY ALL),
+c AS MATERIALIZED (SELECT lang, s, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE s > 1 AND f >= 10),
+k AS (SELECT *, unnest(range(1, s)) AS k FROM c),
+x AS (
+  SELECT k.*, l.f AS l, r.f AS r, (k.a::HUGEINT * k.a * 1000000) // (l.f::HUGEINT * r.f) AS score
+  FROM k JOIN g l ON l.lang = k.lang AND l.phrase = array_to_string(k.w[1:k.k], ' ')
+         JOIN g r ON r.lang = k.lang AND r.phrase = array_to_string(k.w[k.k + 1:], ' ')),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM x),
+o AS (SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS around
+      FROM (SELECT *, unnest([1, 2]) AS i FROM c WHERE s = 3) GROUP BY ALL),
+t AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE s = 1 GROUP BY lang),
+e AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase
+  WHERE nth = 1 AND (around IS NULL OR 100 * around < 50 * a))
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM e JOIN t USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op13_collocations", OP13_SQL)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents")).drop("size")
