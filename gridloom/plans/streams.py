@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.plans.registry import query
 from gridloom.plans.sources import mixed_files
 from gridloom.streaming import job_streams as T
+from gridloom.streaming import keyed_state as K
 
 
 def _second(name: str):
@@ -60,11 +61,11 @@ def _(load):
 
 @query("stuck_jobs_stream", f"WITH {_sessions_sql(5)} SELECT user_id, strftime(last_update, '%Y-%m-%d %H:%M:%S') AS last_update, strftime(stop, '%Y-%m-%d %H:%M:%S') AS stuck_since FROM closed WHERE last_status IN ('view', 'click')")
 def _(load):
-    stuck = T.run_to_table(T.stuck_stream(T.event_stream(load.spark, load.root), "user_id", ("view", "click")))
+    stuck = T.run_to_table(K.stuck_jobs(T.event_stream(load.spark, load.root), "user_id", ("view", "click")))
     return stuck.select("user_id", _second("last_update"), _second("stuck_since"))
 
 
 @query("latest_state_stream", "SELECT user_id, arg_max(event_type, {'ts': ts, 'id': event_id}) AS state, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS updated_at FROM events GROUP BY 1")
 def _(load):
-    newest = T.latest_state_stream(T.event_stream(load.spark, load.root), "user_id", [F.col("ts"), F.col("event_id")], "event_type")
-    return T.latest_per_key(newest, ["user_id"]).select("user_id", "state", _second("updated_at"))
+    newest = K.latest_state(T.event_stream(load.spark, load.root), "user_id", ["ts", "event_id"], "event_type", ttl="30 days")
+    return T.latest_per_key(newest, ["user_id"], by_clock=True).select("user_id", "state", _second("updated_at"))

@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.session import scratch_path
 from gridloom.sources.files import file_type, route
+from gridloom.streaming.keyed_state import ROCKSDB, STATE_STORE
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Batches of updates kept apart before they are reduced to one row per key.
 COMPACT = 8
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -29,16 +29,20 @@ def event_stream(spark: SparkSession, root: str, name: str = "events") -> DataFr
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _finish(df: DataFrame, mode: str, sink: Callable[[DataFrame, int], None]) -> int:
-    """Run a stream to the end of its input; the number of rows that came behind the watermark."""
+def _finish(
+    df: DataFrame, mode: str, sink: Callable[[DataFrame, int], None], checkpoint: str | None = None, by_clock: bool = False
+) -> int:
+    """Run a stream to the end of its input; the number of rows that came behind the watermark.
+
+    With a ``checkpoint`` of an earlier run the stream goes on where that one ended. State that expires ``by_clock``
+    would make ``availableNow`` run empty batches for ever, so such a stream takes what is there in one batch.
+    """
     spark = df.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set(STATE_STORE, ROCKSDB)
     # A busy key's sessions merge inside each partition before they are shuffled.
     spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
-    run = (
-        df.writeStream.outputMode(mode).foreachBatch(sink).trigger(availableNow=True)
-        .option("checkpointLocation", scratch_path(spark, "stream-checkpoint")).start()
-    )
+    writer = df.writeStream.outputMode(mode).foreachBatch(sink).trigger(**{"once" if by_clock else "availableNow": True})
+    run = writer.option("checkpointLocation", checkpoint or scratch_path(spark, "stream-checkpoint")).start()
     try:
         run.awaitTermination()
         return sum(
@@ -53,7 +57,7 @@ def run_to_table(df: DataFrame) -> DataFrame:
     return run_counting_late(df)[0]
 
 
-def run_counting_late(df: DataFrame) -> tuple[DataFrame, int]:
+def run_counting_late(df: DataFrame, checkpoint: str | None = None) -> tuple[DataFrame, int]:
     """What an append-mode stream wrote, and how many rows came behind the watermark.
 
     A batch that is written again after a failure replaces its own folder.
@@ -64,12 +68,12 @@ def run_counting_late(df: DataFrame) -> tuple[DataFrame, int]:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    late = _finish(df, "append", write)
+    late = _finish(df, "append", write, checkpoint)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns), late
 
 
-def latest_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Run an update-mode aggregation and keep the newest row of each key.
+def latest_per_key(df: DataFrame, keys: list[str], checkpoint: str | None = None, by_clock: bool = False) -> DataFrame:
+    """Run an update-mode stream and keep the newest row of each key among what this run tells.
 
     Every ``COMPACT`` batches, and at the end, the rows written so far are reduced to one per key. A
     compacted folder is complete before its name is noted, so a failure leaves the older ones valid.
@@ -93,7 +97,7 @@ def latest_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
             live.clear()
             live[number] = folded
 
-    _finish(df, "update", write)
+    _finish(df, "update", write, checkpoint, by_clock)
     if not live:
         return spark.createDataFrame([], df.schema)
     return newest().select(*df.columns)
@@ -132,18 +136,3 @@ def sessions_stream(events: DataFrame, key: str, gap: str, delay: str = "10 minu
         F.max_by("event_type", F.struct("ts", "event_id")).alias("last_status"),
     )
     return sessions.select(key, F.col("s.start").alias("start"), F.col("s.end").alias("stop"), "n", "last_update", "last_status")
-
-
-def stuck_stream(events: DataFrame, key: str, running: tuple[str, ...], delay: str = "10 minutes") -> DataFrame:
-    """A job is stuck when five minutes pass without an update while its status is a running one.
-
-    A job that ended with another status has finished and is not stuck.
-    """
-    closed = sessions_stream(events, key, "5 minutes", delay).filter(F.col("last_status").isin(*running))
-    return closed.select(key, "last_update", F.col("stop").alias("stuck_since"))
-
-
-def latest_state_stream(events: DataFrame, key: str, order: list[Column], value: str) -> DataFrame:
-    """The newest value of each key."""
-    spot = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
-    return events.groupBy(key).agg(F.max_by(value, spot).alias("state"), F.max("ts").alias("updated_at"))

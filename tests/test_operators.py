@@ -467,40 +467,3 @@ def test_large_sheet_is_read_in_bounded_memory(spark):
     count = sum(1 for _ in workbook._cells("x", content))
     grown = (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024
     assert count == 2 * n and grown < 60
-
-
-def test_streams_over_several_files(spark, tmp_path):
-    """Rows that come late, rows that come twice, and a finished job that is not stuck."""
-    from gridloom.streaming import job_streams as T
-
-    def arrive(name, rows):
-        data = [(i, dt.datetime(2024, 1, 1, 10) + dt.timedelta(minutes=m), u, t, 0.0, "") for i, m, u, t in rows]
-        df = spark.createDataFrame(data, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string")
-        df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(str(tmp_path / "in" / name))
-
-    arrive("a", [(1, 0, 7, "view"), (2, 1, 7, "view"), (3, 0, 8, "view"), (4, 2, 8, "purchase")])
-    arrive("b", [(5, 90, 9, "view"), (1, 0, 7, "view")])
-    arrive("c", [(6, 1, 7, "click"), (7, 200, 9, "view")])
-
-    def events():
-        parts = sorted(str(p) for p in (tmp_path / "in").glob("*/*.parquet"))
-        folder = tmp_path / "flat"
-        folder.mkdir(exist_ok=True)
-        for i, p in enumerate(parts):
-            if not (folder / f"{i}.parquet").exists():
-                (folder / f"{i}.parquet").write_bytes(open(p, "rb").read())
-        raw = spark.readStream.schema(T.EVENT_SCHEMA).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(str(folder))
-        return raw.withColumn("ts", F.col("ts").cast("timestamp"))
-
-    assert T.run_to_table(T.dedupe_stream(events(), ["event_id"], "1 day")).count() == 7
-    stuck, late = T.run_counting_late(T.stuck_stream(events(), "user_id", ("view", "click")))
-    assert {r["user_id"] for r in stuck.collect()} == {7, 9}
-    assert late >= 1
-    newest = T.latest_per_key(T.latest_state_stream(events(), "user_id", [F.col("ts"), F.col("event_id")], "event_type"), ["user_id"])
-    assert {r["user_id"]: r["state"] for r in newest.collect()} == {7: "click", 8: "purchase", 9: "view"}
-    T.COMPACT, before = 1, T.COMPACT
-    try:
-        again = T.latest_per_key(T.latest_state_stream(events(), "user_id", [F.col("ts"), F.col("event_id")], "event_type"), ["user_id"])
-        assert sorted(map(tuple, again.collect())) == sorted(map(tuple, newest.collect()))
-    finally:
-        T.COMPACT = before
