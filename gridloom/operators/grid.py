@@ -16,13 +16,12 @@ from gridloom.functions.formulas import (
     formula_names,
     formula_references,
 )
+from gridloom.functions.ranges import LAST_COLUMN, LAST_ROW, STEP, register_ranges
+from gridloom.functions.ranges import levels as _levels
 from gridloom.operators.ordered import carry_last
 from gridloom.session import cut_lineage, per_key
 
-# Size of a sheet.
-LAST_ROW, LAST_COLUMN = 1_048_576, 16_384
-#: Stretches of rows or columns are cut into aligned pieces of 1, 16, 256 ... of them.
-_STEP = 16
+_STEP = STEP
 
 
 def cell_address(sheet: Column, row: Column, col: Column) -> Column:
@@ -79,13 +78,6 @@ def named_cells(refs: DataFrame) -> DataFrame:
     )
 
 
-def _levels(last: int) -> int:
-    count = 1
-    while _STEP ** (count - 1) <= last:
-        count += 1
-    return count
-
-
 def _pieces(first: Column, last: Column, end: int) -> Column:
     """Aligned pieces that make up ``first..last``: array of ``level, piece``, at most 30 a level."""
     none = F.array().cast("array<bigint>")
@@ -112,11 +104,30 @@ def _at_level(pieces: Column, level: int) -> Column:
     return F.transform(pieces, lambda p: F.struct(F.lit(level).alias("level"), p.alias("piece")))
 
 
-def _holders(place: Column, end: int) -> Column:
-    """The piece of every level that holds a place."""
-    return F.array(*[
-        F.struct(F.lit(n).alias("level"), F.floor(place / _STEP**n).cast("bigint").alias("piece")) for n in range(_levels(end))
-    ])
+def _held(cells: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The cells that lie on a line of some range, once for each piece size that ranges use on that line.
+
+    A cell is put on its row and on its column only, two slim rows; the lines in use decide what is kept of them
+    before anything is multiplied.
+    """
+    used = per_key(wanted.groupBy("ref_sheet", "down", "line").agg(F.collect_set("level").alias("_levels")))
+    ways = F.array(
+        F.struct(F.lit(True).alias("down"), F.col("col").alias("line"), F.col("row").alias("place")),
+        F.struct(F.lit(False).alias("down"), F.col("row").alias("line"), F.col("col").alias("place")),
+    )
+    spots = cells.select(F.col("sheet").alias("ref_sheet"), F.col("address").alias("source"), F.explode(ways).alias("w")).select(
+        "ref_sheet", "source", "w.down", "w.line", "w.place"
+    )
+    size = F.pow(F.lit(_STEP), F.col("level"))
+    return (
+        spots.join(used, ["ref_sheet", "down", "line"]).withColumn("level", F.explode("_levels"))
+        .withColumn("piece", F.floor(F.col("place") / size).cast("bigint"))
+        .select(
+            "ref_sheet", "source", "down", "line", "level", "piece",
+            F.when(F.col("down"), F.col("place")).otherwise(F.col("line")).alias("row"),
+            F.when(F.col("down"), F.col("line")).otherwise(F.col("place")).alias("col"),
+        )
+    )
 
 
 def range_members(refs: DataFrame, cells: DataFrame) -> DataFrame:
@@ -133,18 +144,33 @@ def range_members(refs: DataFrame, cells: DataFrame) -> DataFrame:
     pieces = F.when(F.col("down"), _pieces(F.col("r1"), F.col("r2"), LAST_ROW)).otherwise(
         _pieces(F.col("c1"), F.col("c2"), LAST_COLUMN)
     )
-    wanted = lines.select("target", "ref", "ref_sheet", "down", "line", F.explode(pieces).alias("p")).select(
+    wanted = cut_lineage(lines.select("target", "ref", "ref_sheet", "down", "line", F.explode(pieces).alias("p")).select(
         "target", "ref", "ref_sheet", "down", "line", "p.level", "p.piece"
-    )
-    spot = [F.col("sheet").alias("ref_sheet"), "row", "col", F.col("address").alias("source")]
-    down = cells.select(*spot, F.lit(True).alias("down"), F.col("col").alias("line"), F.explode(_holders(F.col("row"), LAST_ROW)).alias("p"))
-    across = cells.select(*spot, F.lit(False).alias("down"), F.col("row").alias("line"), F.explode(_holders(F.col("col"), LAST_COLUMN)).alias("p"))
-    held = down.unionByName(across).select("ref_sheet", "row", "col", "source", "down", "line", "p.level", "p.piece")
-    return wanted.join(held, ["ref_sheet", "down", "line", "level", "piece"]).select(
+    ), "range-pieces")
+    return wanted.join(_held(cells, wanted), ["ref_sheet", "down", "line", "level", "piece"]).select(
         "target", "ref", "source", F.col("ref_sheet").alias("sheet"), "row", "col"
     )
 
 
+def range_text_members(refs: DataFrame, cells: DataFrame) -> DataFrame:
+    """Filled cells inside each range given as text: ``target, ref, sheet`` in, the members in SQL over a table function.
+
+    ``sheet`` is where a reference without a sheet lies. The table function hands back pieces of the range.
+    """
+    spark = refs.sparkSession
+    name = register_ranges(spark)
+    wanted = spark.sql(
+        f"SELECT r.target, r.ref, p.sheet AS ref_sheet, p.down, p.line, p.level, p.piece FROM {{refs}} r, LATERAL {name}(r.ref, r.sheet) p",
+        refs=refs,
+    )
+    wanted = cut_lineage(wanted, "range-text")
+    return spark.sql(
+        """SELECT w.target, w.ref, h.source, h.ref_sheet AS sheet, h.row, h.col FROM {wanted} w JOIN {held} h
+           ON h.ref_sheet = w.ref_sheet AND h.down = w.down AND h.line = w.line AND h.level = w.level AND h.piece = w.piece""",
+        wanted=wanted, held=_held(cells, wanted),
+    )
+
+
 def edge_list(cells: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Distinct (source, target) pairs, by one rule for all sizes.
 

@@ -46,16 +46,24 @@ def _(load):
     return both.drop("bal")
 
 
-@query(
-    "range_membership",
-    f"""WITH {CELLS_SQL} SELECT b.target, b.ref, c.address AS source FROM bounds b
-        JOIN cells c ON c.sheet = b.ref_sheet AND c."row" BETWEEN r1 AND r2 AND c.col = b.c1""",
-)
+_MEMBERS_SQL = f"""WITH {CELLS_SQL} SELECT b.target, b.ref, c.address AS source FROM bounds b
+        JOIN cells c ON c.sheet = b.ref_sheet AND c."row" BETWEEN r1 AND r2 AND c.col = b.c1"""
+
+
+@query("range_membership", _MEMBERS_SQL)
 def _(load):
     sheet = cells(load)
     return grid.range_members(grid.cell_references(sheet), sheet).select("target", "ref", "source")
 
 
+@query("range_text_members", _MEMBERS_SQL)
+def _(load):
+    # The same members, from the references' text by SQL over the table function.
+    sheet = cells(load)
+    refs = grid.cell_references(sheet).select("target", "ref", F.col("ref_sheet").alias("sheet"))
+    return grid.range_text_members(refs, sheet).select("target", "ref", "source")
+
+
 # Named sets of inputs.
 SCENARIOS = {"base": (0.0, 1.0), "discount": (0.1, 1.0), "growth": (0.05, 1.2)}
 _SCENARIO_SQL = ", ".join(f"('{n}', {c}::DECIMAL(4,2), {g}::DECIMAL(4,2))" for n, (c, g) in SCENARIOS.items())
