@@ -85,6 +85,7 @@ class Words:
         raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
         # A line feed ends a piece, so that no phrase goes from one text into the next.
         self.data = _FOLD[np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)]
+        self.raw = self.data.tobytes()
         kind = _CLASS[self.data]
         inside = np.concatenate([[False], kind == _WORD])
         self.start = np.flatnonzero(inside[1:] & ~inside[:-1])
@@ -115,8 +116,9 @@ class Words:
         return first, hashes
 
     def phrase(self, first: int, n: int) -> str:
-        parts = (self.data[self.start[first + i] : self.stop[first + i]].tobytes() for i in range(n))
-        return b" ".join(parts).decode("utf-8", "surrogatepass")
+        # Inside a piece only blanks lie between words.
+        raw = self.raw[self.start[first] : self.stop[first + n - 1]]
+        return (raw if n == 1 else b" ".join(raw.split())).decode("utf-8", "surrogatepass")
 
     def allowed(self, n: int, sieves: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Runs of ``n`` words whose shorter runs all pass their sieves."""
@@ -154,16 +156,23 @@ def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _counted_phrases(sizes: tuple[int, ...], sieves: dict[int, list], least: int):
+_NAMES, _KINDS = ("lang", "phrase", "hash", "size", "n"), (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64())
+_COUNTS = "lang string, phrase string, hash long, size int, n long"
+
+
+def _counted_phrases(sizes: tuple[int, ...], sieves: dict[int, list]):
     """Exact counts of the phrases of ``sizes`` words that pass; a task's own counts are added up before they leave."""
 
     def run(arrow_batches):
-        held: dict[tuple[str, str, int, int], int] = {}
+        place: dict[int, int] = {}
+        columns: list[list] = [[] for _ in _NAMES]
+        langs, phrases, hashes_, sizes_, counts_ = columns
 
         def rows():
-            keys = list(held)
-            columns = [pa.array([k[i] for k in keys], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64(), pa.int32()))]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(list(held.values()), pa.int64())], ["lang", "phrase", "hash", "size", "n"])
+            batch = pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, _KINDS)], _NAMES)
+            for c in (place, *columns):
+                c.clear()
+            return batch
 
         for words in (w for batch in arrow_batches for w in _portions(batch)):
             for size in sizes:
@@ -174,11 +183,18 @@ def _counted_phrases(sizes: tuple[int, ...], sieves: dict[int, list], least: int
                     first, hashes = first[passing], hashes[passing]
                 distinct, at, counts = np.unique(hashes, return_index=True, return_counts=True)
                 for h, f, n in zip(distinct.view(np.int64).tolist(), first[at].tolist(), counts.tolist()):
-                    key = (words.names[words.language[f]], words.phrase(f, size), h, size)
-                    held[key] = held.get(key, 0) + n
-            if len(held) > HELD // 2:
+                    known = place.setdefault(h, len(counts_))
+                    if known < len(counts_):
+                        counts_[known] += n
+                    else:
+                        # A phrase is spelt out once for all its occurrences in the task.
+                        langs.append(words.names[words.language[f]])
+                        phrases.append(words.phrase(f, size))
+                        hashes_.append(h)
+                        sizes_.append(size)
+                        counts_.append(n)
+            if len(place) > HELD // 2:
                 yield rows()
-                held.clear()
         yield rows()
 
     return run
@@ -278,7 +294,6 @@ def _word_bits(words: DataFrame):
     return words.select(F.shiftright(place, 6).alias("block"), bit.alias("bits"))
 
 
-_COUNTS = "lang string, phrase string, hash long, size int, n long"
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
@@ -286,7 +301,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     spark = docs.sparkSession
     rows = tidy(docs, ("lang", "text")).select("text", F.col("lang").cast("string").alias("lang"))
     with batches(spark, BATCH):
-        found = rows.mapInArrow(_counted_phrases((1,), {1: []}, least), _COUNTS)
+        found = rows.mapInArrow(_counted_phrases((1,), {1: []}), _COUNTS)
         words = cut_lineage(found.groupBy("lang", "phrase").agg(F.first("hash").alias("hash"), F.sum("n").alias("f")), "phrase-words")
         totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
         mass = words.agg(F.sum("f")).first()[0] or 0
@@ -298,7 +313,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
             bits = told.groupBy("part").applyInArrow(_survivors(least), "block long, bits long")
             sieves = [*sieves, _sieve(cut_lineage(bits, "phrase-bits"))]
         sizes = tuple(range(2, longest + 1))
-        found = rows.mapInArrow(_counted_phrases(sizes, {s: sieves[:s] for s in sizes}, least), _COUNTS)
+        found = rows.mapInArrow(_counted_phrases(sizes, {s: sieves[:s] for s in sizes}), _COUNTS)
         phrases = found.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
         both = frequent.select("lang", "phrase", F.lit(1).alias("size"), "f").unionByName(phrases)
         return cut_lineage(both, "phrases"), cut_lineage(totals, "phrase-totals")
@@ -341,9 +356,10 @@ def collocations(
     kept = scored.join(around, ["lang", "phrase"], "left").filter(
         F.col("_around").isNull() | (F.col("_around") * 100 < F.col("a") * inside)
     )
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("_cut.score"), F.desc("a"), "phrase")).cast("long")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("_cut.score"), F.desc("a"), "phrase"))
+    # The bare row number lets Spark keep the best of each task before the shuffle.
     ranked = kept.withColumn("rank", rank)
     ranked = ranked if best is None else ranked.filter(F.col("rank") <= best)
     return ranked.join(per_key(totals), "lang").select(
-        "lang", "rank", "phrase", "size", "a", F.col("_cut.l").alias("l"), F.col("_cut.r").alias("r"), "n", F.col("_cut.score").alias("score")
+        "lang", F.col("rank").cast("long").alias("rank"), "phrase", "size", "a", F.col("_cut.l").alias("l"), F.col("_cut.r").alias("r"), "n", F.col("_cut.score").alias("score")
     )
