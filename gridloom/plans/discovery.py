@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.similarity import COLUMN_SYNONYMS, match_synonyms
 from gridloom.operators import discovery as D
+from gridloom.operators import similar
 from gridloom.operators.ordered import running_number
 from gridloom.plans.registry import query
 
@@ -197,11 +198,20 @@ _FUZZY_SQL = f"""syns AS (SELECT * FROM (VALUES {_SYNONYMS}) t(place, own, canon
   scored AS (SELECT n.word, n.place, n.canonical, 200.0::DOUBLE * list_max(w.row) / (len(n.a) + len(n.b)) AS score FROM walk w JOIN near n USING (word, place) WHERE w.i = len(n.b))"""
 
 
-@query(
-    "fuzzy_match",
-    f"""WITH RECURSIVE {_FUZZY_SQL} SELECT word, canonical, 100.0::DOUBLE AS score, true AS exact FROM exact
-        UNION ALL SELECT word, arg_min(canonical, (-score, place)), max(score), false FROM scored WHERE score >= 80 GROUP BY 1""",
-)
+_BEST_SQL = f"""WITH RECURSIVE {_FUZZY_SQL} SELECT word, canonical, 100.0::DOUBLE AS score, true AS exact FROM exact
+        UNION ALL SELECT word, arg_min(canonical, (-score, place)), max(score), false FROM scored WHERE score >= 80 GROUP BY 1"""
+
+
+@query("fuzzy_match_table", _BEST_SQL)
+def _(load):
+    # The same synonyms as a table, met through an index of grams.
+    entries = [(i, own, c, w) for i, (c, ws) in enumerate(COLUMN_SYNONYMS.items()) for own, w in enumerate([c, *ws])]
+    dictionary = load.spark.createDataFrame(entries, "position int, own int, canonical string, word string")
+    names = load("documents").select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")).alias("name"))
+    return similar.match_dictionary(names, dictionary).withColumnRenamed("name", "word")
+
+
+@query("fuzzy_match", _BEST_SQL)
 def _(load):
     words = load("documents").select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")).alias("word"))
     distinct = words.filter("word <> ''").distinct()
