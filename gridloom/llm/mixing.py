@@ -2,13 +2,14 @@
 
 Every source gets a word budget; whole epochs of the source come first, and what is left of the budget is
 a fractional epoch: documents in ascending order of -ln(u) / quality, a weighted sample without
-replacement, as far as their prefix sum stays inside the budget. One more document, the one whose size
-fits the remaining gap best, is added where that brings the source nearer to its budget.
+replacement, each taken if it fits into what is left. One more document, the one whose size fits the
+remaining gap best, is added where that brings the source nearer to its budget; a source still more than one
+percent off takes its smallest document left out and gives others back for it.
 
 Ranks, prefix sums and budgets are distributed: a source that holds a third of all rows is spread over
 range chunks, and only one row per source is ever joined back.
 
-Defined cases: NULL texts have size 0; NULL sources form one source, ranked last; ties in the key are
+Defined cases: NULL and empty texts have size 0 and come with whole epochs only; NULL sources form one source, ranked last; ties in the key are
 broken by doc_id and then by the row's position, so repeated rows are separate members; an empty table
 gives no rows; an input column named like an output column is replaced.
 """
@@ -25,6 +26,8 @@ from gridloom.session import cut_lineage
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 SEED = 7
+#: Share of a target that may be missing before documents are exchanged.
+TOLERANCE = 0.01
 NOISE = "#*$%&|<>!{}[]^~0123456789"
 OUT = ("size", "source_size", "target", "epochs", "picked", "taken")
 _SOURCE = ["_src", "_none"]
@@ -63,32 +66,82 @@ def source_targets(sources: DataFrame, weights: tuple = WEIGHTS, most: int = MAX
     return sums.withColumn("target", share)
 
 
+_PLACE = ("_key", "doc_id", "_pos")
+
+
+def _inside(passes: str = "_passes", sign: int = 1) -> Column:
+    """Whether a row was taken by one of its source's passes: in the pass's stretch and not too large for it."""
+    place = F.struct((F.col("_key") * sign).alias("_key"), "doc_id", "_pos")
+    return F.exists(passes, lambda p: (F.col("size") <= p["most"]) & (p["after"].isNull() | (place > p["after"])) & (place <= p["upto"]))
+
+
+def _filled(slim: DataFrame, budget: DataFrame) -> DataFrame:
+    """Add to each source's row, which has a budget ``_left``, the words taken ``_got`` and the passes that take them.
+
+    In the order of the keys each document is taken that fits into what is left of the budget. A pass sums up the
+    documents not larger than what is left; it ends at the first one that overshoots, which by then fits no more, so
+    the next pass goes on behind it with the smaller ones. What is left shrinks with every pass to less than the
+    document that ended it, so few passes are needed; a source is done when nothing that fits is left behind.
+    """
+    order, place = [F.col(c) for c in _PLACE], F.struct(*_PLACE)
+    spot = dict(slim.select(place.alias("p")).dtypes)["p"]
+    state = cut_lineage(budget.withColumns({
+        "_got": F.lit(0).cast("long"), "_after": F.lit(None).cast(spot),
+        "_passes": F.array().cast(f"array<struct<most:double,after:{spot},upto:{spot}>>"),
+    }), "mix-budgets")
+    while True:
+        room = F.col("_left") - F.col("_got")
+        open_rows = slim.join(state.select(*_SOURCE, "_left", "_got", "_after"), _SOURCE).filter(
+            (F.col("size") > 0) & (F.col("size") <= room) & (F.col("_after").isNull() | (place > F.col("_after")))
+        )
+        summed = running_sum(open_rows, _SOURCE, order, F.col("size"), "_upto")
+        taken = summed.filter(F.col("_upto") + F.col("_got") <= F.col("_left")).groupBy(*_SOURCE).agg(
+            F.max(place).alias("_end"), F.max("_upto").alias("_more")
+        )
+        # One row per source that still takes something.
+        taken = cut_lineage(taken, "mix-pass")
+        if taken.isEmpty():
+            return state.drop("_after")
+        step = F.struct(room.alias("most"), F.col("_after").alias("after"), F.col("_end").alias("upto"))
+        state = cut_lineage(state.join(taken, _SOURCE, "left").withColumns({
+            "_passes": F.when(F.col("_end").isNotNull(), F.array_append("_passes", step)).otherwise(F.col("_passes")),
+            "_got": F.col("_got") + F.coalesce("_more", F.lit(0)), "_after": F.coalesce("_end", "_after"),
+        }).drop("_end", "_more"), "mix-cuts")
+
+
 def _cuts(slim: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per source: whole epochs, and up to which key the fractional epoch goes."""
-    order = [F.col("_key"), F.col("doc_id"), F.col("_pos")]
-    place = F.struct("_key", "doc_id", "_pos")
-    summed = running_sum(slim, _SOURCE, order, F.col("size"), "_upto")
+    """Per source: whole epochs, the passes of the fractional epoch, and what mends the gap that they leave.
+
+    That is the document not taken that fills the gap best, if taking it is better than leaving the gap. Where still
+    more than ``TOLERANCE`` of the target is missing, the smallest document not taken comes in and others go for
+    it, the last ones first, as long as they fit into its excess; this is done where it brings the source nearer.
+    """
+    place = F.struct(*_PLACE)
     budget = targets.select(
         *_SOURCE, "source_size", "target",
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("epochs"),
     ).withColumn("_left", F.col("target") - F.col("epochs") * F.col("source_size"))
-    budget = cut_lineage(budget, "mix-budgets")
-    inside = F.col("_upto") <= F.col("_left")
-    cut = summed.join(budget, _SOURCE).groupBy(*_SOURCE).agg(
-        F.max(F.when(inside, place)).alias("_cut"),
-        F.coalesce(F.max(F.when(inside, F.col("_upto"))), F.lit(0)).alias("_got"),
-    )
-    cut = cut_lineage(budget.join(cut, _SOURCE), "mix-cuts")
-    # The document beyond the cut that fills the gap best, if taking it is better than leaving the gap.
+    state = _filled(slim, budget)
     gap = F.col("_left") - F.col("_got")
     off = F.abs(F.col("size") - gap)
-    filler = (
-        summed.join(cut.drop("source_size", "target", "epochs"), _SOURCE)
-        .filter((F.col("_upto") > F.col("_left")) & (off < gap))
-        .groupBy(*_SOURCE)
-        .agg(F.min_by(place, F.struct(off.alias("o"), place.alias("p"))).alias("_extra"))
+    outside = slim.join(state.select(*_SOURCE, "_left", "_got", "_passes"), _SOURCE).filter((F.col("size") > 0) & ~_inside())
+    ends = outside.groupBy(*_SOURCE).agg(
+        F.min(F.when(off < gap, F.struct(off.alias("off"), place.alias("p")))).alias("_best"),
+        F.min(F.struct("size", place.alias("p"))).alias("_least"),
+    )
+    state = state.join(ends, _SOURCE, "left").withColumn("_miss", F.coalesce(F.col("_best.off"), gap))
+    state = cut_lineage(state, "mix-gaps")
+    short = state.filter((F.col("_miss") > TOLERANCE * F.col("target")) & F.col("_least").isNotNull())
+    owed = short.select(*_SOURCE, (F.col("_least.size") - gap).alias("_left"))
+    inside = slim.join(short.select(*_SOURCE, "_passes"), _SOURCE).filter(_inside()).drop("_passes")
+    back = _filled(inside.withColumn("_key", -F.col("_key")), owed).select(
+        *_SOURCE, F.col("_passes").alias("_back"), (F.col("_left") - F.col("_got")).alias("_over")
     )
-    return cut_lineage(cut.join(filler, _SOURCE, "left").drop("_left", "_got"), "mix-decisions")
+    better = F.coalesce(F.col("_over") < F.col("_miss"), F.lit(False))
+    decided = state.join(back, _SOURCE, "left").withColumns({
+        "_extra": F.when(better, F.col("_least.p")).otherwise(F.col("_best.p")), "_back": F.when(better, F.col("_back")),
+    })
+    return cut_lineage(decided.drop("_left", "_got", "_best", "_least", "_miss", "_over"), "mix-decisions")
 
 
 def mix_sources(
@@ -116,11 +169,11 @@ def mix_sources(
     slim = marked.select("doc_id", "size", "_key", "_pos", *_SOURCE)
     sources = slim.groupBy(*_SOURCE).agg(F.sum("size").alias("source_size"))
     targets = source_targets(cut_lineage(sources, "mix-sizes"), weights, most)
-    place = F.struct("_key", "doc_id", "_pos")
-    picked = F.coalesce(place <= F.col("_cut"), F.lit(False)) | F.coalesce(place == F.col("_extra"), F.lit(False))
-    mixed = marked.join(_cuts(slim, targets), _SOURCE).withColumn("picked", picked)
+    gone = F.coalesce(_inside("_back", -1), F.lit(False))
+    picked = (_inside() & ~gone) | F.coalesce(F.struct(*_PLACE) == F.col("_extra"), F.lit(False))
+    mixed = marked.join(_cuts(slim, targets), _SOURCE).withColumn("picked", F.coalesce(picked, F.lit(False)))
     return mixed.withColumn("taken", F.col("size") * (F.col("epochs") + F.col("picked").cast("long"))).drop(
-        "_key", "_pos", "_cut", "_extra", *_SOURCE
+        "_key", "_pos", "_passes", "_back", "_extra", *_SOURCE
     )
 
 

@@ -33,7 +33,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(source, '') AS src, source IS NULL AS none,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
          -ln((('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 1.0) / 4503599627370496.0)
@@ -51,18 +51,39 @@ r AS (
 lvl AS (SELECT arg_min(rate, coalesce(wb, 0)) AS v FROM r WHERE cap > rate * w),
 t AS (SELECT src, none, source_size, least(cap::DOUBLE, coalesce((SELECT v FROM lvl), 1e300) * w) AS target FROM s),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
-c AS (
+c AS MATERIALIZED (
   SELECT d.*, source_size, target, epochs, target - epochs * source_size AS rest,
-         sum(size) OVER (PARTITION BY src, none ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) AS upto
+         row_number() OVER (PARTITION BY src, none, size > 0 ORDER BY k, doc_id) AS n
   FROM d JOIN e USING (src, none)),
-g AS (SELECT *, rest - coalesce(max(CASE WHEN upto <= rest THEN upto END) OVER (PARTITION BY src, none), 0) AS gap FROM c),
-x AS (
-  SELECT *, row_number() OVER (PARTITION BY src, none, upto > rest AND abs(size - gap) < gap
-                               ORDER BY abs(size - gap), k, doc_id) AS n
-  FROM g)
-SELECT doc_id, size, source_size, target,
-       (size * (epochs + CASE WHEN upto <= rest OR (abs(size - gap) < gap AND n = 1) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM x
+-- One document of each source after the other: taken if it still fits.
+walk AS (
+  SELECT src, none, 0::BIGINT AS n, 0::BIGINT AS got, false AS fits FROM e
+  UNION ALL
+  SELECT w.src, w.none, c.n, w.got + CASE WHEN w.got + c.size <= c.rest THEN c.size ELSE 0 END, w.got + c.size <= c.rest
+  FROM walk w JOIN c ON c.src = w.src AND c.none = w.none AND c.size > 0 AND c.n = w.n + 1),
+g AS (
+  SELECT c.*, coalesce(w.fits, false) AS fits, rest - coalesce(max(w.got) OVER (PARTITION BY c.src, c.none), 0) AS gap
+  FROM c LEFT JOIN walk w ON w.src = c.src AND w.none = c.none AND w.n = c.n AND c.size > 0),
+x AS MATERIALIZED (
+  SELECT *, size > 0 AND NOT fits AS out,
+         row_number() OVER (PARTITION BY src, none, size > 0 AND NOT fits AND abs(size - gap) < gap ORDER BY abs(size - gap), k, doc_id) AS nth,
+         row_number() OVER (PARTITION BY src, none, size > 0 AND NOT fits ORDER BY size, k, doc_id) AS small,
+         row_number() OVER (PARTITION BY src, none, fits ORDER BY k DESC, doc_id) AS m,
+         least(gap, coalesce(min(CASE WHEN size > 0 AND NOT fits THEN abs(size - gap) END) OVER (PARTITION BY src, none), gap)) AS miss
+  FROM g),
+-- The smallest document left out, and the taken ones that go for it, the last first.
+q AS (SELECT src, none, doc_id, size - gap AS owed, miss FROM x WHERE out AND small = 1 AND miss > 0.01 * target),
+back AS (
+  SELECT src, none, 0::BIGINT AS m, 0::BIGINT AS got, false AS gone FROM q
+  UNION ALL
+  SELECT b.src, b.none, x.m, b.got + CASE WHEN b.got + x.size <= q.owed THEN x.size ELSE 0 END, b.got + x.size <= q.owed
+  FROM back b JOIN x ON x.src = b.src AND x.none = b.none AND x.fits AND x.m = b.m + 1 JOIN q ON q.src = b.src AND q.none = b.none),
+swap AS (SELECT q.src, q.none FROM q JOIN back USING (src, none) GROUP BY q.src, q.none, owed, miss HAVING owed - max(got) < miss)
+SELECT x.doc_id, size, source_size, target,
+       (size * (epochs + CASE WHEN s.src IS NOT NULL THEN ((fits AND NOT coalesce(gone, false)) OR (out AND small = 1))::INT
+                              ELSE (fits OR (out AND abs(size - gap) < gap AND nth = 1))::INT END))::BIGINT AS taken
+FROM x LEFT JOIN swap s ON s.src = x.src AND s.none = x.none
+       LEFT JOIN back b ON b.src = x.src AND b.none = x.none AND b.m = x.m AND x.fits
 """
 
 

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import defaultdict
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from compare import connect, difference
 from gridloom.llm.mixing import mix_sources, mixed_documents
 from gridloom.llm.queries import ORACLES, QUERIES
+from gridloom.operators.ordered import running_sum
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -61,6 +63,28 @@ def test_targets_and_budgets(spark, data):
         assert abs(taken[s] - targets[s]) <= min(biggest / 2, 0.05 * targets[s] + 20)
 
 
+def test_one_long_document_does_not_shut_out_the_others(spark, monkeypatch):
+    """Sources dominated by a long document, whatever its place; and the number of passes."""
+    from gridloom.llm import mixing
+
+    rng = random.Random(8)
+    rows = [(i, "w " * rng.choice([1, 2, 3, 50, 400]), f"s{i % 6}") for i in range(1500)]
+    rows += [(5000 + i, "w " * 30_000, f"s{i % 6}") for i in range(3)] + [(6000 + i, "w " * (1 << i), "powers") for i in range(14)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    passes = []
+    monkeypatch.setattr(mixing, "running_sum", lambda df, *a, **k: passes.append(a[0]) or running_sum(df, *a, **k))
+    for seed in (7,):
+        passes.clear()
+        out = mix_sources(docs, seed=seed).collect()
+        targets, taken = check(docs.collect(), out)
+        for s in targets:
+            left = [r["size"] for r in out if r["source"] == s and not r["picked"]]
+            # Within one remaining document, or within what is tolerated before documents are exchanged.
+            assert abs(taken[s] - targets[s]) <= max(min(left, default=1), mixing.TOLERANCE * targets[s])
+        # The two sums over the sources are not passes.
+        assert sum(p == ["_src", "_none"] for p in passes) <= 30
+
+
 def test_hot_source_and_capped_sources(spark):
     rows = [(i, "w " * (1 + i % 9), f"s{i % 7}" if i % 3 else "hot") for i in range(1200)]
     rows += [(5000 + i, "one two", "tiny") for i in range(3)]
@@ -72,13 +96,31 @@ def test_hot_source_and_capped_sources(spark):
         assert abs(taken[s] - targets[s]) <= 5
 
 
+def sampled(weights, take, rng):
+    """Plain weighted sampling without replacement: one draw after the other; the number of picks of each weight."""
+    left, picks = dict(weights), defaultdict(int)
+    for _ in range(take):
+        at = rng.random() * sum(w * n for w, n in left.items())
+        for w in left:
+            at -= w * left[w]
+            if at < 0:
+                break
+        left[w] -= 1
+        picks[w] += 1
+    return picks
+
+
 def test_better_documents_come_first(spark):
     rows = [(i, ("word " * 10) if i % 2 else ("##$$ " * 10), "a" if i < 4000 else "b") for i in range(8000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     out = [r for r in mix_sources(docs).collect() if r["source"] == "a"]
     good = sum(r["picked"] for r in out if r["doc_id"] % 2)
     bad = sum(r["picked"] for r in out if not r["doc_id"] % 2)
-    assert good > 5 * bad > 0
+    # Two thirds of the source are drawn with the weights 1 and 0.2, as a plain sampler does it.
+    runs = [sampled({1.0: 2000, 0.2: 2000}, good + bad, random.Random(i))[1.0] for i in range(20)]
+    mean = sum(runs) / len(runs)
+    spread = (sum((x - mean) ** 2 for x in runs) / len(runs)) ** 0.5
+    assert good + bad == 2667 and abs(good - mean) <= 5 * spread + 5
 
 
 def test_reruns_agree_and_copies_follow_taken(spark, data):
