@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.dates import to_timestamp_coerce
 from gridloom.functions.numbers import to_bigint, to_boolean, to_decimal
 from gridloom.functions.text import null_if_blank, snake_name
+from gridloom.operators.keys import minimal_keys
 from gridloom.operators.quantiles import exact_quantiles, finite
 from gridloom.session import per_key
 
@@ -74,22 +74,57 @@ def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def key_candidates(df: DataFrame, columns: list[str], pairs: bool = False) -> DataFrame:
     """Columns, and optionally pairs of other columns, whose values are all present and distinct."""
-    singles = column_profile(df, columns).filter("nulls = 0 AND distinct_values = rows").select("column")
-    if not pairs:
-        return singles
-    # A pair can only be a key if its columns have enough values between them; one row per column here.
-    found = {r["column"]: (r["distinct_values"], r["rows"], r["nulls"]) for r in column_profile(df, columns).collect()}
-    alone = {c for c, (d, n, nulls) in found.items() if not nulls and d == n}
-    combos = [
-        (a, b) for a, b in combinations([c for c in columns if c not in alone], 2)
-        if (found[a][0] + bool(found[a][2])) * (found[b][0] + bool(found[b][2])) >= found[a][1]
-    ]
-    if not combos:
-        return singles
-    counted = df.agg(F.count("*").alias("n"), *[F.countDistinct(F.struct(a, b)).alias(f"{a}+{b}") for a, b in combos])
-    # A pair that contains a key says nothing new and was left out above.
-    both = counted.unpivot(["n"], [f"{a}+{b}" for a, b in combos], "column", "d").filter("n = d").select("column")
-    return singles.unionByName(both)
+    if pairs:
+        return minimal_keys(df, columns, 2).select(F.col("key").alias("column"))
+    return column_profile(df, columns).filter("nulls = 0 AND distinct_values = rows").select("column")
+
+
+#: Of a distinct-count sketch: 2 ** 14 registers, 16 kB at most.
+SKETCH_BITS = 14
+#: Relative standard error that goes with it.
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def sketch_profile(df: DataFrame, columns: list[str], by: str) -> DataFrame:
+    """A mergeable profile per ``by`` (such as the file) and column: rows, nulls, longest text, and a sketch of the values.
+
+    Values count as text, as in :func:`column_profile`. Each part is one small row a column, so it can be kept
+    beside the file and merged later without reading the file again.
+    """
+    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]
+    long = df.select(F.col(by).alias("part"), F.explode(F.array(*pairs)).alias("p")).select("part", "p.column", "p.value")
+    return long.groupBy("part", "column").agg(
+        F.count("*").alias("rows"), F.count_if(F.col("value").isNull()).alias("nulls"), F.max(F.length("value")).alias("longest"),
+        F.hll_sketch_agg("value", F.lit(SKETCH_BITS)).alias("sketch"),
+    )
+
+
+def add_to_profile(path: str, df: DataFrame, columns: list[str], by: str) -> DataFrame:
+    """Sketch the parts of ``df`` that the profile kept at ``path`` does not hold yet, append them, and return it.
+
+    A part that is there already is not read: parts are compared first, values only of new ones.
+    """
+    spark = df.sparkSession
+    fresh = df
+    # The profile may not exist yet.
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        known = spark.read.parquet(path).select(F.col("part").alias(by)).distinct()
+        fresh = df.join(per_key(known), by, "left_anti")
+    sketch_profile(fresh, columns, by).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def merged_profile(sketches: DataFrame) -> DataFrame:
+    """One row per column from any number of parts, in any order; ``distinct_values`` is an estimate.
+
+    Its relative standard error is ``SKETCH_ERROR``, whatever the number of parts; all else is exact.
+    """
+    merged = sketches.groupBy("column").agg(
+        F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"), F.max("longest").alias("longest"),
+        F.hll_union_agg("sketch").alias("s"),
+    )
+    return merged.select("column", "rows", "nulls", F.hll_sketch_estimate("s").alias("distinct_values"), "longest")
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators import profile as P
+from gridloom.operators.keys import minimal_keys
 from gridloom.plans.registry import query
 from gridloom.plans.staging import STAGING_SQL, products
 
@@ -75,6 +77,40 @@ def _(load):
     return talk.unionByName(P.key_candidates(load("orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]))
 
 
+_KEY_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag"]
+_KEY_SETS = [c for n in range(1, 5) for c in combinations(range(len(_KEY_COLUMNS)), n)]
+_KEYS_SQL = " UNION ALL ".join(
+    f"""SELECT '{'+'.join(_KEY_COLUMNS[i] for i in s)}' AS key, {len(s)} AS width, {sum(1 << i for i in s)} AS bits,
+        count(DISTINCT ({', '.join(_KEY_COLUMNS[i] for i in s)})) = count(*) AS is_key FROM l"""
+    for s in _KEY_SETS
+)
+
+
+@query(
+    "minimal_keys",
+    f"""WITH l AS (SELECT * FROM lineitem WHERE l_returnflag <> 'A' AND l_orderkey % 5 = 0), k AS MATERIALIZED (SELECT * FROM ({_KEYS_SQL}) WHERE is_key)
+        SELECT key, width FROM k WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o.bits <> k.bits AND o.bits & k.bits = o.bits)""",
+)
+def _(load):
+    lines = load("lineitem").filter("l_returnflag <> 'A' AND l_orderkey % 5 = 0")
+    return minimal_keys(lines, _KEY_COLUMNS)
+
+
+@query(
+    "column_profile_sketch",
+    f"WITH {_HOLEY_SQL} " + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) AS rows, count(*) - count({c}) AS nulls, max(length({c}))::INT AS longest, true AS within FROM holey""" for c in _HOLEY
+    ),
+)
+def _(load):
+    # A part per year, sketched on its own; the merged estimate stands within four standard errors of the exact count.
+    parts = _holey_orders(load).withColumn("part", F.col("o_orderkey").cast("bigint") % 7)
+    estimate = P.merged_profile(P.sketch_profile(parts, _HOLEY, "part"))
+    exact = P.column_profile(_holey_orders(load), _HOLEY).select("column", F.col("distinct_values").alias("exact"))
+    within = F.abs(F.col("distinct_values") - F.col("exact")) <= F.col("exact") * 4 * P.SKETCH_ERROR + 1
+    return estimate.join(exact, "column").select("column", "rows", "nulls", "longest", within.alias("within"))
+
+
 @query(
     "duplicate_rows",
     "SELECT lang, text, count(*) AS copies FROM documents GROUP BY 1, 2 HAVING count(*) > 1",
