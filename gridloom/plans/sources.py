@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.plans.blobs import customer_books, document_blobs
 from gridloom.plans.registry import query
 from gridloom.session import scratch_path
-from gridloom.sources import delimited, documents, files, sinks, workbook
+from gridloom.sources import delimited, documents, encodings, files, sinks, workbook
 
 _STYLES = {"comma": ",", "tab": "\t", "pipe": "|", "semicolon": ";", "colon": ":"}
 _CLEAN = "regexp_replace(c_name, '#', ' #')"
@@ -93,6 +95,41 @@ def _(load):
     ).groupBy("style", "encoding").agg(F.count("*").cast("int").alias("files"))
 
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_CYRILLIC = "абвгдежзийклмнопрстуфхцчшщ"
+#: How a file of each style is made of a document, and the encoding it must be told to have.
+_CODED = {
+    "plain": ("utf-8", "{t}", "'utf-8'"), "wide": ("utf-16", "{t}", "'utf-16'"), "unmarked": ("utf-16-le", "{t}", "'utf-16-le'"),
+    "western": ("latin-1", "{t}", "CASE WHEN regexp_matches(substr(text, 1, 4096), '[^\\x00-\\x7F]') THEN 'latin-1' ELSE 'utf-8' END"),
+    "windows": ("cp1252", "“{t}” – 5 €", "'cp1252'"), "cyrillic": ("cp1251", "{t}", "'cp1251'"),
+}
+# Running text: a few letters, or one word over and over, do not tell the two Cyrillic pages apart.
+_COMMON_WORDS = "(^| )(the|and|of|que|der|und|le|la|et)( |$)"
+_PROSE = f"length(text) >= 100 AND regexp_matches(lower(text), '{_COMMON_WORDS}')"
+_ENCODED_SQL = " UNION ALL ".join(
+    f"SELECT doc_id, '{style}' AS style, {told} AS encoding FROM documents WHERE {_PROSE}" for style, (_, _, told) in _CODED.items()
+)
+
+
+@query("detect_encoding_confidence", f"SELECT doc_id, style, encoding, true AS sure FROM ({_ENCODED_SQL})")
+def _(load):
+    rows = load("documents").filter((F.char_length("text") >= 100) & F.lower("text").rlike(_COMMON_WORDS))
+    files = []
+    for style, (encoding, frame, _) in _CODED.items():
+        text = F.translate(F.lower("text"), _LETTERS, _CYRILLIC) if style == "cyrillic" else F.col("text")
+        before, _, after = frame.partition("{t}")
+        files.append(rows.select("doc_id", F.lit(style).alias("style"), F.concat(F.lit(before), text, F.lit(after)).alias("text"), F.lit(encoding).alias("as")))
+    made = reduce(DataFrame.unionByName, files).withColumn("content", _encoded("text", "as"))
+    return made.select("doc_id", "style", encodings.guess_encoding(F.col("content")).alias("g")).select(
+        "doc_id", "style", "g.encoding", (F.col("g.confidence") > encodings.SURE).alias("sure")
+    )
+
+
+@F.pandas_udf(T.BinaryType())
+def _encoded(text: pd.Series, encoding: pd.Series) -> pd.Series:
+    return pd.Series([t.encode(e, "replace") for t, e in zip(text, encoding)], dtype=object)
+
+
 _BOOK_SQL = """SELECT 'book' || (c_custkey // 200) || '.xlsx' AS path, c_custkey % 200 + 2 AS r, * FROM customer"""
 _CELLS_SQL = f"""WITH b AS ({_BOOK_SQL}), c AS (
     SELECT path, r AS "row", 1 AS col, c_name AS value, 'text' AS value_type, NULL AS formula, false AS bold, false AS merged_anchor FROM b
