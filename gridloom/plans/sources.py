@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from gridloom.plans.blobs import customer_books, document_blobs
 from gridloom.plans.registry import query
 from gridloom.session import scratch_path
-from gridloom.sources import delimited, documents, encodings, files, sinks, workbook
+from gridloom.sources import delimited, documents, encodings, fact_store, files, sinks, workbook
 
 _STYLES = {"comma": ",", "tab": "\t", "pipe": "|", "semicolon": ";", "colon": ":"}
 _CLEAN = "regexp_replace(c_name, '#', ' #')"
@@ -273,6 +274,28 @@ def _(load):
     return stored.groupBy("month").agg(F.count("*").alias("n"), F.lit(written).cast("bigint").alias("written"), F.count_if(F.col("price").isNull()).alias("missing"))
 
 
+@query(
+    "bucketed_fact",
+    """WITH f AS (SELECT o_orderkey, o_custkey, o_orderdate, CASE WHEN strftime(o_orderdate, '%Y-%m') = '1998-03' THEN 2 ELSE 1 END * o_totalprice::DECIMAL(18,2) AS price
+         FROM orders WHERE strftime(o_orderdate, '%Y-%m') <> '1998-03' OR o_orderkey % 2 = 0)
+       SELECT c_mktsegment AS segment, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, sum(price)::DOUBLE AS price FROM f JOIN customer ON c_custkey = o_custkey
+       WHERE o_orderdate >= '1998-02-10' GROUP BY 1, 2""",
+)
+def _(load):
+    # Loaded whole, then one month again with other rows; recent sales join the dimension on the bucket key.
+    moment = F.col("o_orderdate").cast("timestamp").alias("sold")
+    rows = load("orders").select("o_orderkey", "o_custkey", moment, F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+    name = f"fact_{uuid.uuid4().hex}"
+    fact_store.create_fact(rows, name, "sold", "o_custkey", buckets=8, path=scratch_path(load.spark, "fact"))
+    march = rows.filter((F.date_format("sold", "yyyy-MM") == "1998-03") & (F.col("o_orderkey") % 2 == 0))
+    fact_store.reload_months(march.withColumn("price", (F.col("price") * 2).cast("decimal(18,2)")), name, "sold", "o_custkey", buckets=8)
+    recent = fact_store.recent_sales(load.spark.table(name), "sold", "1998-02-10")
+    members = load("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment"))
+    return recent.join(members, "o_custkey").groupBy("segment", "month").agg(
+        F.count("*").alias("n"), F.sum("price").cast("double").alias("price")
+    )
+
+
 _BAL = "CASE c_custkey % 7 WHEN 3 THEN NULL WHEN 5 THEN to_json('infinity') WHEN 6 THEN to_json('-infinity') ELSE to_json(c_acctbal) END"
 
 

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from gridloom.plans.registry import query
 from gridloom.plans.sources import mixed_files
+from gridloom.session import scratch_path
 from gridloom.streaming import job_streams as T
 from gridloom.streaming import keyed_state as K
+from gridloom.streaming.arrivals import ArrivalTable
 
 
 def _second(name: str):
@@ -22,6 +24,18 @@ def _(load):
     )
 
 
+@query("arrivals_load", "SELECT o_orderkey, CASE WHEN o_custkey % 50 = 0 THEN NULL ELSE o_totalprice::DECIMAL(19,4) END AS price, strftime(o_orderdate, '%Y-%m-%d') AS day, (o_custkey % 50 = 0)::INT AS unreadable FROM orders")
+def _(load):
+    # Every order arrives once in one of the files; the stream runs twice and another time without its checkpoint.
+    inbox, checkpoint = scratch_path(load.spark, "inbox"), scratch_path(load.spark, "arrivals-checkpoint")
+    price = F.when(F.col("o_custkey") % 50 == 0, "n/a").otherwise(F.col("o_totalprice").cast("decimal(12,2)").cast("string"))
+    load("orders").select("o_orderkey", price.alias("price"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).repartition(4).write.option("header", True).csv(inbox)
+    table = ArrivalTable(load.spark, scratch_path(load.spark, "arrived"), "o_orderkey bigint, price decimal(19,4), day date")
+    for place in (checkpoint, checkpoint, scratch_path(load.spark, "other-checkpoint")):
+        table.load(inbox, place, files_per_batch=2)
+    return table.rows().select("o_orderkey", "price", F.date_format("day", "yyyy-MM-dd").alias("day"), "unreadable")
+
+
 @query("dedupe_stream", "SELECT event_id, user_id, event_type FROM events")
 def _(load):
     # Every event is delivered twice.
