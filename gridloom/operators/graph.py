@@ -5,7 +5,9 @@ Nodes have ``address``; edges have ``source`` and ``target`` and are distinct.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import itertools
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gridloom.session import cut_lineage, per_key, scratch_path
@@ -106,18 +108,39 @@ def cycle_nodes(nodes: DataFrame, depths: DataFrame) -> DataFrame:
     return nodes.select("address").join(depths.select("address"), "address", "left_anti")
 
 
+def _numbered(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``address, id`` of every node, and the edges as pairs of ids, larger one first.
+
+    An id is a 64-bit hash. It is checked that no two addresses share one; else another seed is tried.
+    """
+    ends = edges.select(F.explode(F.array("source", "target")).alias("address"))
+    every = nodes.select("address").unionByName(ends).distinct()
+    for seed in itertools.count():
+        numbered = cut_lineage(every.withColumn("id", F.xxhash64(F.lit(seed), "address")), "node-numbers")
+        if numbered.groupBy("id").count().filter("count > 1").isEmpty():
+            break
+    a, b = (F.xxhash64(F.lit(seed), c) for c in ("source", "target"))
+    pairs = edges.filter("source <> target").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    return numbered, pairs
+
+
+def _written(pairs: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """The pairs written, and their number, counted on the way."""
+    seen = Observation()
+    stored = cut_lineage(pairs.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    return stored, seen.get["n"]
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Weakly connected components; the cluster is the smallest address in it.
 
-    Alternating star contraction (Kiveris et al., 2014): a node links its neighbours to the smallest
-    of them until nothing changes, in a number of rounds logarithmic in the graph. Each round is a
-    ``min`` aggregate and an equality join; no neighbour list is gathered.
+    Alternating star contraction (Kiveris et al., 2014) on numbered nodes: a node links its neighbours to the
+    smallest of them until nothing changes, in a number of rounds logarithmic in the graph. Each round is a
+    ``min`` aggregate and an equality join; no neighbour list is gathered. Addresses come back once, at the end.
     """
-    a, b = F.greatest("source", "target"), F.least("source", "target")
-    pairs = cut_lineage(
-        edges.filter("source <> target").select(a.alias("u"), b.alias("v")).distinct(), "pairs"
-    )
-    while True:
+    numbered, pairs = _numbered(nodes, edges)
+    pairs, count = _written(pairs, "pairs")
+    while count:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = per_key(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = (
@@ -132,16 +155,17 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                                       F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("p"))
             .select("p.u", "p.v").filter("u <> v").distinct()
         )
-        small = cut_lineage(small, "pairs")
+        small, number = _written(small, "pairs")
         # Both sides are distinct, so the same number and nothing new means the same pairs.
-        same = small.count() == pairs.count() and small.join(pairs, ["u", "v"], "left_anti").isEmpty()
-        pairs = small
+        same = number == count and small.join(pairs, ["u", "v"], "left_anti").isEmpty()
+        pairs, count = small, number
         if same:
             break
-    stars = pairs.select(F.col("u").alias("address"), F.col("v").alias("cluster"))
-    return nodes.select("address").join(stars, "address", "left").select(
-        "address", F.coalesce("cluster", "address").alias("cluster")
-    )
+    stars = pairs.select(F.col("u").alias("id"), F.col("v").alias("root"))
+    members = numbered.join(stars, "id", "left").select("address", F.coalesce("root", "id").alias("root"))
+    names = per_key(members.groupBy("root").agg(F.min("address").alias("cluster")))
+    named = members.join(names, "root").select("address", "cluster")
+    return nodes.select("address").join(named, "address")
 
 
 def cluster_summary(members: DataFrame) -> DataFrame:

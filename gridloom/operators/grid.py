@@ -266,6 +266,25 @@ def label_cells(cells: DataFrame) -> DataFrame:
     )
 
 
+def neighbour_join(cells: DataFrame) -> DataFrame:
+    """Every label beside the calculating cells that touch it: ``address, value, neighbour, direction``.
+
+    ``direction`` is where the neighbour lies as seen from the label.
+    """
+    sides = {"right": (0, -1), "left": (0, 1), "below": (-1, 0), "above": (1, 0)}
+    spots = F.array(*[
+        F.struct((F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col"), F.lit(side).alias("direction"))
+        for side, (dr, dc) in sides.items()
+    ])
+    active = cells.filter(F.col("role").isin("input", "output", "intermediate")).select(
+        "sheet", F.col("address").alias("neighbour"), F.explode(spots).alias("s")
+    )
+    labels = cells.filter("role = 'label'").select("sheet", "row", "col", "address", "value")
+    return labels.join(active.select("sheet", "s.row", "s.col", "neighbour", "s.direction"), ["sheet", "row", "col"]).select(
+        "address", "value", "neighbour", "direction"
+    )
+
+
 def classified(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All roles of a cell table, and its edges.
 

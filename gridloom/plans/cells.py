@@ -116,28 +116,28 @@ CELLS_SQL = f"""
       UNION SELECT address, target, sheet, "row", col FROM bounds JOIN cells ON sheet = ref_sheet AND col = c1 AND "row" BETWEEN r1 AND r2 WHERE r1 < r2),
   full_cells AS MATERIALIZED (SELECT sheet, "row", col, address, value, value_type, formula, number_format, bold, merged_anchor FROM cells
       UNION ALL SELECT DISTINCT e.sheet, e."row", e.col, source, NULL, 'blank', NULL, NULL, NULL, NULL FROM edges e ANTI JOIN cells c ON c.address = e.source),
-  sources AS (SELECT DISTINCT source FROM edges),
-  base_roles AS (SELECT c.*, CASE WHEN formula IS NOT NULL AND s.source IS NOT NULL THEN 'intermediate' WHEN formula IS NOT NULL THEN 'output'
+  sources AS MATERIALIZED (SELECT DISTINCT source FROM edges),
+  base_roles AS MATERIALIZED (SELECT c.*, CASE WHEN formula IS NOT NULL AND s.source IS NOT NULL THEN 'intermediate' WHEN formula IS NOT NULL THEN 'output'
       WHEN s.source IS NOT NULL THEN 'input' ELSE 'static' END AS role FROM full_cells c LEFT JOIN sources s ON c.address = s.source)
 """
 
 ROLES_SQL = (
     CELLS_SQL
     + """,
-  stats AS (SELECT sheet, "row", count(*) FILTER (trim(coalesce(value, '')) <> '' OR formula IS NOT NULL) AS non_empty,
+  stats AS MATERIALIZED (SELECT sheet, "row", count(*) FILTER (trim(coalesce(value, '')) <> '' OR formula IS NOT NULL) AS non_empty,
       count(*) FILTER (formula IS NULL AND value_type = 'text' AND trim(coalesce(value, '')) <> '') AS texts,
       count(*) FILTER (formula IS NULL AND value_type IN ('number', 'bool') AND trim(coalesce(value, '')) <> '') AS numbers
       FROM full_cells GROUP BY 1, 2),
-  widest AS (SELECT sheet, max(non_empty) AS widest FROM stats GROUP BY 1),
-  with_structure AS (SELECT b.* EXCLUDE (role), CASE WHEN role = 'static' AND value_type = 'text' AND trim(value) <> '' AND (
+  widest AS MATERIALIZED (SELECT sheet, max(non_empty) AS widest FROM stats GROUP BY 1),
+  with_structure AS MATERIALIZED (SELECT b.* EXCLUDE (role), CASE WHEN role = 'static' AND value_type = 'text' AND trim(value) <> '' AND (
       coalesce(merged_anchor, false) OR coalesce(bold, false) OR non_empty <= 1 OR (texts >= 2 AND numbers = 0)
       OR (non_empty >= greatest(3, floor(widest * 0.7)) AND texts >= greatest(2, floor(non_empty * 0.8)))
       OR trim(value) LIKE '%:' OR (upper(trim(value)) = trim(value) AND lower(trim(value)) <> trim(value) AND length(trim(value)) >= 4)
-      OR lower(trim(value)) SIMILAR TO '(total|summary|subtotal).*') THEN 'structural' ELSE role END AS role
+      OR starts_with(lower(trim(value)), 'total') OR starts_with(lower(trim(value)), 'summary') OR starts_with(lower(trim(value)), 'subtotal')) THEN 'structural' ELSE role END AS role
       FROM base_roles b LEFT JOIN stats s USING (sheet, "row") LEFT JOIN widest w USING (sheet)),
-  active AS (SELECT DISTINCT sheet, "row" + dr AS "row", col + dc AS col FROM with_structure, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) d(dr, dc)
+  active AS MATERIALIZED (SELECT DISTINCT sheet, "row" + dr AS "row", col + dc AS col FROM with_structure, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) d(dr, dc)
       WHERE role IN ('input', 'output', 'intermediate')),
-  roles AS (SELECT w.* EXCLUDE (role), CASE WHEN role = 'static' AND value_type = 'text' AND trim(value) <> '' AND a.sheet IS NOT NULL
+  roles AS MATERIALIZED (SELECT w.* EXCLUDE (role), CASE WHEN role = 'static' AND value_type = 'text' AND trim(value) <> '' AND a.sheet IS NOT NULL
       THEN 'label' ELSE role END AS role FROM with_structure w LEFT JOIN active a USING (sheet, "row", col))
 """
 )

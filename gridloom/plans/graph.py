@@ -10,12 +10,17 @@ from gridloom.plans.cells import CELLS_SQL, ROLES_SQL, cells, edges, roles
 from gridloom.plans.registry import Loader, query
 
 
+def _nodes(load: Loader):
+    """Addresses alone: neither depth nor components need values and roles."""
+    return grid.with_missing_cells(cells(load), edges(load)).select("address")
+
+
 def _depths(load: Loader):
-    return load.shared("cell_depths", lambda: graph.topological_depth(roles(load), edges(load)))
+    return load.shared("cell_depths", lambda: graph.topological_depth(_nodes(load), edges(load)))
 
 
 def _clusters(load: Loader):
-    return load.shared("cell_clusters", lambda: graph.components(roles(load), edges(load)))
+    return load.shared("cell_clusters", lambda: graph.components(_nodes(load), edges(load)))
 
 
 def _members(load: Loader):
@@ -88,7 +93,7 @@ def _(load):
         LEFT JOIN (SELECT source, count(*) AS o FROM edges GROUP BY 1) ON source = address""",
 )
 def _(load):
-    return graph.node_degrees(roles(load).select("address"), edges(load))
+    return graph.node_degrees(_nodes(load), edges(load))
 
 
 _DEPTH_SQL = f"""{CELLS_SQL},

@@ -104,10 +104,13 @@ def _(load):
 
 @query(
     "neighbor_join",
-    f"""WITH {ROLES_SQL} SELECT address, value FROM roles WHERE role = 'label'""",
+    f"""WITH {ROLES_SQL} SELECT l.address, l.value, n.address AS neighbour, direction FROM roles l
+        JOIN (VALUES ('right', 0, 1), ('left', 0, -1), ('below', 1, 0), ('above', -1, 0)) d(direction, dr, dc) ON true
+        JOIN roles n ON n.sheet = l.sheet AND n."row" = l."row" + dr AND n.col = l.col + dc
+        WHERE l.role = 'label' AND n.role IN ('input', 'output', 'intermediate')""",
 )
 def _(load):
-    return roles(load).filter("role = 'label'").select("address", "value")
+    return grid.neighbour_join(roles(load))
 
 
 @query(
