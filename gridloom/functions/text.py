@@ -135,6 +135,21 @@ def _closed(text: Column) -> Column:
     return F.concat(body, _scan(body)["open"])
 
 
+def _nested_object(depth: int) -> str:
+    """Pattern of an object whose braces nest no deeper than ``depth``; possessive, so it never goes back."""
+    string = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+    inner = f"|{_nested_object(depth - 1)}" if depth > 1 else ""
+    return rf'\{{(?:[^{{}}"]++|{string}{inner})*+\}}'
+
+
+_WHOLE = rf"(?s)\A{_nested_object(3)}\z"
+
+
+def _is_one_object(text: Column) -> Column:
+    """Whether the first object ends with the text: by one pattern, and by counting only where braces nest deeply."""
+    return text.rlike(_WHOLE) | (_scan(text)["end"] == F.length(text))
+
+
 def json_candidates(response: Column) -> list[Column]:
     """The texts to try, mildest repair first."""
     span = _object_span(response)
@@ -155,7 +170,7 @@ def json_repair(response: Column) -> Column:
     """
     tries = [
         F.when(
-            (c != "") & F.try_parse_json(c).isNotNull() & (_scan(c)["end"] == F.length(c)),
+            (c != "") & F.try_parse_json(c).isNotNull() & _is_one_object(c),
             F.struct(c.alias("json"), F.lit(i).alias("attempt")),
         )
         for i, c in enumerate(json_candidates(response))

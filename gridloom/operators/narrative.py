@@ -105,7 +105,8 @@ def extracted_items(responses: DataFrame, key: str, response: Column) -> DataFra
     """
     # Every answer is parsed once, and every record once.
     lists = ", ".join(f"{kind} array<string>" for kind in RECORDS)
-    fixed = responses.select(key, json_repair(response).alias("fixed")).filter("fixed IS NOT NULL")
+    # An answer beyond repair has no lists; a filter on the repair would make Spark repair twice.
+    fixed = responses.select(key, json_repair(response).alias("fixed"))
     parsed = fixed.select(key, F.from_json("fixed.json", lists).alias("found"))
     parts = []
     for kind, (text, person, others) in RECORDS.items():

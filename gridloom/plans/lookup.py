@@ -75,14 +75,15 @@ _SCENARIO_SQL = ", ".join(f"('{n}', {c}::DECIMAL(4,2), {g}::DECIMAL(4,2))" for n
         FROM lineitem, (VALUES {_SCENARIO_SQL}) s(scenario, cut, grow) GROUP BY 1, 2""",
 )
 def _(load):
-    # The scenarios are constants, so each becomes one more aggregate over a single pass.
+    rows = [(name, cut, grow) for name, (cut, grow) in SCENARIOS.items()]
+    scenarios = load.spark.createDataFrame(rows, "scenario string, cut double, grow double")
     price = F.col("l_extendedprice").cast("decimal(12,2)")
-    sums = []
-    for name, (cut, grow) in SCENARIOS.items():
-        share, factor = F.lit(1 - cut).cast("decimal(4,2)"), F.lit(grow).cast("decimal(4,2)")
-        sums.append(F.sum(price * share * factor).cast("double").alias(name))
-    wide = load("lineitem").groupBy("l_returnflag").agg(*sums, F.count("*").alias("n"))
-    return wide.unpivot(["l_returnflag", "n"], list(SCENARIOS), "scenario", "revenue")
+
+    def revenue(row):
+        share, factor = (F.lit(x).cast("decimal(4,2)") for x in (1 - row["cut"], row["grow"]))
+        return F.sum(price * share * factor).cast("double")
+
+    return lookups.scenario_grid(load("lineitem"), ["l_returnflag"], scenarios, "scenario", revenue, "revenue")
 
 
 @query(
