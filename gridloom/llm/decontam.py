@@ -12,7 +12,8 @@ words are one item. A bitmap of fixed size over the runs of all items lets a tex
 own runs before anything is shuffled; a large benchmark only makes it less sharp, never wrong.
 
 Defined cases: NULL texts and items have no words; items of fewer than ``N`` words have no seeds and match
-nothing; repeated rows are each reported; empty tables give no rows; other columns are not read.
+nothing; repeated rows are each reported;
+texts of any length are searched whole and aligned around their seeds; of equal scores the first place counts; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations

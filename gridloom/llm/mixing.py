@@ -9,9 +9,9 @@ percent off takes its smallest document left out and gives others back for it.
 Ranks, prefix sums and budgets are distributed: a source that holds a third of all rows is spread over
 range chunks, and only one row per source is ever joined back.
 
-Defined cases: NULL and empty texts have size 0 and come with whole epochs only; NULL sources form one source, ranked last; ties in the key are
-broken by doc_id and then by the row's position, so repeated rows are separate members; an empty table
-gives no rows; an input column named like an output column is replaced.
+Defined cases: NULL and empty texts have size 0 and come with whole epochs only; NULL sources form one source,
+ranked last; ties in the key are broken by doc_id and then by the row's position, so repeated rows are separate
+members; texts of any length are counted whole; an empty table gives no rows; an input column named like an output column is replaced.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ Verification deals the pairs over a grid of blocks of texts, so that a text that
 once per block and not once per pair.
 
 Defined cases: NULL texts and texts without a word are alone in their class; texts of fewer than five words
-are one run, so only texts with the same words match; repeated rows are copies; ``class_id`` is the smallest
+are one run, so only texts with the same words match; repeated rows are copies; texts of any length are compared whole; ``class_id`` is the smallest
 doc_id of the class (NULL if it has none); an empty table gives no rows; an input column named like an
 output column is replaced. The input must be repeatable, such as a table scan.
 """

@@ -9,15 +9,16 @@ by keyed hashes, equal for equal addresses regardless of letter case, and keep t
 
 Digits of other values may stand beside a card or phone number ('4111 1111 1111 1111 123'). Where a stretch of
 digit groups is no card as a whole, it is read group by group: date, social security number or phone, else the
-longest card that starts there. The permutations are then applied to all values of the stretch until it reads the
-same way again, so that it can be read back; in such a stretch an equal value may get another pseudonym.
+longest card that starts there. Every value found is permuted once and within its own format, so it has the same
+pseudonym there as anywhere else. Read again, such a stretch may seem to hold other values; ``restore`` therefore
+goes by the recorded places of the pseudonyms and does not read the text.
 
 What fails validation (a card number with a wrong check digit, an impossible date, an octet above 255) is no
 personal number and stays as it is. One expression per row, no shuffle. The key is a literal of the plan,
 so event logs must be guarded like the key itself.
 
-Defined cases: NULL texts stay NULL; texts without personal data come back byte for byte; repeated rows are
-treated alike; an empty table gives no rows; an input column named like an output column is replaced.
+Defined cases: NULL texts stay NULL; texts without personal data come back byte for byte; texts of any length are
+read whole, in one row's expressions; repeated rows are treated alike; an empty table gives no rows; an input column named like an output column is replaced.
 """
 
 from __future__ import annotations
@@ -52,8 +53,6 @@ _STRETCH = rf"(?<!\d)(?=(?:\d[ -]?){{12}}\d)\d++(?:[ -](?!{_OTHER})\d++)*+"
 _GROUPED = r"^\d[\d -]{12,}$"
 #: Most digits of a card, and so most groups.
 _CARD_MOST = 19
-#: A reading of a stretch that the permutation changes is met one time in ten, so that no stretch needs as many.
-TRIES = 400
 #: Addresses first, then the longest formats, so that a card is not read as a phone number.
 _NUMBERS = "|".join((_IPV4, _DATE, _SSN, _STRETCH, _PHONE))
 ANY = f"{_EMAIL}|{_NUMBERS}"
@@ -282,47 +281,53 @@ def _read(stretch: Column) -> Column:
     return let(F.regexp_extract_all(stretch, F.lit(r"\d+|\D"), F.lit(0)), parts)
 
 
-def _stretch(m: Column, key: str, back: bool) -> Column:
+def _stretch(m: Column, key: str) -> Column:
     """``kind, old, new`` of the parts of a stretch that is no number as a whole."""
-
-    def step(s: Column, _: Column) -> Column:
-        def tried(parts: Column) -> Column:
-            whole = F.array_join(F.transform(parts, lambda x: x["s"]), "")
-            same = F.coalesce(_kind(whole, _digits(whole)), F.lit(-1)) == -1
-            return F.struct(parts.alias("parts"), (same & (_read(whole) == parts)).alias("done"))
-
-        fresh = F.transform(s["parts"], lambda x: F.struct(x["kind"].alias("kind"), _renewed(x["s"], x["kind"], key, back).alias("s")))
-        return F.when(s["done"], s).otherwise(let(fresh.cast(_PARTS), tried))
-
-    def walked(parts: Column) -> Column:
-        start = F.struct(parts.alias("parts"), F.forall(parts, lambda x: x["kind"] < 0).alias("done"))
-        done = F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), start, step, lambda s: s["parts"])
-        return F.zip_with(parts, done, lambda a, b: F.struct(
-            F.when(a["kind"] >= 0, a["kind"]).alias("kind"), a["s"].alias("old"), b["s"].alias("new")
-        ))
-
-    return let(_read(m), walked)
+    return F.transform(_read(m), lambda x: F.struct(
+        F.when(x["kind"] >= 0, x["kind"]).alias("kind"), x["s"].alias("old"), _renewed(x["s"], x["kind"], key, False).alias("new")
+    ))
 
 
 _SEGMENTS = "array<struct<kind:int,old:string,new:string>>"
 
 
-def _replaced(m: Column, key: str, back: bool) -> Column:
+def _replaced(m: Column, key: str) -> Column:
     """Segments ``kind, old, new`` of a match; the kind is NULL where nothing is replaced."""
 
     def by_kind(k: Column) -> Column:
-        one = F.array(F.struct(k.cast("int").alias("kind"), m.alias("old"), _renewed(m, k, key, back).alias("new")))
+        one = F.array(F.struct(k.cast("int").alias("kind"), m.alias("old"), _renewed(m, k, key, False).alias("new")))
         apart = k.isNull() & m.rlike(_GROUPED)
-        return F.when(apart, _stretch(m, key, back).cast(_SEGMENTS)).otherwise(one.cast(_SEGMENTS))
+        return F.when(apart, _stretch(m, key).cast(_SEGMENTS)).otherwise(one.cast(_SEGMENTS))
 
     return let(_kind(m, _digits(m)), by_kind)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, back: bool = False) -> DataFrame:
+def restore(rows: DataFrame, key: str = KEY) -> DataFrame:
+    """The rows of :func:`pseudonymise` with their old ``text``, but for the e-mail hashes, which stay.
+
+    ``personal`` says where the pseudonyms stand; it is dropped, with ``n_personal``. Rows without it stay as they are.
+    """
+    names, text = F.array(*[F.lit(k) for k in KINDS]), F.col("text")
+    ends = F.concat(F.array(F.lit(0)), F.transform("personal", lambda p: p["end"]))
+
+    def rebuilt(ends: Column) -> Column:
+        def piece(p: Column, i: Column) -> Column:
+            before = F.get(ends, i)
+            kind = F.array_position(names, p["kind"]).cast("int") - 1
+            old = _renewed(F.substring(text, p["start"] + 1, p["end"] - p["start"]), kind, key, True)
+            return F.concat(F.substring(text, before + 1, p["start"] - before), old)
+
+        rest = F.substring(text, F.element_at(ends, -1) + 1, F.char_length(text))
+        return F.concat(F.array_join(F.transform("personal", piece), ""), rest)
+
+    return rows.withColumn("text", F.coalesce(let(ends, rebuilt), text)).drop("personal", "n_personal")
+
+
+def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """The input rows with ``text`` rewritten, ``n_personal`` and ``personal``.
 
     ``personal`` lists ``kind, start, end, pseudonym`` of every replaced value in the order of the text;
-    positions are code points of the new text, ends exclusive. ``back`` undoes all but the e-mail hashes.
+    positions are code points of the new text, ends exclusive. With them :func:`restore` goes back.
     """
     rows = tidy(docs, taken=("n_personal", "personal", "_p"))
     names = F.array(*[F.lit(k) for k in KINDS])
@@ -349,7 +354,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY, back: bool = False) -> DataFra
         return F.struct(new.alias("text"), found.alias("personal"))
 
     pieces = F.split(text, ANY, -1)
-    matches = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: _replaced(m, key, back))
+    matches = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: _replaced(m, key))
     changed = let(F.struct(pieces.alias("p"), matches.alias("m")), rebuilt)
     none = F.struct(text.alias("text"), F.array().cast("array<struct<kind:string,start:int,end:int,pseudonym:string>>").alias("personal"))
     done = rows.withColumn("_p", F.when(text.rlike(LIKELY), changed).otherwise(none))

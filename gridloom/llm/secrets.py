@@ -18,7 +18,7 @@ encoding and length band, on exact counts per p-value bin, so that short tokens
 
 All work is DataFrame expressions; one pass reads the texts, and only hashes of tokens and bin counts are shuffled.
 Positions are code points, ends exclusive. Defined cases: NULL texts count as empty and have no spans; repeated
-tokens and rows are judged alike and count as one test; an empty table gives no rows; an input column named like an
+tokens and rows are judged alike and count as one test; texts of any length are scanned whole; an empty table gives no rows; an input column named like an
 output column is replaced.
 """
 

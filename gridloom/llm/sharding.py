@@ -10,7 +10,8 @@ into the new one. The bucket inside the shard comes from the row's position in t
 ``doc_id`` repeated on a third of all rows still spreads over all buckets of its shard.
 
 Defined cases: a NULL ``doc_id`` is a value like any other; a NULL text counts as empty (size 1, CRC 0);
-repeated rows each keep a slot; an empty table gives no rows and no shards; an input column named like
+repeated rows each keep a slot; a text of any
+length moves whole, and one longer than a bucket should be makes its bucket so much larger; an empty table gives no rows and no shards; an input column named like
 an output column is replaced. The input must be repeatable row for row, such as a table scan.
 """
 
