@@ -184,6 +184,35 @@ def canonical_schema(catalogue: DataFrame) -> DataFrame:
     )
 
 
+#: Logical types, most specific first, each with the types that can hold all its values.
+TYPE_LATTICE = {
+    "boolean": ("boolean", "string"), "integer": ("integer", "decimal", "string"), "percentage": ("percentage", "decimal", "string"),
+    "currency": ("currency", "decimal", "string"), "decimal": ("decimal", "string"), "date": ("date", "datetime", "string"),
+    "datetime": ("datetime", "string"), "string": ("string",),
+}
+
+
+def common_types(columns: DataFrame) -> DataFrame:
+    """``canonical, type, sheets, conflict``: the most specific type that holds what every sheet has in a column.
+
+    ``columns`` has ``canonical, type``, one row per sheet column. Each type stands for the set of types above it;
+    the sets are intersected as bits, which shrinks on the map side. A NULL or unknown type (a column without values)
+    asks for nothing; where no sheet asks for anything the type is ``string``.
+    """
+    order = list(TYPE_LATTICE)
+    bits = {t: sum(1 << order.index(a) for a in above) for t, above in TYPE_LATTICE.items()}
+    every = (1 << len(order)) - 1
+    known = F.col("type").isin(order)
+    mask = F.coalesce(*[F.when(F.col("type") == t, F.lit(b)) for t, b in bits.items()], F.lit(every))
+    met = columns.groupBy("canonical").agg(
+        F.bit_and(mask).alias("_held"), F.count("*").alias("sheets"),
+        F.min(F.when(known, F.col("type"))).alias("_low"), F.max(F.when(known, F.col("type"))).alias("_high"),
+    )
+    best = F.coalesce(*[F.when(F.col("_held").bitwiseAND(1 << i) != 0, F.lit(t)) for i, t in enumerate(order)])
+    kind = F.when(F.col("_low").isNull(), "string").otherwise(best)
+    return met.select("canonical", kind.alias("type"), "sheets", F.coalesce(F.col("_low") != F.col("_high"), F.lit(False)).alias("conflict"))
+
+
 # When two sheets count as alike.
 COLUMN_SLACK = 2
 TYPE_SHARE = 0.7

@@ -76,3 +76,13 @@ def test_a_new_file_merges_without_a_second_look(spark, tmp_path):
     merged = P.merged_profile(P.add_to_profile(path, more, ["v"], "file")).first()
     assert (merged["rows"], merged["nulls"], merged["distinct_values"], merged["longest"]) == (5, 1, 3, 1)
     assert P.merged_profile(P.sketch_profile(first.filter("v = 'q'"), ["v"], "file")).collect() == []
+
+
+def test_common_type_of_stacked_sheets(spark):
+    from gridloom.operators.discovery import common_types
+
+    rows = [("a", "integer"), ("a", "decimal"), ("b", "integer"), ("b", "percentage"), ("c", "date"), ("c", "datetime"), ("d", "date"), ("d", "integer"),
+            ("e", "boolean"), ("e", None), ("f", None), ("f", "unknown"), ("g", "currency"), ("g", "currency"), ("h", "boolean"), ("h", "string")]
+    found = {r["canonical"]: (r["type"], r["sheets"], r["conflict"]) for r in common_types(spark.createDataFrame(rows, "canonical string, type string")).collect()}
+    assert found == {"a": ("decimal", 2, True), "b": ("decimal", 2, True), "c": ("datetime", 2, True), "d": ("string", 2, True),
+                     "e": ("boolean", 2, False), "f": ("string", 2, False), "g": ("currency", 2, False), "h": ("string", 2, True)}

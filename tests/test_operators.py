@@ -1,6 +1,5 @@
 """Operators on small hand-made inputs, and against brute force under skew."""
 
-import datetime as dt
 import random
 
 import pytest
