@@ -60,3 +60,38 @@ def test_table_function_alone(spark):
     rows = spark.sql(f"SELECT * FROM {name}('T!D2:D8', 'S')").collect()
     assert {tuple(r) for r in rows} == {("T", True, 4, 0, p) for p in range(2, 9)}
     assert spark.sql(f"SELECT * FROM {name}(CAST(NULL AS STRING), 'S')").count() == 0
+
+
+def test_reference_parsing_is_compiled(spark):
+    # Java leaves methods of more than 8000 bytes uncompiled, many times slower.
+    import contextlib
+    import io
+    import re
+
+    cells = spark.createDataFrame(
+        [("S", "S!A1", "=SUM(B1:C9)+D1")], "sheet string, address string, formula string"
+    )
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        grid.cell_references(cells).explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", shown.getvalue())]
+    assert sizes and max(sizes) < 8000
+
+
+def test_members_of_short_and_long_ranges(spark):
+    filled = [(r, c) for r in (1, 2, 15, 16, 17, 18, 40, 300) for c in (1, 2, 3, 17, 18, 30)]
+    cells = spark.createDataFrame(
+        [("S", r, c, f"{r},{c}") for r, c in filled], "sheet string, row int, col int, address string"
+    )
+    areas = {
+        "one": (2, 2, 3, 3), "short": (1, 16, 1, 2), "edge": (1, 17, 2, 2), "long": (2, 300, 1, 3),
+        "flat": (1, 2, 2, 17), "wide": (15, 17, 1, 30), "empty": (50, 60, 1, 1),
+    }
+    refs = spark.createDataFrame(
+        [("S!Z9", n, "S", *a) for n, a in areas.items()],
+        "target string, ref string, ref_sheet string, r1 int, r2 int, c1 int, c2 int",
+    )
+    found = sorted((x.ref, x.source) for x in grid.range_members(refs, cells).collect())
+    assert found == sorted(
+        (n, f"{r},{c}") for n, (r1, r2, c1, c2) in areas.items() for r, c in filled if r1 <= r <= r2 and c1 <= c <= c2
+    )
