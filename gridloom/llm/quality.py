@@ -5,9 +5,9 @@ estimated with add-one smoothing, one from trusted target documents and one from
 a document's score is the sum of log(target / raw) over its n-grams divided by their number. Documents
 whose score is below a threshold fitted on labelled documents are rejected, all alike and without chance.
 
-The trusted documents and the labelled ones for the threshold are at most ``LABELLED`` rows each, those
-with the smallest hash, so that their ids may be broadcast; the raw multinomial counts every document.
-Everything runs as DataFrame expressions over one row at a time; only bucket counts are shuffled.
+Every labelled document counts, for the trusted multinomial and for the threshold, and every document for the
+raw one. Everything runs as DataFrame expressions over one row at a time. Of the texts only the trusted ones are
+shuffled, to meet their labels; the threshold needs scores alone.
 
 Defined cases: NULL texts have no words; a text without n-grams scores 0; a label row with a NULL doc_id
 counts for nothing; documents that share a doc_id share its label; without trusted labels the target
@@ -22,11 +22,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import GAP_CHARS, WORD, let, tidy, words
-from gridloom.session import cut_lineage
+from gridloom.llm.common import GAP_CHARS, WORD, let, sieve, sifted, tidy, words
+from gridloom.session import cut_lineage, per_key
 
 BUCKETS = 1 << 16
-LABELLED = 20_000
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
@@ -100,10 +99,12 @@ class Rules:
     threshold: float | None
 
 
-def _labelled(labels: DataFrame, good: Column, limit: int) -> DataFrame:
-    """At most ``limit`` labelled ids per class, those with the smallest hash."""
-    ids = labels.filter(F.col("doc_id").isNotNull() & good).select("doc_id").distinct()
-    return ids.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(limit)
+def _flags(labels: DataFrame) -> DataFrame:
+    """``doc_id, _good``: 1 for trusted documents, else 0 for those of low quality; no other rows."""
+    trusted = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
+    good = F.when(trusted, 1).when(F.col("quality") == 0, 0)
+    known = labels.select("doc_id", good.alias("_good")).filter("doc_id IS NOT NULL AND _good IS NOT NULL")
+    return per_key(known.groupBy("doc_id").agg(F.max("_good").alias("_good")))
 
 
 def _base_failed(n_words: str, n_repeat: str) -> Column:
@@ -134,22 +135,19 @@ def _scored(rows: DataFrame, rules_weights: DataFrame, buckets: int) -> DataFram
     return found.withColumn("llr_score", F.col("_w.llr") / grams)
 
 
-def fit_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, labelled: int = LABELLED) -> Rules:
-    """Count both multinomials in one pass over ``docs`` and fit the threshold on labelled documents."""
-    spark = docs.sparkSession
-    texts = docs.select("doc_id", "text")
-    trusted = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
-    good = cut_lineage(_labelled(labels, trusted, labelled).withColumn("_good", F.lit(1)), "trusted-ids")
-    bad = cut_lineage(_labelled(labels, F.col("quality") == 0, labelled).withColumn("_good", F.lit(0)), "untrusted-ids")
-    # At most `labelled` ids of 8 bytes on each broadcast side.
-    flagged = texts.join(F.broadcast(good), "doc_id", "left").select(
-        "text", F.coalesce(F.col("_good"), F.lit(0)).alias("_good")
-    )
-    grams = flagged.select("_good", F.explode(let(_hashed(F.col("text")), lambda h: ngram_buckets(h, buckets))).alias("b"))
-    counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("_good").alias("target"))
-    every = cut_lineage(
-        spark.range(buckets).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").fillna(0), "bucket-counts"
-    )
+def _fit_weights(texts: DataFrame, flags: DataFrame, buckets: int) -> DataFrame:
+    """Count both multinomials: one row with the weight of every bucket."""
+
+    def counted(rows: DataFrame, name: str) -> DataFrame:
+        grams = rows.select(F.explode(let(_hashed(F.col("text")), lambda h: ngram_buckets(h, buckets))).alias("b"))
+        return grams.groupBy("b").agg(F.count("*").alias(name))
+
+    good = flags.filter("_good = 1").select("doc_id")
+    # Only the trusted texts are shuffled.
+    trusted = sifted(texts, sieve(good, "doc_id"), "doc_id").join(good.hint("merge"), "doc_id", "left_semi")
+    every = texts.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"))
+    every = every.join(counted(texts, "raw"), "b", "left").join(counted(trusted, "target"), "b", "left").fillna(0)
+    every = cut_lineage(every, "bucket-counts")
     total = every.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
     if total["target"]:
         ratio = F.log((F.col("target") + 1) / F.lit(float(total["target"] + buckets))) - F.log(
@@ -161,12 +159,21 @@ def fit_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, labell
     weights = every.agg(
         F.transform(F.sort_array(F.collect_list(F.struct(F.col("b"), ratio.alias("w")))), lambda x: x["w"]).alias("weights")
     )
-    weights = cut_lineage(weights, "bucket-weights")
-    both = F.broadcast(good.unionByName(bad).groupBy("doc_id").agg(F.max("_good").alias("_good")))
+    return cut_lineage(weights, "bucket-weights")
+
+
+def fit_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> Rules:
+    """Count both multinomials over ``docs`` and fit the threshold on all labelled documents."""
+    texts, flags = docs.select("doc_id", "text"), _flags(labels)
+    weights = _fit_weights(texts, flags, buckets)
+    scored = _scored(texts.join(flags, "doc_id"), weights, buckets)
+    return Rules(weights, buckets, _fit_threshold(scored.select("_good", "llr_score", "_w.n_words", "_w.n_repeat_words")))
+
+
+def _fit_threshold(labelled: DataFrame) -> float | None:
     # Only what the base rules leave to the score.
-    sample = _scored(texts.join(both, "doc_id"), weights, buckets).filter(~_base_failed("_w.n_words", "_w.n_repeat_words"))
-    sample = cut_lineage(sample.select("_good", F.col("llr_score").alias("s")), "labelled-scores")
-    return Rules(weights, buckets, _threshold(sample))
+    sample = labelled.filter(~_base_failed("n_words", "n_repeat_words"))
+    return _threshold(cut_lineage(sample.select("_good", F.col("llr_score").alias("s")), "labelled-scores"))
 
 
 def _threshold(sample: DataFrame) -> float | None:
@@ -198,18 +205,29 @@ def _threshold(sample: DataFrame) -> float | None:
     return ends["low"] + width * (cuts[0] + cuts[-1]) / 2 if cuts else None
 
 
-def apply_rules(docs: DataFrame, rules: Rules) -> DataFrame:
-    """Every input row with the base measures, ``base_failed``, ``llr_score`` and ``kept``."""
+def _measured(docs: DataFrame, weights: DataFrame, buckets: int) -> DataFrame:
+    """Every input row with the measures, ``base_failed`` and ``llr_score``."""
     rows = tidy(docs, taken=(*MEASURES, "base_failed", "llr_score", "kept", "_w", "_weights"))
-    out = _scored(rows, rules.weights, rules.buckets)
+    out = _scored(rows, weights, buckets)
     out = out.withColumns(base_measures(F.col("text"))).withColumns({
         "n_words": F.col("_w.n_words"), "n_repeat_words": F.col("_w.n_repeat_words"),
     }).drop("_w")
-    out = out.withColumn("base_failed", _base_failed("n_words", "n_repeat_words"))
-    by_score = F.lit(True) if rules.threshold is None else F.col("llr_score") >= F.lit(rules.threshold)
-    return out.withColumn("kept", ~F.col("base_failed") & by_score)
+    return out.withColumn("base_failed", _base_failed("n_words", "n_repeat_words"))
+
+
+def _verdict(measured: DataFrame, threshold: float | None) -> DataFrame:
+    by_score = F.lit(True) if threshold is None else F.col("llr_score") >= F.lit(threshold)
+    return measured.withColumn("kept", ~F.col("base_failed") & by_score)
+
+
+def apply_rules(docs: DataFrame, rules: Rules) -> DataFrame:
+    """Every input row with the base measures, ``base_failed``, ``llr_score`` and ``kept``."""
+    return _verdict(_measured(docs, rules.weights, rules.buckets), rules.threshold)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """Fit on ``docs`` and ``labels`` and judge every document of ``docs``."""
-    return apply_rules(docs, fit_rules(tidy(docs), labels, **options))
+def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Fit on ``docs`` and ``labels`` and judge every document of ``docs``; each text is scored once."""
+    flags = _flags(labels)
+    weights = _fit_weights(tidy(docs).select("doc_id", "text"), flags, buckets)
+    measured = cut_lineage(_measured(docs, weights, buckets), "measured")
+    return _verdict(measured, _fit_threshold(measured.select("doc_id", "llr_score", "n_words", "n_repeat_words").join(flags, "doc_id")))

@@ -97,3 +97,11 @@ def test_odd_rows(spark, odd, none):
     clash = odd.withColumnRenamed("Size", "KEPT").withColumnRenamed("score", "n_words")
     assert [c.lower() for c in quality_rules(clash, labels).columns].count("kept") == 1
     assert set(MEASURES) <= set(quality_rules(clash, labels).columns)
+
+
+def test_every_labelled_document_counts(spark):
+    """With all documents trusted both multinomials are the same, however many there are."""
+    docs = spark.range(20_100).select(F.col("id").alias("doc_id"), F.concat(F.lit("alpha w"), F.col("id") % 997).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    worst = quality_rules(docs, labels).agg(F.max(F.abs("llr_score"))).first()[0]
+    assert worst == pytest.approx(0, abs=1e-12)
