@@ -466,3 +466,41 @@ def test_large_sheet_is_read_in_bounded_memory(spark):
     count = sum(1 for _ in workbook._cells("x", content))
     grown = (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024
     assert count == 2 * n and grown < 60
+
+
+def test_components_shrink_round_by_round(spark, monkeypatch):
+    # A path of 600 places in shuffled order: what is left to link gets less each round, and one component comes out.
+    sizes, written = [], graph._written
+    monkeypatch.setattr(graph, "_written", lambda pairs, label: sizes.append(written(pairs, label)) or sizes[-1])
+    order = random.Random(5).sample(range(600), 600)
+    nodes = spark.createDataFrame([(f"p{i:03}",) for i in range(601)], "address string")
+    edges = spark.createDataFrame([(f"p{a:03}", f"p{b:03}") for a, b in zip(order, order[1:])], "source string, target string")
+    got = {r["address"]: r["cluster"] for r in graph.components(nodes, edges).collect()}
+    assert got == {f"p{i:03}": "p000" for i in range(600)} | {"p600": "p600"}
+    assert sum(n for _, n in sizes) <= 4 * sizes[0][1]
+
+
+def test_roles_with_known_edges_do_not_parse_formulas_again(spark, monkeypatch):
+    cells = _two_chains(spark)
+    edges = grid.edge_list(cells)
+    expected = {(r["address"], r["role"]) for r in grid.classified(cells)[0].collect()}
+    monkeypatch.setattr(grid, "edge_list", None)
+    assert {(r["address"], r["role"]) for r in grid.classified(cells, edges)[0].collect()} == expected
+
+
+def test_only_groups_at_the_ends_of_chunks_are_carried(spark, monkeypatch):
+    # 300 groups of 5 rows and one of 400 that spans chunks; what is joined back is at most a row a chunk.
+    sizes, per_key = [], ordered.per_key
+    monkeypatch.setattr(ordered, "per_key", lambda df: sizes.append(per_key(df)) or sizes[-1])
+    rows = [(f"g{i:03}", n, n if n % 5 == 0 else None) for i in range(300) for n in range(5)]
+    rows += [("g150x", n, n if n % 90 == 0 else None) for n in range(400)] + [(None, n, n if n == 1 else None) for n in range(3)]
+    df = spark.createDataFrame(rows, "g string, n int, v int")
+    got = {(r["g"], r["n"]): r["c"] for r in ordered.carry_last(df, ["g"], [F.col("n")], F.col("v"), "c", chunks=8).collect()}
+    expected, last = {}, None
+    for g, n, v in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        last = v if n == 0 else last if v is None else v
+        expected[g, n] = last
+    assert got == expected
+    numbered = ordered.running_number(df, ["g"], [F.col("n")], "k", chunks=8).collect()
+    assert all(r["k"] == r["n"] + 1 for r in numbered)
+    assert all(s.count() <= 8 for s in sizes)
