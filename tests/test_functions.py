@@ -209,3 +209,20 @@ def test_workday_outside_the_calendar(spark):
     assert [r["workday"] for r in nulls] == [None, None]
     with pytest.raises(PySparkException, match="outside the business calendar"):
         D.workday_add(days, "day", F.col("n"), calendar).collect()
+
+
+def test_places_of_addresses(spark):
+    texts = ["Sheet1!D10", "O12!AB$7", "XFD1048576", "$A$1", "12", "AB", "A$$5", "ABCD5", "", None, "Q1!b3", "A99999999999"]
+    rows = spark.createDataFrame([(t,) for t in texts], "a string").select(
+        X.address_row(F.col("a")).alias("r"), X.address_column(F.col("a")).alias("c"))
+    got = [(r["r"], r["c"]) for r in rows.collect()]
+    assert got == [(10, 4), (7, 28), (1048576, 16384), (1, 1), (12, None), (None, None), (5, None), (5, None), (None, None),
+                   (None, None), (3, 2), (None, 1)]
+
+
+def test_numbers_of_nested_ranges_are_read_once(spark, data):
+    from gridloom.plans import load_all
+
+    # A second reading would show as a second transform in the plan.
+    plan = load_all()["array_ops"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(") == 1
