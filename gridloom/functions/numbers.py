@@ -27,7 +27,10 @@ def parse_locale_number(text: Column) -> Column:
     ).otherwise(F.translate(cleaned, ",", ""))
     number = F.regexp_extract(with_dot, _PLAIN_NUMBER, 0).try_cast("double")
     divisor = F.when(F.endswith(raw, F.lit("%")), F.lit(100.0)).otherwise(F.lit(1.0))
-    return F.when(F.coalesce(raw, F.lit("")) == "", F.lit(0.0)).otherwise(number / divisor)
+    # A plain number is read at once; only other text is cleaned first, which takes several patterns.
+    return F.when(F.coalesce(raw, F.lit("")) == "", F.lit(0.0)).when(raw.rlike(_PLAIN_NUMBER), raw.try_cast("double")).otherwise(
+        number / divisor
+    )
 
 
 def number_or_zero(text: Column) -> Column:
