@@ -12,7 +12,7 @@ from gridloom.functions.numbers import to_bigint, to_boolean, to_decimal
 from gridloom.functions.text import null_if_blank, snake_name
 from gridloom.operators.keys import minimal_keys
 from gridloom.operators.quantiles import exact_quantiles, finite
-from gridloom.session import per_key
+from gridloom.session import cut_lineage, per_key
 
 
 def describe_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -54,9 +54,13 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 SAMPLES = 5
 
 
-def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows, nulls, distinct values, longest text and the five smallest values of each column."""
-    counts = value_counts(df, columns)
+def column_profile(df: DataFrame, columns: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """Rows, nulls, distinct values, longest text and the five smallest values of each column.
+
+    ``counts`` are the :func:`value_counts` of the same columns, where the caller has written them already.
+    """
+    if counts is None:
+        counts = cut_lineage(value_counts(df, columns), "value-counts")
     present = F.col("value").isNotNull()
     stats = counts.groupBy("column").agg(
         F.sum("n").alias("rows"),
@@ -151,26 +155,28 @@ def fk_candidates(columns: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def conformance(df: DataFrame, columns: list[str]) -> DataFrame:
-    """How many values of each text column read as each type: one pass, one row per column.
+def conformance(df: DataFrame, columns: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """How many values of each text column read as each type: one row per column.
 
-    Values are put in long form first, so that the tests compile once and not once per column.
+    Equal values are tested once, in long form, so that the tests compile once and not once per column. ``counts`` are
+    the :func:`value_counts` of the same columns, where the caller has them already.
     """
-    pairs = [F.struct(F.lit(c).alias("column"), null_if_blank(F.col(c).cast("string")).alias("text")) for c in columns]
     text = F.col("text")
     number = r"[0-9.,]+"
+    tally = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
+    known = value_counts(df, columns) if counts is None else counts
     return (
-        df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
+        known.select("column", null_if_blank(F.col("value")).alias("text"), "n")
         .groupBy("column")
         .agg(
-            F.count(text).alias("filled"),
-            F.count(to_bigint(text)).alias("ints"),
-            F.count(to_decimal(text)).alias("numbers"),
-            F.count(to_timestamp_coerce(text)).alias("moments"),
-            F.count(to_boolean(text)).alias("flags"),
-            F.count_if(text.rlike(rf"^-?[$€£¥]\s?{number}$|^-?{number}\s?[$€£¥]$")).alias("money"),
-            F.count_if(text.rlike(rf"^-?{number}\s?%$")).alias("percents"),
-            F.count_if(text.rlike(r"[0-9]:[0-9]{2}")).alias("timed"),
+            tally(text.isNotNull()).alias("filled"),
+            tally(to_bigint(text).isNotNull()).alias("ints"),
+            tally(to_decimal(text).isNotNull()).alias("numbers"),
+            tally(to_timestamp_coerce(text).isNotNull()).alias("moments"),
+            tally(to_boolean(text).isNotNull()).alias("flags"),
+            tally(text.rlike(rf"^-?[$€£¥]\s?{number}$|^-?{number}\s?[$€£¥]$")).alias("money"),
+            tally(text.rlike(rf"^-?{number}\s?%$")).alias("percents"),
+            tally(text.rlike(r"[0-9]:[0-9]{2}")).alias("timed"),
             F.max(F.length(text)).alias("longest"),
         )
     )
@@ -205,8 +211,8 @@ def logical_type() -> Column:
     )
 
 
-def infer_types(df: DataFrame, columns: list[str]) -> DataFrame:
-    return conformance(df, columns).select("column", storage_type().alias("pg_type"), logical_type().alias("logical"))
+def infer_types(df: DataFrame, columns: list[str], counts: DataFrame | None = None) -> DataFrame:
+    return conformance(df, columns, counts).select("column", storage_type().alias("pg_type"), logical_type().alias("logical"))
 
 
 def semantic_roles(profile: DataFrame, types: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import profile as P
 from gridloom.operators.keys import minimal_keys
 from gridloom.plans.registry import query
+from gridloom.session import cut_lineage
 from gridloom.plans.staging import STAGING_SQL, products
 
 _NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "odd"]
@@ -186,7 +187,9 @@ def _(load):
 )
 def _(load):
     text = _typed_text(load)
-    return P.semantic_roles(P.column_profile(text, _TYPED), P.infer_types(text, _TYPED))
+    # Both sides count the same values.
+    counts = cut_lineage(P.value_counts(text, _TYPED), "value-counts")
+    return P.semantic_roles(P.column_profile(text, _TYPED, counts), P.infer_types(text, _TYPED, counts))
 
 
 @query(

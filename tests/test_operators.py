@@ -504,3 +504,14 @@ def test_only_groups_at_the_ends_of_chunks_are_carried(spark, monkeypatch):
     numbered = ordered.running_number(df, ["g"], [F.col("n")], "k", chunks=8).collect()
     assert all(r["k"] == r["n"] + 1 for r in numbered)
     assert all(s.count() <= 8 for s in sizes)
+
+
+def test_types_test_each_distinct_value_once(spark):
+    from gridloom.operators import profile
+
+    rows = spark.createDataFrame([("1", " ")] * 50 + [("2.5", "yes")] * 30 + [(None, "no")] * 20, "a string, b string")
+    tested = profile.conformance(rows, ["a", "b"])
+    got = {r["column"]: (r["filled"], r["ints"], r["numbers"], r["flags"], r["longest"]) for r in tested.collect()}
+    assert got == {"a": (80, 50, 80, 50, 3), "b": (50, 0, 0, 50, 3)}
+    counts = profile.value_counts(rows, ["a", "b"])
+    assert profile.infer_types(rows, ["a", "b"], counts).collect() == profile.infer_types(rows, ["a", "b"]).collect()
