@@ -95,3 +95,24 @@ def test_members_of_short_and_long_ranges(spark):
     assert found == sorted(
         (n, f"{r},{c}") for n, (r1, r2, c1, c2) in areas.items() for r, c in filled if r1 <= r <= r2 and c1 <= c <= c2
     )
+
+
+def test_an_area_is_expanded_once(spark, monkeypatch):
+    """The same areas on many sheets reach the table function once each; sheet names keep their quotes and marks."""
+    plans, plain = [], grid.per_key
+
+    def kept(df):
+        plans.append(df)
+        return plain(df)
+
+    monkeypatch.setattr(grid, "per_key", kept)
+    sheets = [f"S{i}" for i in range(300)] + ["It's!odd"]
+    cells = spark.createDataFrame([(s, r, 1, f"{s}!A{r}") for s in sheets for r in range(1, 41)], "sheet string, row int, col int, address string")
+    quoted = [(s, "'" + s.replace("'", "''") + "'!") for s in sheets]
+    asked = [(f"{s}-{i}", before + area, "elsewhere") for s, before in quoted for i, area in enumerate(["A2:A8", "$A$3", "A1:A40"])]
+    asked += [("plain", "A2:A3", "S7"), ("none", "S1!", "S7")]
+    refs = spark.createDataFrame(asked, "target string, ref string, sheet string")
+    found = grid.range_text_members(refs, cells).collect()
+    assert plans[0].select("area").distinct().count() == 4 and plans[0].count() == 4
+    want = {(f"{s}-{i}", f"{s}!A{r}") for s in sheets for i, rows in enumerate([range(2, 9), [3], range(1, 41)]) for r in rows}
+    assert {(r["target"], r["source"]) for r in found} == want | {("plain", "S7!A2"), ("plain", "S7!A3")} and len(found) == len(want) + 2
