@@ -119,6 +119,8 @@ def match_dictionary(names: DataFrame, dictionary: DataFrame, threshold: float =
 
 #: Letters of a gram by which patterns and texts meet.
 GRAM = 3
+#: Result rows that one group of equal texts may bring to a task.
+GROUP_ROWS = 1 << 22
 #: Stand for escaped characters while a pattern is taken apart.
 _STAND = {"\\\\": "\ufdd0", "\\%": "\ufdd1", "\\_": "\ufdd2"}
 
@@ -141,7 +143,8 @@ def _anchors(patterns: DataFrame) -> DataFrame:
     """Possible anchors of each pattern: grams of its longest literals, or its length, or nothing at all."""
     runs = _literals(F.col("pattern"))
     longest = F.least(F.coalesce(F.array_max(F.transform("_runs", lambda r: F.char_length(r))), F.lit(0)), F.lit(GRAM))
-    known = patterns.select("pattern").distinct().withColumn("_runs", runs).withColumn("_n", longest)
+    # Written with its literals: a filter that Spark derives from the grams would spell them out again for every row.
+    known = cut_lineage(patterns.select("pattern").distinct().withColumn("_runs", runs).withColumn("_n", longest), "patterns")
     grams = F.array_distinct(F.flatten(F.transform("_runs", lambda r: _runs(r, F.col("_n")))))
     # Without a literal only the length can tell: exactly so many letters, or any text.
     fixed = ~F.contains("pattern", F.lit("%"))
@@ -181,5 +184,27 @@ def pattern_table_join(df: DataFrame, name: Column, patterns: DataFrame) -> Data
     )
     chosen = per_key(ranked.filter("texts > 0").select("pattern", "a.size", "a.gram"))
     found = _met(texts, chosen).filter(F.expr("text LIKE pattern")).select("text", "pattern")
-    marked = df.withColumn("_text", name)
-    return marked.join(cut_lineage(found, "matches").withColumnRenamed("text", "_text"), "_text").join(patterns, "pattern").drop("_text")
+    matches = cut_lineage(found, "matches").withColumnRenamed("text", "_text")
+    meeting = cut_lineage(matches.join(patterns, "pattern"), "meeting")
+    # Written, so that the numbers of the rows stay the same whenever they are read.
+    marked = cut_lineage(df.withColumn("_text", name).filter(F.col("_text").isNotNull()), "marked")
+    return _spread_join(marked, meeting)
+
+
+def _spread_join(rows: DataFrame, meeting: DataFrame) -> DataFrame:
+    """Both tables joined by ``_text``, a text whose result is large being dealt over several tasks.
+
+    The result may be much larger than either table, which Spark sees too late to split it, so it is counted first.
+    """
+    sizes = rows.groupBy("_text").agg(F.count("*").alias("_n")).join(meeting.groupBy("_text").agg(F.count("*").alias("_m")), "_text")
+    groups = F.col("_n").cast("double") * F.col("_m") / GROUP_ROWS
+    dealt = per_key(sizes.select("_text", F.ceil(groups).cast("int").alias("_parts"), groups.alias("_groups")))
+    full = dealt.agg(F.ceil(F.sum("_groups")).alias("n")).first()["n"] or 0
+    # A given number of partitions is not merged again for being small.
+    tasks = max(int(full), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = dealt.drop("_groups")
+    part = F.pmod(F.monotonically_increasing_id(), F.col("_parts")).cast("int")
+    left = rows.join(dealt, "_text").withColumn("_part", part).drop("_parts")
+    right = meeting.join(dealt, "_text").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    keys = ["_text", "_part"]
+    return left.repartition(tasks, *keys).join(right.repartition(tasks, *keys), keys).drop(*keys)

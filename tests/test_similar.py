@@ -8,6 +8,7 @@ import time
 import pytest
 
 from gridloom.functions.similarity import indel_ratio
+from gridloom.operators import similar
 from gridloom.operators.similar import match_dictionary, pattern_table_join, similar_pairs
 
 
@@ -100,3 +101,15 @@ def test_ten_thousand_patterns(spark):
     start = time.time()
     assert df.count() == 30_000
     assert time.time() - start < 300
+
+
+def test_hot_texts_are_dealt_out(spark, monkeypatch):
+    """A result much larger than both tables is spread evenly; equal rows count each."""
+    monkeypatch.setattr(similar, "GROUP_ROWS", 1000)
+    rows = spark.range(2000).selectExpr("id % 1900 AS id", "if(id < 1990, 'hot text', 'other') AS text")
+    patterns = spark.range(50).selectExpr("id AS k", "if(id < 49, '%ot te%', 'o%') AS pattern")
+    df = pattern_table_join(rows, rows["text"], patterns)
+    assert df.count() == 1990 * 49 + 10
+    assert df.filter("text = 'hot text'").groupBy("k").count().filter("count <> 1990").isEmpty()
+    sizes = [len(p) for p in df.select("k").rdd.glom().collect()]
+    assert len(sizes) >= 97 and max(sizes) <= 10 * 1000
