@@ -143,3 +143,53 @@ def test_stuck_jobs_against_brute_force(arrivals):
     end = max(m for _, m, _, _ in rows)
     found = stuck(T.run_to_table(K.stuck_jobs(arrivals.stream(), "user_id", ("view", "click"))))
     assert found == brute_stuck(rows, 5, end - 10) and found
+
+
+class CountingHandle:
+    """A store of one key that counts what it is asked."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = 0, None, set()
+
+    def getValueState(self, name, schema, ttl=None):
+        return self
+
+    def _called(self):
+        self.calls += 1
+
+    def get(self):
+        self._called()
+        return self.value
+
+    def update(self, value):
+        self._called()
+        self.value = value
+
+    def clear(self):
+        self._called()
+        self.value = None
+
+    def registerTimer(self, at):
+        self._called()
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self._called()
+        self.timers.remove(at)
+
+
+def test_stuck_jobs_ask_the_store_little():
+    """Three calls for a new job, however many bursts it has; the timer stands at the end of its first burst."""
+    handle, minute = CountingHandle(), 60_000_000
+    processor = K._Stuck(5 * 60_000, ("view",))
+    processor.init(handle)
+    row = lambda m, i: (7, m * minute, m * minute, i, "view", None)
+    assert list(processor.handleInputRows((7,), iter([row(m, m) for m in range(10, 2000, 10)]), None)) == []
+    assert handle.calls <= 3 and handle.timers == {15 * 60_000}
+    # A late update in front moves the timer.
+    list(processor.handleInputRows((7,), iter([row(2, 1)]), None))
+    assert handle.calls <= 7 and handle.timers == {7 * 60_000}
+    handle.timers.clear()
+    clock = type("Clock", (), {"getCurrentWatermarkInMs": lambda self: 25 * 60_000})()
+    told = list(processor.handleExpiredTimer((7,), clock, None))
+    assert [r["micros"] // minute for r in told] == [2, 10, 20] and handle.timers == {35 * 60_000}
