@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.session import scratch_path
 from gridloom.sources import fact_store as S
+from gridloom.sources import sinks
 from gridloom.streaming.arrivals import ArrivalTable
 
 
@@ -111,3 +112,21 @@ def test_a_batch_that_died_after_its_commit_is_left_alone(spark, tmp_path):
     table._write(more, "run-1", lambda: None)
     assert sorted(r["id"] for r in table.rows().collect()) == [1, 2, 3]
     assert sorted((r["batch"], r["file"], r["rows"]) for r in table.ledger().collect()) == [("run-0", "a.csv", 2), ("run-1", "b.csv", 1)]
+
+
+def test_rows_dealt_to_a_fixed_number_of_files(spark):
+    """Every row arrives once, no file stays empty, and what one task reads is less than the rows take in a shuffle."""
+    rows = spark.range(0, 30_000, 1, 5).selectExpr(
+        "id", "if(id % 7 = 0, NULL, concat('some words of a note ', id, '\\nand more')) AS text", "id / 4 AS price",
+        "timestamp'2020-11-15' + make_interval(0, 0, 0, CAST(id % 900 AS INT)) AS sold", "array(id, NULL) AS list",
+    )
+    dealt = sinks.in_files(rows, 3)
+    assert dealt.schema == rows.schema and dealt.exceptAll(rows).isEmpty() and dealt.count() == 30_000
+    sizes = [len(p) for p in dealt.select("id").rdd.glom().collect()]
+    assert len(sizes) == 3 and min(sizes) > 9_000
+    for few, files in ((1, 1), (2, 2), (3, 3), (50, 3)):
+        sizes = [len(p) for p in sinks.in_files(spark.range(0, few, 1, 1), 3).rdd.glom().collect()]
+        assert sum(sizes) == few and sum(s > 0 for s in sizes) == files
+    assert sinks.in_files(rows.limit(0), 2).count() == 0
+    packed = rows.mapInArrow(sinks._pack(3), "file int, block binary").selectExpr("sum(length(block))").first()[0]
+    assert packed * 4 < rows.selectExpr("sum(8 + 8 + 8 + 16 + coalesce(length(text), 0))").first()[0]
