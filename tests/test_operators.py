@@ -515,3 +515,88 @@ def test_types_test_each_distinct_value_once(spark):
     assert got == {"a": (80, 50, 80, 50, 3), "b": (50, 0, 0, 50, 3)}
     counts = profile.value_counts(rows, ["a", "b"])
     assert profile.infer_types(rows, ["a", "b"], counts).collect() == profile.infer_types(rows, ["a", "b"]).collect()
+
+
+def _written_tables(spark):
+    import os
+
+    from gridloom.session import _scratch_folder
+
+    folder = _scratch_folder(spark).removeprefix("file:")
+    return set(os.listdir(folder)) if os.path.isdir(folder) else set()
+
+
+def test_components_and_depth_leave_only_what_they_hand_out(spark):
+    """Rounds that are over are deleted, and the frames handed out can be read more than once."""
+    nodes = spark.createDataFrame([(f"n{i:03}",) for i in range(60)], "address string")
+    edges = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(50) if i % 10 != 9], "source string, target string")
+    before = _written_tables(spark)
+    found = graph.components(nodes, edges)
+    left = _written_tables(spark) - before
+    assert len(left) == 1 and not any(t.startswith("pairs") for t in left)
+    expected = {f"n{i:03}": f"n{i // 10 * 10:03}" if i < 50 else f"n{i:03}" for i in range(60)}
+    for _ in range(2):
+        assert {r["address"]: r["cluster"] for r in found.collect()} == expected
+    before = _written_tables(spark)
+    depth = graph.topological_depth(nodes, edges)
+    assert sorted(t.split("-")[0] for t in _written_tables(spark) - before) == ["depth", "links"]
+    for _ in range(2):
+        assert {r["address"]: r["depth"] for r in depth.collect()} == {f"n{i:03}": i % 10 if i < 50 else 0 for i in range(60)}
+
+
+def test_what_led_to_a_shared_table_is_deleted(spark, tmp_path):
+    from gridloom.plans.registry import Loader
+    from gridloom.session import cut_lineage, discard, keep, passing_tables
+
+    load = Loader(spark, str(tmp_path))
+    before = _written_tables(spark)
+
+    def outer():
+        inner = load.shared("inner-table", lambda: cut_lineage(spark.range(9), "passing"))
+        with passing_tables(spark):
+            dropped, kept = cut_lineage(inner, "dropped"), keep(cut_lineage(inner, "handed-up"))
+            assert dropped.count() == 9
+            discard(cut_lineage(inner, "discarded"))
+        assert kept.count() == 9
+        return inner.join(kept, "id")
+
+    shared = load.shared("outer-table", outer)
+    assert sorted(t.split("-")[0] for t in _written_tables(spark) - before) == ["inner", "outer"]
+    assert shared.count() == 9 and load.shared("inner-table", outer).count() == 9
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_neighbours_and_labels_across_tiles(spark):
+    """Every place of a block that spans several tiles, against plain Python."""
+    draw = random.Random(5)
+    kinds = {(r, c): draw.choice(["label", "input", "output", "static", "structural", None]) for r in range(1, 21) for c in range(1, 19)}
+    rows = [("s", r, c, f"s!{r}.{c}", f" v{r}.{c} ", k) for (r, c), k in kinds.items() if k]
+    cells = spark.createDataFrame(rows, "sheet string, row int, col int, address string, value string, role string")
+    live = ("input", "output", "intermediate")
+    ways = {"right": (0, 1), "left": (0, -1), "below": (1, 0), "above": (-1, 0)}
+    expected = sorted(
+        (f"s!{r}.{c}", f"s!{r + dr}.{c + dc}", way) for (r, c), k in kinds.items() if k == "label"
+        for way, (dr, dc) in ways.items() if kinds.get((r + dr, c + dc)) in live
+    )
+    found = grid.neighbour_join(cells).collect()
+    assert sorted((x["address"], x["neighbour"], x["direction"]) for x in found) == expected
+
+    def nearest(r, c):
+        for at in [(r, x) for x in range(c, 0, -1)] + [(y, c) for y in range(r, 0, -1)]:
+            if kinds.get(at) in ("label", "structural"):
+                return f"v{at[0]}.{at[1]}"
+
+    got = {x["address"]: x["label"] for x in grid.nearest_label(cells).collect()}
+    assert got == {f"s!{r}.{c}": nearest(r, c) for (r, c), k in kinds.items() if k in live}
+    plain = cells.withColumn("value_type", F.lit("text")).replace({"label": "static", "structural": "other"}, subset=["role"])
+    marked = {x["address"] for x in grid.label_cells(plain).filter("role = 'label'").collect()}
+    beside = {f"s!{r}.{c}" for (r, c), k in kinds.items() if k in ("label", "static")
+              and any(kinds.get((r + dr, c + dc)) in live for dr, dc in ways.values())}
+    assert marked == beside
+
+
+def test_many_different_places_are_still_members(spark, monkeypatch):
+    monkeypatch.setattr(grid, "_FEW_PLACES", 3)
+    cells = sheet(spark, *[(f"A{i}", str(i), None) for i in range(1, 9)], ("C1", None, "=SUM(A1:A8)"), ("C2", None, "=SUM(A7:A9)+A8"))
+    edges = [(r["source"][7:], r["target"][7:]) for r in grid.edge_list(cells).collect()]
+    assert sorted(edges) == sorted([(f"A{i}", "C1") for i in range(1, 9)] + [("A7", "C2"), ("A8", "C2")])
