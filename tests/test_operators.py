@@ -600,3 +600,16 @@ def test_many_different_places_are_still_members(spark, monkeypatch):
     cells = sheet(spark, *[(f"A{i}", str(i), None) for i in range(1, 9)], ("C1", None, "=SUM(A1:A8)"), ("C2", None, "=SUM(A7:A9)+A8"))
     edges = [(r["source"][7:], r["target"][7:]) for r in grid.edge_list(cells).collect()]
     assert sorted(edges) == sorted([(f"A{i}", "C1") for i in range(1, 9)] + [("A7", "C2"), ("A8", "C2")])
+
+
+def test_base_roles_in_slices_are_those_of_one_pass(spark, monkeypatch):
+    cells = sheet(
+        spark, ("A1", "Amount", None), ("B1", "100", None), ("C1", None, "=B1*2+Z9+Other!D4"), ("D1", None, "=C1+10"),
+        ("A3", "Section Header", None, "bold", "merged"),
+    )
+    edges = grid.edge_list(cells).cache()
+    columns = ["address", "sheet", "row", "col", "value_type", "role"]
+    whole = sorted(tuple(r) for r in grid.classified(cells, edges)[0].select(*columns).collect())
+    assert {(a, r) for a, *_, r in whole if a.endswith(("Z9", "D4"))} == {("Sheet1!Z9", "input"), ("Other!D4", "input")}
+    monkeypatch.setattr(grid, "_SLICE_EDGES", 2)
+    assert sorted(tuple(r) for r in grid.classified(cells, edges)[0].select(*columns).collect()) == whole
